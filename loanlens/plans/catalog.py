@@ -66,3 +66,126 @@ SELECT CAST(count(*) AS BIGINT) AS loan_count,
 FROM snapshot"""))
 def q_d8_summary(spark, sf):
     return r6(snap.snapshot_summary(snapshot_df(spark, sf)))
+
+
+# ---------------------------------------------------------------- metrics (2.I, 2.F)
+from loanlens.operators import metrics as M  # noqa: E402
+
+PTS_SQL = """,
+pts AS (SELECT {score} AS score, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(1 - bad) AS BIGINT) AS good
+        FROM scored WHERE {score} IS NOT NULL GROUP BY {score}),
+cum AS (SELECT *, CAST(sum(bad) OVER (ORDER BY score DESC) AS BIGINT) AS cum_bad,
+               CAST(sum(good) OVER (ORDER BY score DESC) AS BIGINT) AS cum_good,
+               row_number() OVER (ORDER BY score DESC) AS pos FROM pts),
+tot AS (SELECT CAST(sum(bad) AS BIGINT) AS nb, CAST(sum(good) AS BIGINT) AS ng FROM pts)"""
+
+
+def _metrics_sql(score: str) -> str:
+    return with_(V.SCORED + PTS_SQL.format(score=score), """
+SELECT round(sum(good * (cum_bad - bad / 2.0)) / (max(nb) * max(ng)), 6) AS auc,
+       round(CAST(greatest(max(cum_bad * ng - cum_good * nb), 0) AS DOUBLE) / (max(nb) * max(ng)), 6) AS ks,
+       round(sum(bad * CAST(cum_bad AS DOUBLE) / (cum_bad + cum_good)) / max(nb), 6) AS pr_auc,
+       (SELECT round(avg((""" + score + """ - bad) * (""" + score + """ - bad)), 6) FROM scored WHERE """ + score + """ IS NOT NULL) AS brier_score,
+       (SELECT CAST(count(*) AS BIGINT) FROM scored WHERE """ + score + """ IS NOT NULL) AS sample_count
+FROM cum, tot""")
+
+
+@register("i11_metrics", _metrics_sql("pd"))
+def q_i11(spark, sf):
+    """I2, I3, I5, I6, I11 on continuous scores."""
+    return r6(M.binary_metrics(fx.scored(spark, sf), "bad", "pd"))
+
+
+@register("i2_metrics_tied_scores", _metrics_sql("pd_b"))
+def q_i2_ties(spark, sf):
+    """Same bundle on a score with heavy ties (grouped ROC points)."""
+    return r6(M.binary_metrics(fx.scored(spark, sf), "bad", "pd_b"))
+
+
+@register("i4_ks_threshold", with_(V.SCORED + PTS_SQL.format(score="pd_b"), """
+SELECT round(CAST(greatest(max(cum_bad * ng - cum_good * nb), 0) AS DOUBLE) / (max(nb) * max(ng)), 6) AS ks,
+       CASE WHEN max(cum_bad * ng - cum_good * nb) > 0
+            THEN CAST(arg_max(score, {'d': cum_bad * ng - cum_good * nb, 's': score}) AS DOUBLE)
+            ELSE CAST('inf' AS DOUBLE) END AS ks_threshold
+FROM cum, tot"""))
+def q_i4(spark, sf):
+    return r6(M.ks_with_threshold(fx.scored(spark, sf), "bad", "pd_b"))
+
+
+@register("i1_roc_curve", with_(V.SCORED + PTS_SQL.format(score="pd_b") + """,
+nb_ AS (SELECT *, lead(bad) OVER (ORDER BY score DESC) AS nbad, lead(good) OVER (ORDER BY score DESC) AS ngood
+        FROM cum),
+kept AS (SELECT * FROM nb_ WHERE pos = 1 OR nbad IS NULL OR NOT (nbad = bad AND ngood = good))""", """
+SELECT threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(tpr - fpr, 6) AS ks_gap FROM (
+  SELECT score AS threshold, CAST(cum_good AS DOUBLE) / ng AS fpr, CAST(cum_bad AS DOUBLE) / nb AS tpr
+  FROM kept, tot
+  UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0)"""))
+def q_i1(spark, sf):
+    """ROC points with ties grouped and collinear points dropped."""
+    return r6(M.roc_curve(fx.scored(spark, sf), "bad", "pd_b"))
+
+
+DECILE_SQL = """,
+rk AS (SELECT *, row_number() OVER (ORDER BY {score}, loan_id) AS r, count(*) OVER () AS n
+       FROM scored WHERE {score} IS NOT NULL),
+dec AS (SELECT *, CASE WHEN n <= 1 THEN 1
+                       ELSE greatest(1, CAST(((r - 1) * {q} + n - 2) // (n - 1) AS INTEGER)) END AS decile FROM rk)"""
+
+
+@register("f2_decile_table", with_(V.SCORED + DECILE_SQL.format(score="pd_b", q=10), """
+SELECT decile, CAST(count(*) AS BIGINT) AS sample_count, round(avg(CAST(bad AS DOUBLE)), 6) AS observed_bad_rate,
+       round(avg(pd_b), 6) AS average_score, 'D' || CAST(decile AS VARCHAR) AS decile_label
+FROM dec GROUP BY decile"""))
+def q_f2(spark, sf):
+    """F1 / F2: rank deciles (ties by id) and the decile table."""
+    return r6(M.decile_table(fx.scored(spark, sf), "bad", "pd_b", "loan_id"))
+
+
+@register("i7_ece", with_(V.SCORED + DECILE_SQL.format(score="pd", q=10) + """,
+t AS (SELECT decile, count(*) AS c, avg(pd) AS s, avg(CAST(bad AS DOUBLE)) AS b FROM dec GROUP BY decile)""", """
+SELECT round(sum(c * abs(s - b)) / sum(c), 6) AS ece FROM t"""))
+def q_i7(spark, sf):
+    return r6(M.expected_calibration_error(fx.scored(spark, sf), "bad", "pd", "loan_id"))
+
+
+@register("i8_calibration_curve", with_(V.SCORED + """,
+e AS (SELECT quantile_cont(pd, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM scored),
+b AS (SELECT s.*, len(list_filter(e.qs, lambda x: x < s.pd)) AS bin FROM scored s, e WHERE s.pd IS NOT NULL)""", """
+SELECT CAST(bin AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS sample_count, round(avg(pd), 6) AS mean_predicted,
+       round(avg(CAST(bad AS DOUBLE)), 6) AS fraction_positive
+FROM b GROUP BY bin"""))
+def q_i8(spark, sf):
+    return r6(M.calibration_curve(fx.scored(spark, sf), "bad", "pd"))
+
+
+@register("i9_cohort_metrics", with_(V.SCORED + """,
+c AS (SELECT *, CAST(year(observation_date) AS VARCHAR) || 'Q' || CAST(quarter(observation_date) AS VARCHAR) AS cohort
+      FROM scored),
+keep AS (SELECT cohort, CAST(count(*) AS BIGINT) AS sample_count, avg(CAST(bad AS DOUBLE)) AS bad_rate
+         FROM c GROUP BY cohort HAVING count(DISTINCT bad) = 2),
+pts AS (SELECT cohort, pd AS score, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(1 - bad) AS BIGINT) AS good
+        FROM c WHERE pd IS NOT NULL GROUP BY cohort, pd),
+cum AS (SELECT *, sum(bad) OVER (PARTITION BY cohort ORDER BY score DESC) AS cum_bad,
+               sum(good) OVER (PARTITION BY cohort ORDER BY score DESC) AS cum_good FROM pts),
+tot AS (SELECT cohort, sum(bad) AS nb, sum(good) AS ng FROM pts GROUP BY cohort),
+m AS (SELECT cum.cohort,
+        sum(good * (cum_bad - bad / 2.0)) / (max(nb) * max(ng)) AS auc,
+        CAST(greatest(max(cum_bad * ng - cum_good * nb), 0) AS DOUBLE) / (max(nb) * max(ng)) AS ks,
+        sum(bad * CAST(cum_bad AS DOUBLE) / (cum_bad + cum_good)) / max(nb) AS pr_auc
+      FROM cum JOIN tot USING (cohort) GROUP BY cum.cohort),
+br AS (SELECT cohort, avg((pd - bad) * (pd - bad)) AS brier_score FROM c WHERE pd IS NOT NULL GROUP BY cohort)""", """
+SELECT keep.cohort, sample_count, round(bad_rate, 6) AS bad_rate, round(auc, 6) AS auc, round(ks, 6) AS ks,
+       round(pr_auc, 6) AS pr_auc, round(brier_score, 6) AS brier_score
+FROM keep JOIN m USING (cohort) JOIN br USING (cohort)"""))
+def q_i9(spark, sf):
+    return r6(M.cohort_metrics(fx.scored(spark, sf), "bad", "pd", "observation_date"))
+
+
+@register("i10_confusion", with_(V.SCORED, """
+SELECT CAST(count(*) FILTER (WHERE bad = 0 AND pd < 0.5) AS BIGINT) AS true_negatives,
+       CAST(count(*) FILTER (WHERE bad = 0 AND pd >= 0.5) AS BIGINT) AS false_positives,
+       CAST(count(*) FILTER (WHERE bad = 1 AND pd < 0.5) AS BIGINT) AS false_negatives,
+       CAST(count(*) FILTER (WHERE bad = 1 AND pd >= 0.5) AS BIGINT) AS true_positives
+FROM scored"""))
+def q_i10(spark, sf):
+    return M.confusion_counts(fx.scored(spark, sf), "bad", "pd", 0.5)
