@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.session import materialize
+
 MAX_GROUPED_BUCKETS = 64
 
 
@@ -59,8 +61,8 @@ def _grouped_bucket(df: DataFrame, groups: list[str], value: str, buckets: int,
     if not probs:
         return df.withColumn(out, F.lit(0))
     accuracy = max(10000, 4 * buckets)
-    edges = df.groupBy(*groups).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_edges"))
+    edges = materialize(df.groupBy(*groups).agg(        # one row per group
+        F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_edges")))
     v = F.col(value).cast("double")
     return (df.join(edges, groups, "left")   # one row per group
               .withColumn(out, F.size(F.filter(F.col("_edges"), lambda e: e <= v)))
@@ -97,6 +99,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
         *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
         F.coalesce(F.sum("_t_rows").over(wb), F.lit(0)).alias("_o_rows"))
     # offsets has at most (groups x buckets) rows: broadcast is size-bounded.
+    offsets = materialize(offsets)
     joined = bdf.join(F.broadcast(offsets), [*groups, "_bucket"], "inner")
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -155,7 +158,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     # index range [first, last] (0-based) covered by each distinct value
     pref = pref.select(*groups, "_x", (F.col("_p_c") - F.col("_c")).alias("_first"),
                        (F.col("_p_c") - 1).alias("_last"))
-    totals = counts.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    totals = materialize(counts.groupBy(*groups).agg(F.sum("_c").alias("_n")))   # one row per group
     spark = df.sparkSession
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_k int, _prob double")
     targets = (totals.crossJoin(F.broadcast(pdf))       # groups x k rows
@@ -176,4 +179,4 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
             .join(lo, [*groups, "_k"]).join(hi, [*groups, "_k"])
             .withColumn("_q", F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo"))))
     wide = vals.groupBy(*groups, "_n").pivot("_k", list(range(len(probs)))).agg(F.first("_q"))
-    return wide.select(*groups, "_n", *[F.col(str(i)).alias(f"{out_prefix}{i}") for i in range(len(probs))])
+    return materialize(wide).select(*groups, "_n", *[F.col(str(i)).alias(f"{out_prefix}{i}") for i in range(len(probs))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loanlens.plans import oracle_views as V
 from loanlens.sources import fixtures as fx
 from loanlens.operators import snapshot as snap
+from loanlens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +43,11 @@ def snapshot_df(spark: SparkSession, sf: str) -> DataFrame:
     return snap.build_snapshot(fx.loan_panel(spark, sf))
 
 
+def gold_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot written once (A9) for queries that read it from several branches."""
+    return materialize(snapshot_df(spark, sf))
+
+
 SNAP_R6 = ("loan_id, origination_date, observation_date, original_upb, original_interest_rate, "
            "original_loan_term, original_ltv, original_dti, borrower_credit_score, loan_purpose, "
            "property_type, occupancy_status, property_state, hist_max_dpd, hist_30dpd_months, "
@@ -189,3 +195,283 @@ SELECT CAST(count(*) FILTER (WHERE bad = 0 AND pd < 0.5) AS BIGINT) AS true_nega
 FROM scored"""))
 def q_i10(spark, sf):
     return M.confusion_counts(fx.scored(spark, sf), "bad", "pd", 0.5)
+
+
+# ---------------------------------------------------------------- stability (2.J, D17, D18)
+from loanlens.operators import stability as S  # noqa: E402
+from loanlens.operators import split as SP  # noqa: E402
+
+PROBS11 = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+FLOOR = "CAST(0.0001 AS DOUBLE)"
+
+
+def psi_sql(e: str, a: str, keys: list[str], categorical: bool = False, missing_bin: bool = False,
+            out: str = "psi_out") -> str:
+    """CTE chunk computing ``out(keys..., psi)`` from CTEs ``e(keys, value)`` and ``a(keys, value)``."""
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    using = f"USING ({k})" if keys else "ON TRUE"
+    if categorical:
+        cte = f""",
+{out}_eb AS (SELECT {kc}coalesce(CAST(value AS VARCHAR), 'Missing') AS bin FROM {e}),
+{out}_seen AS (SELECT DISTINCT {kc}bin FROM {out}_eb),
+{out}_ab0 AS (SELECT {kc}coalesce(CAST(value AS VARCHAR), 'Missing') AS bin FROM {a}),
+{out}_ab AS (SELECT {", ".join("x." + c for c in keys) + ", " if keys else ""}
+               CASE WHEN s.bin IS NULL THEN 'Other' ELSE x.bin END AS bin
+             FROM {out}_ab0 x LEFT JOIN {out}_seen s ON {" AND ".join([f"x.{c} = s.{c}" for c in keys] + ["x.bin = s.bin"])}),
+{out}_flat AS (SELECT DISTINCT {kc}FALSE AS flat FROM {out}_ab)"""
+    else:
+        miss = "'Missing'" if missing_bin else "NULL"
+        cte = f""",
+{out}_q AS (SELECT {kc}list_sort(list_distinct(quantile_cont(value, {PROBS11}))) AS u
+            FROM {e} WHERE value IS NOT NULL {"GROUP BY " + k if keys else ""}),
+{out}_ed AS (SELECT {kc}CASE WHEN len(u) >= 3 THEN list_slice(u, 2, len(u) - 1) END AS inner_ FROM {out}_q),
+{out}_eb AS (SELECT {kc}CASE WHEN value IS NULL THEN {miss} WHEN isnan(value) THEN {miss}
+                  ELSE CAST(len(list_filter(inner_, lambda x: x < value)) AS VARCHAR) END AS bin
+             FROM {e} LEFT JOIN {out}_ed {using}),
+{out}_ab AS (SELECT {kc}CASE WHEN value IS NULL THEN {miss} WHEN isnan(value) THEN {miss}
+                  ELSE CAST(len(list_filter(inner_, lambda x: x < value)) AS VARCHAR) END AS bin
+             FROM {a} LEFT JOIN {out}_ed {using}),
+{out}_flat AS (SELECT DISTINCT {", ".join("x." + c for c in keys) + ", " if keys else ""}(d.inner_ IS NULL) AS flat
+               FROM {a} x LEFT JOIN {out}_ed d {("ON " + " AND ".join(f"x.{c} = d.{c}" for c in keys)) if keys else "ON TRUE"})"""
+    join_keys = " AND ".join([f"ec.{c} = ac.{c}" for c in keys] + ["ec.bin = ac.bin"])
+    co = ", ".join(f"coalesce(ec.{c}, ac.{c}) AS {c}" for c in keys)
+    cte += f""",
+{out}_ne AS (SELECT {kc}count(*) AS Ne FROM {out}_eb {"GROUP BY " + k if keys else ""}),
+{out}_na AS (SELECT {kc}count(*) AS Na FROM {out}_ab {"GROUP BY " + k if keys else ""}),
+{out}_ec AS (SELECT {kc}bin, count(*) AS n FROM {out}_eb WHERE bin IS NOT NULL GROUP BY ALL),
+{out}_ac AS (SELECT {kc}bin, count(*) AS n FROM {out}_ab WHERE bin IS NOT NULL GROUP BY ALL),
+{out}_m AS (SELECT {co + "," if keys else ""} coalesce(ec.n, 0) AS ne_, coalesce(ac.n, 0) AS na_
+            FROM {out}_ec ec FULL OUTER JOIN {out}_ac ac ON {join_keys}),
+{out}_s AS (SELECT {kc}greatest(CAST(ne_ AS DOUBLE) / Ne, {FLOOR}) AS es, greatest(CAST(na_ AS DOUBLE) / Na, {FLOOR}) AS as_
+            FROM {out}_m JOIN {out}_ne {using} JOIN {out}_na {using}),
+{out}_p AS (SELECT {kc}sum((as_ - es) * ln(as_ / es)) AS psi FROM {out}_s {"GROUP BY " + k if keys else ""}),
+{out} AS (SELECT {", ".join("f." + c for c in keys) + ", " if keys else ""}
+            CASE WHEN f.flat THEN 0.0 ELSE coalesce(p.psi, 0.0) END AS psi
+          FROM {out}_flat f LEFT JOIN {out}_p p {("ON " + " AND ".join(f"f.{c} = p.{c}" for c in keys)) if keys else "ON TRUE"})"""
+    return cte
+
+
+SPLIT_DATE = "1998-01-01"
+
+
+@register("j1_score_psi", with_(V.SCORED + f""",
+e AS (SELECT pd AS value FROM scored WHERE observation_date < DATE '{SPLIT_DATE}'),
+a AS (SELECT pd AS value FROM scored WHERE observation_date >= DATE '{SPLIT_DATE}')""" + psi_sql("e", "a", []),
+    "SELECT round(psi, 6) AS psi FROM psi_out"))
+def q_j1(spark, sf):
+    """Score PSI, bins fixed on the earlier population."""
+    s = fx.scored(spark, sf)
+    d = F.col("observation_date")
+    return r6(S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
+                                           s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd"))
+
+
+@register("j1_score_psi_tied", with_(V.SCORED + f""",
+e AS (SELECT pd_b AS value FROM scored WHERE observation_date < DATE '{SPLIT_DATE}'),
+a AS (SELECT pd_b AS value FROM scored WHERE observation_date >= DATE '{SPLIT_DATE}')""" + psi_sql("e", "a", []),
+    "SELECT round(psi, 6) AS psi FROM psi_out"))
+def q_j1_tied(spark, sf):
+    s = fx.scored(spark, sf)
+    d = F.col("observation_date")
+    return r6(S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
+                                           s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd_b"))
+
+
+COHORT = "CAST(year({d}) AS VARCHAR) || 'Q' || CAST(quarter({d}) AS VARCHAR)"
+
+
+@register("j5_cohort_monitoring", with_(V.SCORED + f""",
+c AS (SELECT *, {COHORT.format(d='observation_date')} AS cohort FROM scored),
+e AS (SELECT k.cohort, b.pd AS value FROM c b, (SELECT DISTINCT cohort FROM c) k
+      WHERE b.cohort = (SELECT min(cohort) FROM c)),
+a AS (SELECT cohort, pd AS value FROM c)""" + psi_sql("e", "a", ["cohort"]), """
+SELECT l.cohort, CAST(count(*) AS BIGINT) AS sample_count, round(avg(CAST(bad AS DOUBLE)), 6) AS bad_rate,
+       round(avg(pd), 6) AS average_score, round(max(p.psi), 6) AS score_psi_vs_baseline,
+       CASE WHEN max(p.psi) >= 0.25 THEN 'alert' WHEN max(p.psi) >= 0.10 THEN 'review' ELSE 'stable' END AS psi_status
+FROM c l JOIN psi_out p ON l.cohort = p.cohort GROUP BY l.cohort"""))
+def q_j5(spark, sf):
+    """Cohort monitoring against the first cohort."""
+    return r6(S.monitoring_table(fx.scored(spark, sf), "pd", "bad", "observation_date"))
+
+
+def oot_ids(snapshot):
+    """OOT population: snapshot loans on/after the automatic cutoff."""
+    _, test, _ = SP.split_out_of_time(snapshot)
+    return test.select("loan_id")
+
+
+AUTO_CUTOFF_SQL = """,
+qs AS (SELECT DISTINCT CAST(date_trunc('quarter', observation_date) AS DATE) AS q FROM snapshot),
+qn AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS i, count(*) OVER () AS n FROM qs),
+cut AS (SELECT q AS cutoff FROM qn WHERE i = greatest(1, CAST(floor(n * 0.8) AS BIGINT))),
+oot AS (SELECT s.* FROM snapshot s, cut WHERE s.observation_date >= cut.cutoff),
+train AS (SELECT s.* FROM snapshot s WHERE s.loan_id NOT IN (SELECT loan_id FROM oot))"""
+
+CONT = ["borrower_credit_score", "original_ltv", "original_dti", "original_upb", "hist_upb_to_original_upb"]
+CATS = ["hist_max_dpd", "hist_30dpd_months", "loan_purpose", "property_type", "occupancy_status", "property_state"]
+
+
+def _long(src: str, cols: list[str], typ: str, comparison: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {comparison} AS comparison, '{c}' AS feature, CAST({c} AS {typ}) AS value FROM {src}" for c in cols)
+
+
+J4_SQL = with_(V.SNAPSHOT + AUTO_CUTOFF_SQL + f""",
+ootc AS (SELECT *, {COHORT.format(d='observation_date')} AS cohort FROM oot),
+b AS (SELECT min(cohort) AS f, max(cohort) AS l FROM ootc),
+firstc AS (SELECT ootc.* FROM ootc, b WHERE cohort = b.f),
+lastc AS (SELECT ootc.* FROM ootc, b WHERE cohort = b.l),
+cname AS (SELECT f || ' vs ' || l AS nm FROM b),
+en AS ({_long('train', CONT, 'DOUBLE', "'Train vs OOT'")} UNION ALL
+       {_long('firstc, cname', CONT, 'DOUBLE', 'cname.nm')}),
+an AS ({_long('oot', CONT, 'DOUBLE', "'Train vs OOT'")} UNION ALL
+       {_long('lastc, cname', CONT, 'DOUBLE', 'cname.nm')}),
+ec AS ({_long('train', CATS, 'VARCHAR', "'Train vs OOT'")} UNION ALL
+       {_long('firstc, cname', CATS, 'VARCHAR', 'cname.nm')}),
+ac AS ({_long('oot', CATS, 'VARCHAR', "'Train vs OOT'")} UNION ALL
+       {_long('lastc, cname', CATS, 'VARCHAR', 'cname.nm')})"""
+    + psi_sql("en", "an", ["comparison", "feature"], missing_bin=True, out="pn")
+    + psi_sql("ec", "ac", ["comparison", "feature"], categorical=True, out="pc") + """,
+psi AS (SELECT comparison, feature, 'continuous' AS feature_type, psi FROM pn
+        UNION ALL SELECT comparison, feature, 'categorical', psi FROM pc),
+em AS (SELECT comparison, feature, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS m FROM en GROUP BY ALL
+       UNION ALL SELECT comparison, feature, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FROM ec GROUP BY ALL),
+am AS (SELECT comparison, feature, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS m FROM an GROUP BY ALL
+       UNION ALL SELECT comparison, feature, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FROM ac GROUP BY ALL)""", """
+SELECT comparison, feature, feature_type, round(psi, 6) AS psi, round(em.m, 6) AS baseline_missing_rate,
+       round(am.m, 6) AS comparison_missing_rate,
+       CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.10 THEN 'review' ELSE 'stable' END AS psi_status,
+       round(am.m - em.m, 6) AS missing_rate_change
+FROM psi JOIN em USING (comparison, feature) JOIN am USING (comparison, feature)""")
+
+
+@register("j4_feature_stability", J4_SQL)
+def q_j4(spark, sf):
+    """Feature PSI train-vs-OOT and first-vs-last cohort."""
+    s = gold_snapshot(spark, sf)
+    return r6(S.feature_stability(s, oot_ids(s)))
+
+
+D17_SQL = with_(V.SNAPSHOT + AUTO_CUTOFF_SQL + """,
+rules AS (SELECT * FROM (VALUES ('borrower_credit_score', 300.0, 850.0), ('original_ltv', 0.0, 100.0),
+          ('original_dti', 0.0, 65.0), ('original_upb', 0.0, NULL), ('hist_upb_to_original_upb', 0.0, 1.20))
+          t(feature, mn, mx)),
+pops AS (""" + " UNION ALL ".join(
+    f"SELECT '{p}' AS population, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {src}"
+    for p, src in (("train", "train"), ("oot", "oot")) for c in CONT) + """)""", """
+SELECT population, feature, CAST(count(*) AS BIGINT) AS sample_count,
+       round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate,
+       round(avg(CASE WHEN value IS NOT NULL AND (value < mn OR (mx IS NOT NULL AND value > mx)) THEN 1.0 ELSE 0.0 END), 6)
+         AS invalid_rate,
+       CASE WHEN avg(CASE WHEN value IS NOT NULL AND (value < mn OR (mx IS NOT NULL AND value > mx)) THEN 1.0 ELSE 0.0 END) > 0.01
+              OR avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) > 0.02 THEN 'alert' ELSE 'stable' END AS quality_status
+FROM pops JOIN rules USING (feature) GROUP BY population, feature""")
+
+
+@register("d17_data_quality", D17_SQL)
+def q_d17(spark, sf):
+    """Domain-rule quality per population (rules broadcast, features stacked)."""
+    s = gold_snapshot(spark, sf)
+    return r6(S.data_quality(s, oot_ids(s)))
+
+
+@register("e2_auto_cutoff", with_(V.SNAPSHOT + AUTO_CUTOFF_SQL, """
+SELECT (SELECT cutoff FROM cut) AS cutoff, CAST((SELECT count(*) FROM train) AS BIGINT) AS train_rows,
+       CAST((SELECT count(*) FROM oot) AS BIGINT) AS test_rows,
+       round((SELECT avg(CAST(bad_12m_90dpd AS DOUBLE)) FROM train), 6) AS train_bad_rate,
+       round((SELECT avg(CAST(bad_12m_90dpd AS DOUBLE)) FROM oot), 6) AS test_bad_rate"""))
+def q_e2(spark, sf):
+    """Automatic out-of-time cutoff and split sizes."""
+    train, test, cutoff = SP.split_out_of_time(gold_snapshot(spark, sf))
+    t = train.agg(F.count(F.lit(1)).alias("train_rows"), F.avg(F.col("bad_12m_90dpd").cast("double")).alias("train_bad_rate"))
+    o = test.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.col("bad_12m_90dpd").cast("double")).alias("test_bad_rate"))
+    return r6(cutoff.crossJoin(t).crossJoin(o))
+
+
+# ---------------------------------------------------------------- policy (2.K)
+from loanlens.operators import policy as P  # noqa: E402
+
+SCEN_SQL = """,
+scen AS (SELECT * FROM (VALUES ('Conservative', 0.08, 0.20, 0.40), ('Balanced', 0.12, 0.30, 0.40),
+         ('Growth', 0.18, 0.40, 0.40)) t(scenario, p_, r_, l_)),
+scen2 AS (SELECT scenario, CAST(p_ AS DOUBLE) AS pass_max_pd, CAST(r_ AS DOUBLE) AS review_max_pd,
+          CAST(l_ AS DOUBLE) AS lgd FROM scen),
+assigned AS (SELECT s.*, x.*, CASE WHEN s.pd <= x.pass_max_pd THEN 'pass' WHEN s.pd <= x.review_max_pd
+                 THEN 'manual_review' ELSE 'reject' END AS action,
+                 s.pd * coalesce(s.original_upb, 0) * x.lgd AS el
+             FROM scored s CROSS JOIN scen2 x),
+summary AS (SELECT scenario, action, count(*) AS loan_count,
+              CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY scenario) AS action_rate,
+              avg(CAST(bad AS DOUBLE)) AS observed_bad_rate, avg(pd) AS average_predicted_pd,
+              coalesce(sum(original_upb), 0.0) AS exposure_amount, coalesce(sum(el), 0.0) AS expected_loss,
+              max(pass_max_pd) AS pass_max_pd, max(review_max_pd) AS review_max_pd
+            FROM assigned GROUP BY scenario, action)"""
+
+
+def policy_scores(spark, sf):
+    return fx.scored(spark, sf).withColumnRenamed("pd", "xgboost_pd").withColumnRenamed("bad", "bad_12m_90dpd")
+
+
+@register("k3_strategy_summary", with_(V.SCORED + SCEN_SQL, """
+SELECT scenario, action, CAST(loan_count AS BIGINT) AS loan_count, round(action_rate, 6) AS action_rate,
+       round(observed_bad_rate, 6) AS observed_bad_rate, round(average_predicted_pd, 6) AS average_predicted_pd,
+       round(exposure_amount, 2) AS exposure_amount, round(expected_loss, 2) AS expected_loss,
+       pass_max_pd, review_max_pd FROM summary"""))
+def q_k3(spark, sf):
+    """Every scenario on every score row in one pass (money in cents)."""
+    out = P.summarize_strategy(policy_scores(spark, sf), P.scenarios_table(spark))
+    out = out.withColumn("exposure_amount", F.round("exposure_amount", 2)).withColumn(
+        "expected_loss", F.round("expected_loss", 2))
+    return r6(out)
+
+
+K4_SELECT = """
+SELECT scenario,
+  coalesce(sum(action_rate) FILTER (WHERE action = 'pass'), 0.0) AS pass_rate,
+  coalesce(sum(action_rate) FILTER (WHERE action = 'manual_review'), 0.0) AS review_rate,
+  coalesce(sum(action_rate) FILTER (WHERE action IN ('pass', 'manual_review')), 0.0) AS approval_or_review_rate,
+  max(observed_bad_rate) FILTER (WHERE action = 'pass') AS pass_bad_rate,
+  coalesce(sum(expected_loss) FILTER (WHERE action IN ('pass', 'manual_review')), 0.0) AS provisional_booked_expected_loss,
+  coalesce(sum(expected_loss) FILTER (WHERE action = 'reject'), 0.0) AS expected_loss_avoided_by_reject,
+  coalesce(sum(expected_loss), 0.0) AS pre_decision_portfolio_expected_loss
+FROM summary GROUP BY scenario"""
+
+
+@register("k4_scenario_overview", with_(V.SCORED + SCEN_SQL + ",\nov AS (" + K4_SELECT + ")", """
+SELECT scenario, round(pass_rate, 6) AS pass_rate, round(review_rate, 6) AS review_rate,
+  round(approval_or_review_rate, 6) AS approval_or_review_rate, round(pass_bad_rate, 6) AS pass_bad_rate,
+  round(provisional_booked_expected_loss, 6) AS provisional_booked_expected_loss,
+  round(expected_loss_avoided_by_reject, 6) AS expected_loss_avoided_by_reject,
+  round(pre_decision_portfolio_expected_loss, 6) AS pre_decision_portfolio_expected_loss FROM ov"""))
+def q_k4(spark, sf):
+    return r6(P.scenario_overview(P.summarize_strategy(policy_scores(spark, sf), P.scenarios_table(spark))))
+
+
+@register("l6_scenario_tradeoff", with_(V.SCORED + SCEN_SQL + ",\nov AS (" + K4_SELECT + ")", """
+SELECT scenario, round(1.0 - approval_or_review_rate, 6) AS reject_rate,
+  round(provisional_booked_expected_loss / 1e6, 6) AS booked_el_millions,
+  round(expected_loss_avoided_by_reject / 1e6, 6) AS avoided_el_millions FROM ov"""))
+def q_l6(spark, sf):
+    return r6(P.scenario_tradeoff(P.scenario_overview(
+        P.summarize_strategy(policy_scores(spark, sf), P.scenarios_table(spark)))))
+
+
+K5_SQL = with_(V.SCORED + """,
+a AS (SELECT *, CASE WHEN pd <= 0.12 THEN 'pass' WHEN pd <= 0.30 THEN 'manual_review' ELSE 'reject' END AS action,
+         pd * coalesce(original_upb, 0) * 0.40 AS el FROM scored),
+g AS (SELECT action, count(*) AS c, avg(CAST(bad AS DOUBLE)) AS br, avg(pd) AS ap,
+         coalesce(sum(original_upb), 0.0) AS ex, coalesce(sum(el), 0.0) AS el FROM a GROUP BY action),
+dom AS (SELECT * FROM (VALUES ('pass'), ('manual_review'), ('reject')) t(action))""", """
+SELECT dom.action, CAST(coalesce(c, 0) AS BIGINT) AS loan_count, round(coalesce(br, 0.0), 6) AS observed_bad_rate,
+       round(coalesce(ap, 0.0), 6) AS average_pd, round(coalesce(ex, 0.0), 6) AS exposure,
+       round(coalesce(el, 0.0), 6) AS expected_loss,
+       round(CAST(coalesce(c, 0) AS DOUBLE) / (SELECT count(*) FROM scored), 6) AS action_rate
+FROM dom LEFT JOIN g USING (action)""")
+
+
+@register("k5_adhoc_strategy", K5_SQL)
+def q_k5(spark, sf):
+    """K5: ad-hoc thresholds, all three actions zero-filled."""
+    detail, _ = P.strategy_summary(policy_scores(spark, sf), 0.12, 0.30, 0.40)
+    return r6(detail)

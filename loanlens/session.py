@@ -56,3 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` to the reliable checkpoint folder.
+
+    Used for small reused tables (edges, offsets, totals) and for gold tables
+    that several branches of one plan read; the plan that follows reads the
+    written files instead of re-deriving (and re-analysing) the whole lineage.
+    Never a local checkpoint: the files survive executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
