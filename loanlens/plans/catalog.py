@@ -475,3 +475,161 @@ def q_k5(spark, sf):
     """K5: ad-hoc thresholds, all three actions zero-filled."""
     detail, _ = P.strategy_summary(policy_scores(spark, sf), 0.12, 0.30, 0.40)
     return r6(detail)
+
+
+# ---------------------------------------------------------------- profiling
+from loanlens.operators import profile as PR  # noqa: E402
+
+WIDE_COLS = ["ID", "LIMIT_BAL", "SEX", "EDUCATION", "MARRIAGE", "AGE", *fx.PAY_STATUS_COLUMNS,
+             *fx.BILL_COLUMNS, *fx.PAY_AMOUNT_COLUMNS, fx.TARGET_WIDE]
+WIDE_TYPES = {"ID": "bigint", "LIMIT_BAL": "double", **{c: "int" for c in ["SEX", "EDUCATION", "MARRIAGE", "AGE",
+              *fx.PAY_STATUS_COLUMNS, fx.TARGET_WIDE]}, **{c: "double" for c in fx.BILL_COLUMNS + fx.PAY_AMOUNT_COLUMNS}}
+
+
+@register("d10_field_profile", with_(V.WIDE + ",\nlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM wide" for c in WIDE_COLS) + ")", """
+SELECT field AS "column", CASE field """ + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in WIDE_TYPES.items()) + """ END AS dtype,
+       CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS missing_count,
+       round(CAST(count(*) FILTER (WHERE value IS NULL) AS DOUBLE) / count(*), 6) AS missing_rate,
+       CAST(count(DISTINCT value) AS BIGINT) AS unique_count
+FROM long GROUP BY field"""))
+def q_d10(spark, sf):
+    """D10 (A10 load): field profile over the wide customer table."""
+    return r6(PR.field_profile(fx.wide_customer(spark, sf)))
+
+
+D11_PARTS = [f"""SELECT '{c}' AS field, '{", ".join(map(str, v))}' AS expected_codes,
+  array_to_string(list_sort(list_distinct(list(CAST({c} AS BIGINT)))), ', ') AS observed_codes,
+  CAST(count(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({", ".join(map(str, v))})) AS BIGINT) AS unexpected_count,
+  round(CAST(count(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({", ".join(map(str, v))})) AS DOUBLE) / count(*), 6) AS unexpected_rate,
+  '{PR.CODE_NOTE.replace("'", "''")}' AS note FROM wide""" for c, v in PR.EXPECTED_CODES.items()] + [
+    f"""SELECT '{c}', '-2 to 8', CAST(min({c}) AS VARCHAR) || ' to ' || CAST(max({c}) AS VARCHAR),
+  CAST(count(*) FILTER (WHERE {c} < -2 OR {c} > 8) AS BIGINT),
+  round(CAST(count(*) FILTER (WHERE {c} < -2 OR {c} > 8) AS DOUBLE) / count(*), 6), '{PR.PAY_NOTE}' FROM wide"""
+    for c in fx.PAY_STATUS_COLUMNS]
+
+
+@register("d11_code_quality", with_(V.WIDE, " UNION ALL ".join(D11_PARTS)))
+def q_d11(spark, sf):
+    return r6(PR.code_quality(fx.wide_customer(spark, sf)))
+
+
+MONEY_LONG = ",\nml AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, CAST({c} AS DOUBLE) AS value FROM wide" for c in fx.MONEY_COLUMNS) + ")"
+D12_CTE = MONEY_LONG + """,
+q AS (SELECT field, quantile_cont(value, [0.01, 0.5, 0.99]) AS qs FROM ml WHERE value IS NOT NULL GROUP BY field),
+mp AS (SELECT ml.field, min(value) AS minimum, max(qs[1]) AS p01, max(qs[2]) AS median, max(qs[3]) AS p99,
+         max(value) AS maximum, CAST(count(*) FILTER (WHERE value = 0) AS BIGINT) AS zero_count,
+         CAST(count(*) FILTER (WHERE value < 0) AS BIGINT) AS negative_count,
+         CAST(count(*) FILTER (WHERE value > qs[3]) AS BIGINT) AS above_p99_count
+       FROM ml LEFT JOIN q USING (field) GROUP BY ml.field)"""
+
+
+@register("d12_money_profile", with_(V.WIDE + D12_CTE, """
+SELECT field, round(minimum, 6) AS minimum, round(p01, 6) AS p01, round(median, 6) AS median, round(p99, 6) AS p99,
+       round(maximum, 6) AS maximum, zero_count, negative_count, above_p99_count FROM mp"""))
+def q_d12(spark, sf):
+    """Exact percentiles for all money fields in one grouped pass."""
+    return r6(PR.money_profile(fx.wide_customer(spark, sf)))
+
+
+@register("d16_negative_bills", with_(V.WIDE + D12_CTE, """
+SELECT CAST(coalesce(sum(negative_count), 0) AS BIGINT) AS negative_count FROM mp WHERE field LIKE 'BILL_%'"""))
+def q_d16(spark, sf):
+    return PR.negative_total(PR.money_profile(fx.wide_customer(spark, sf)))
+
+
+def _band_sql(x: str, edges, labels) -> str:
+    parts = []
+    for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
+        lo_s = "" if lo == float("-inf") else f"{x} > {float(lo)}"
+        hi_s = "" if hi == float("inf") else f"{x} <= {float(hi)}"
+        cond = " AND ".join(p for p in (lo_s, hi_s) if p) or "TRUE"
+        if lo != float("-inf") or hi != float("inf"):
+            cond = f"{x} IS NOT NULL AND " + cond
+        parts.append(f"WHEN {cond} THEN '{lab}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _map_sql(x: str, mapping, default) -> str:
+    return "CASE " + " ".join(f"WHEN {x} = {k} THEN '{v}'" for k, v in mapping.items()) + f" ELSE '{default}' END"
+
+
+SEG_SQL = V.WIDE + """,
+lq AS (SELECT list_sort(list_distinct(quantile_cont(LIMIT_BAL, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS u
+       FROM wide WHERE LIMIT_BAL IS NOT NULL),
+w2 AS (SELECT wide.*, greatest(PAY_0, PAY_2, PAY_3, PAY_4, PAY_5, PAY_6) AS mds,
+         """ + " + ".join(f"(CASE WHEN {c} >= 1 THEN 1 ELSE 0 END)" for c in fx.PAY_STATUS_COLUMNS) + """ AS dmc,
+         CASE WHEN LIMIT_BAL IS NULL THEN NULL ELSE ['Q1 low', 'Q2', 'Q3', 'Q4 high'][
+           1 + len(list_filter(list_slice(u, 2, greatest(len(u) - 1, 1)), lambda e: e < LIMIT_BAL))] END AS limit_segment
+       FROM wide, lq),
+seg AS (SELECT default_payment_next_month AS t,
+    """ + _map_sql("SEX", PR.GENDER, "Unknown") + """ AS gender,
+    """ + _map_sql("EDUCATION", PR.EDUCATION, "Other / unknown") + """ AS education,
+    """ + _map_sql("MARRIAGE", PR.MARRIAGE, "Other / unknown") + """ AS marriage,
+    """ + _band_sql("AGE", PR.AGE_EDGES, PR.AGE_LABELS) + """ AS age,
+    limit_segment AS "limit",
+    """ + _band_sql("mds", PR.DELQ_EDGES, PR.DELQ_LABELS) + """ AS max_delinquency,
+    """ + _band_sql("dmc", PR.COUNT_EDGES, PR.COUNT_LABELS) + """ AS delinquent_month,
+    CAST(PAY_0 AS VARCHAR) AS recent_delinquency_status FROM w2),
+long AS (""" + " UNION ALL ".join(
+    f"SELECT '{s}' AS segment, \"{s}\" AS segment_value, t FROM seg" for s in
+    ["gender", "education", "marriage", "age", "limit", "max_delinquency", "delinquent_month",
+     "recent_delinquency_status"]) + ")"
+
+
+@register("d13_segment_rates", with_(SEG_SQL, """
+SELECT segment, segment_value, CAST(count(*) AS BIGINT) AS sample_count, round(avg(CAST(t AS DOUBLE)), 6) AS default_rate
+FROM long WHERE segment_value IS NOT NULL GROUP BY segment, segment_value"""))
+def q_d13(spark, sf):
+    """D13 with B12-B15: segments and default rates in one stacked group-by."""
+    return r6(PR.segment_default_rates(PR.build_segments(fx.wide_customer(spark, sf))))
+
+
+@register("d14_duplicates", with_(V.WIDE, """
+SELECT CAST((SELECT count(*) FROM wide) - (SELECT count(*) FROM (SELECT DISTINCT * FROM wide)) AS BIGINT) AS duplicate_rows,
+       CAST((SELECT count(*) FROM wide) - (SELECT count(DISTINCT ID) FROM wide) AS BIGINT) AS duplicate_ids,
+       CAST(""" + " + ".join(f"(SELECT CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > 0 THEN 1 ELSE 0 END FROM wide)"
+                          for c in WIDE_COLS) + """ AS INTEGER) AS fields_with_missing"""))
+def q_d14(spark, sf):
+    return PR.duplicate_summary(fx.wide_customer(spark, sf))
+
+
+@register("d15_class_shares", with_(V.WIDE, """
+SELECT default_payment_next_month AS default_flag, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM wide), 6) AS sample_rate
+FROM wide GROUP BY default_payment_next_month"""))
+def q_d15(spark, sf):
+    return r6(PR.class_shares(fx.wide_customer(spark, sf)))
+
+
+def _rowmean_sql(cols):
+    s = " + ".join(f"coalesce({c}, 0)" for c in cols)
+    n = " + ".join(f"(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END)" for c in cols)
+    return f"(CASE WHEN ({n}) = 0 THEN NULL ELSE ({s}) / ({n}) END)"
+
+
+B18_SQL = with_(V.WIDE + """,
+f0 AS (SELECT ID, LIMIT_BAL, CAST(PAY_0 AS DOUBLE) AS recent_delinquency_status,
+   CAST(greatest(PAY_0, PAY_2, PAY_3, PAY_4, PAY_5, PAY_6) AS DOUBLE) AS max_delinquency_status,
+   CAST(""" + " + ".join(f"(CASE WHEN {c} >= 1 THEN 1 ELSE 0 END)" for c in fx.PAY_STATUS_COLUMNS) + """ AS DOUBLE)
+     AS delinquent_month_count,
+   """ + _rowmean_sql(fx.BILL_COLUMNS) + """ AS avg_bill_amount,
+   """ + _rowmean_sql(fx.PAY_AMOUNT_COLUMNS) + """ AS avg_payment_amount,
+   (""" + " + ".join(f"coalesce(greatest({c}, 0), 0)" for c in fx.BILL_COLUMNS) + """) AS pos_bills,
+   (""" + " + ".join(f"coalesce({c}, 0)" for c in fx.PAY_AMOUNT_COLUMNS) + """) AS pay_sum,
+   stddev_samp_b AS bill_amount_volatility, default_payment_next_month
+ FROM (SELECT *, (SELECT stddev_samp(x) FROM (SELECT unnest([""" + ", ".join(fx.BILL_COLUMNS) + """]) AS x))
+       AS stddev_samp_b FROM wide))""", """
+SELECT ID, round(LIMIT_BAL, 6) AS LIMIT_BAL, recent_delinquency_status, max_delinquency_status, delinquent_month_count,
+  round(avg_bill_amount, 6) AS avg_bill_amount, round(avg_payment_amount, 6) AS avg_payment_amount,
+  round(CASE WHEN avg_bill_amount IS NULL OR LIMIT_BAL = 0 THEN NULL
+             ELSE greatest(-2.0, least(10.0, avg_bill_amount / LIMIT_BAL)) END, 6) AS balance_to_limit_ratio,
+  round(greatest(0.0, least(5.0, CASE WHEN pos_bills = 0 THEN 0.0 ELSE pay_sum / pos_bills END)), 6) AS payment_to_bill_ratio,
+  round(bill_amount_volatility, 6) AS bill_amount_volatility, default_payment_next_month
+FROM f0""")
+
+
+@register("b18_behaviour_features", B18_SQL)
+def q_b18(spark, sf):
+    """Row-wise behaviour features for every customer (NULL check off)."""
+    return r6(PR.prepare_features(fx.wide_customer(spark, sf), require_complete=False))

@@ -118,12 +118,12 @@ ord6 AS (
     max(CASE WHEN rn = 4 THEN o_totalprice END) AS BILL_AMT4,
     max(CASE WHEN rn = 5 THEN o_totalprice END) AS BILL_AMT5,
     max(CASE WHEN rn = 6 THEN o_totalprice END) AS BILL_AMT6,
-    max(CASE WHEN rn = 1 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT1,
-    max(CASE WHEN rn = 2 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT2,
-    max(CASE WHEN rn = 3 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT3,
-    max(CASE WHEN rn = 4 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT4,
-    max(CASE WHEN rn = 5 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT5,
-    max(CASE WHEN rn = 6 THEN round(o_totalprice * (CAST(o_orderkey % 5 AS DOUBLE) / 10.0), 2) END) AS PAY_AMT6,
+    max(CASE WHEN rn = 1 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT1,
+    max(CASE WHEN rn = 2 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT2,
+    max(CASE WHEN rn = 3 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT3,
+    max(CASE WHEN rn = 4 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT4,
+    max(CASE WHEN rn = 5 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT5,
+    max(CASE WHEN rn = 6 THEN o_totalprice * CAST(o_orderkey % 5 AS DOUBLE) / 10.0 END) AS PAY_AMT6,
     max(CASE WHEN rn = 1 THEN CAST(o_orderkey % 11 - 2 AS INTEGER) END) AS PAY_0,
     max(CASE WHEN rn = 2 THEN CAST(o_orderkey % 11 - 2 AS INTEGER) END) AS PAY_2,
     max(CASE WHEN rn = 3 THEN CAST(o_orderkey % 11 - 2 AS INTEGER) END) AS PAY_3,

@@ -140,7 +140,7 @@ def wide_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(1, 7):
         pick = F.col("rn") == i
         aggs.append(F.max(F.when(pick, F.col("o_totalprice"))).alias(BILL_COLUMNS[i - 1]))
-        aggs.append(F.max(F.when(pick, F.round(F.col("o_totalprice") * ((F.col("o_orderkey") % 5).cast("double") / 10.0), 2)))
+        aggs.append(F.max(F.when(pick, F.col("o_totalprice") * (F.col("o_orderkey") % 5).cast("double") / 10.0))
                     .alias(PAY_AMOUNT_COLUMNS[i - 1]))
         aggs.append(F.max(F.when(pick, (F.col("o_orderkey") % 11 - 2).cast("int"))).alias(PAY_STATUS_COLUMNS[i - 1]))
     aggs.append(F.max(F.when((F.col("rn") == 1) & (F.col("o_orderstatus") == "F"), 1).otherwise(0)).alias("_target"))
