@@ -633,3 +633,77 @@ FROM f0""")
 def q_b18(spark, sf):
     """Row-wise behaviour features for every customer (NULL check off)."""
     return r6(PR.prepare_features(fx.wide_customer(spark, sf), require_complete=False))
+
+
+# ---------------------------------------------------------------- models (2.H), rows-only checks
+from loanlens.operators import models as ML  # noqa: E402
+
+
+def _oot_frames(spark, sf):
+    s = gold_snapshot(spark, sf)
+    train, test, _ = SP.split_out_of_time(s)
+    return train, test
+
+
+@register("h9_champion_challenger")
+def q_h9(spark, sf):
+    """Logistic + boosted trees on the OOT split; metrics per model."""
+    train, test = _oot_frames(spark, sf)
+    n = train.count()
+    _, metrics, _ = ML.train_models(train, test, {"logistic": ML.logistic(n), "xgboost": ML.boosted()})
+    return r6(metrics)
+
+
+@register("h7_oot_scores")
+def q_h7(spark, sf):
+    """H7 / H5: OOT scores from the second boosted challenger (300 trees, depth 5, 100 rows per leaf)."""
+    train, test = _oot_frames(spark, sf)
+    m = ML.fit(train, "lightgbm", ML.boosted(max_iter=300, depth=5, min_instances=100, subsample=1.0))
+    return r6(m.score(test, "lightgbm_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "lightgbm_pd"))
+
+
+@register("h10_importance")
+def q_h10(spark, sf):
+    train, _ = _oot_frames(spark, sf)
+    return r6(ML.importance(ML.fit(train, "xgboost", ML.boosted())))
+
+
+@register("h8_isotonic_calibration")
+def q_h8(spark, sf):
+    """Fit before the calibration quarter, isotonic map on it, evaluate OOT."""
+    s = gold_snapshot(spark, sf)
+    _, _, cutoff = SP.split_out_of_time(s)
+    start = str(cutoff.first()["cutoff"])
+    model_train, calibration, oot = SP.three_way_time_split(s, start)
+    m = ML.fit(model_train, "xgboost", ML.boosted())
+    cal = ML.isotonic_calibrate(m.score(calibration, "raw_pd"), m.score(oot, "raw_pd"), "raw_pd")
+    raw = M.binary_metrics(cal, "bad_12m_90dpd", "raw_pd").withColumn("score_version", F.lit("raw"))
+    iso = M.binary_metrics(cal, "bad_12m_90dpd", "calibrated_pd").withColumn("score_version", F.lit("isotonic"))
+    return r6(raw.unionByName(iso))
+
+
+def _wide_model_frame(spark, sf):
+    # scoreable population: customers with at least two statements (volatility needs n >= 2)
+    w = fx.wide_customer(spark, sf).filter(F.col("BILL_AMT2").isNotNull())
+    return PR.prepare_features(w)
+
+
+@register("h11_coefficients")
+def q_h11(spark, sf):
+    """Baseline-case logistic on a seeded stratified split; coefficient table."""
+    feats = _wide_model_frame(spark, sf)
+    train, _ = SP.stratified_split(feats, 0.2, fx.TARGET_WIDE, "ID")
+    m = ML.fit(train, "logistic", ML.logistic(train.count(), 2000), label=fx.TARGET_WIDE,
+               numeric=PR.FEATURES_WIDE, categorical=[])
+    return r6(ML.coefficients(m))
+
+
+@register("h6_forest_metrics")
+def q_h6(spark, sf):
+    """E5 / H6 / I4 / F2: random forest on the baseline case; KS with threshold."""
+    feats = _wide_model_frame(spark, sf)
+    train, test = SP.stratified_split(feats, 0.2, fx.TARGET_WIDE, "ID")
+    m = ML.fit(train, "forest", ML.forest(), label=fx.TARGET_WIDE, numeric=PR.FEATURES_WIDE, categorical=[])
+    scored = m.score(test, "forest_pd")
+    return r6(M.ks_with_threshold(scored, fx.TARGET_WIDE, "forest_pd").crossJoin(
+        M.binary_metrics(scored, fx.TARGET_WIDE, "forest_pd").select("auc")))
