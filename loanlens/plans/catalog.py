@@ -707,3 +707,88 @@ def q_h6(spark, sf):
     scored = m.score(test, "forest_pd")
     return r6(M.ks_with_threshold(scored, fx.TARGET_WIDE, "forest_pd").crossJoin(
         M.binary_metrics(scored, fx.TARGET_WIDE, "forest_pd").select("auc")))
+
+
+# ---------------------------------------------------------------- two-extract mode
+
+def extracts(spark, sf):
+    panel = fx.loan_panel(spark, sf)
+    perf = snap.dedupe_keep_last(panel, ["loan_id", "reporting_month"], ["ingest_date", "ingest_key", "ingest_line"])
+    return fx.origination_extract(spark, sf), perf
+
+
+EXTRA_CTES = """,
+perf AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY loan_id, reporting_month
+           ORDER BY ingest_date DESC, ingest_key DESC, ingest_line DESC) AS rn FROM panel) WHERE rn = 1),
+orig AS (SELECT loan_id, max(origination_date) AS origination_date, max(original_upb) AS original_upb,
+           max(original_ltv) AS original_ltv, max(original_dti) AS original_dti,
+           max(borrower_credit_score) AS borrower_credit_score, max(original_interest_rate) AS original_interest_rate,
+           max(original_loan_term) AS original_loan_term, max(loan_purpose) AS loan_purpose,
+           max(occupancy_status) AS occupancy_status, max(property_state) AS property_state,
+           max(property_type) AS property_type FROM panel GROUP BY loan_id)"""
+EXTRACT_SQL = V.PANEL + EXTRA_CTES
+
+D6_SQL = with_(EXTRACT_SQL + """,
+j AS (SELECT p.loan_id, p.reporting_month, p.current_actual_upb, p.current_delinquency_status,
+        coalesce(p.modification_flag, 'Unknown') AS modification_flag, o.original_upb,
+        (year(p.reporting_month) - year(o.origination_date)) * 12 + month(p.reporting_month) - month(o.origination_date) AS mob
+      FROM perf p JOIN orig o USING (loan_id)
+      WHERE o.origination_date IS NOT NULL AND p.reporting_month IS NOT NULL AND p.current_delinquency_status IS NOT NULL),
+j1 AS (SELECT * FROM j WHERE mob >= 1),
+a AS (SELECT loan_id, max(mob) AS max_mob,
+        count(*) FILTER (WHERE mob BETWEEN 1 AND 6) AS nh, count(*) FILTER (WHERE mob BETWEEN 7 AND 18) AS nf,
+        max(current_delinquency_status) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_max_dpd,
+        CAST(count(*) FILTER (WHERE mob BETWEEN 1 AND 6 AND current_delinquency_status >= 1) AS BIGINT) AS hist_30dpd_months,
+        avg(current_actual_upb) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_avg_upb,
+        stddev_samp(current_actual_upb) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_upb_volatility,
+        CAST(count(*) FILTER (WHERE mob BETWEEN 1 AND 6 AND modification_flag = 'Y') AS BIGINT) AS hist_modified_months,
+        max(mob) FILTER (WHERE mob BETWEEN 1 AND 6) AS last_h,
+        CAST(CASE WHEN max(current_delinquency_status) FILTER (WHERE mob BETWEEN 7 AND 18) >= 3 THEN 1 ELSE 0 END AS INTEGER)
+          AS bad_12m_90dpd
+      FROM j1 GROUP BY loan_id),
+lat AS (SELECT j1.loan_id, j1.current_actual_upb AS hist_latest_upb, j1.current_delinquency_status AS hist_latest_dpd,
+          CASE WHEN j1.original_upb = 0 THEN NULL ELSE j1.current_actual_upb / j1.original_upb END AS hist_upb_to_original_upb
+        FROM j1 JOIN a ON j1.loan_id = a.loan_id AND j1.mob = a.last_h)""", """
+SELECT o.loan_id, o.origination_date, o.original_upb, o.original_ltv, o.original_dti, o.borrower_credit_score,
+  o.original_interest_rate, o.original_loan_term, coalesce(o.loan_purpose, 'Unknown') AS loan_purpose,
+  coalesce(o.occupancy_status, 'Unknown') AS occupancy_status, coalesce(o.property_state, 'Unknown') AS property_state,
+  coalesce(o.property_type, 'Unknown') AS property_type, a.hist_max_dpd, a.hist_30dpd_months,
+  round(a.hist_avg_upb, 6) AS hist_avg_upb, round(a.hist_upb_volatility, 6) AS hist_upb_volatility,
+  a.hist_modified_months, lat.hist_latest_upb, lat.hist_latest_dpd,
+  round(lat.hist_upb_to_original_upb, 6) AS hist_upb_to_original_upb, a.bad_12m_90dpd,
+  CAST(o.origination_date + INTERVAL 6 MONTH AS DATE) AS observation_date
+FROM orig o JOIN a USING (loan_id) JOIN lat USING (loan_id)
+WHERE a.max_mob >= 18 AND a.nh > 0 AND a.nf > 0""")
+
+
+@register("d6_snapshot_extracts", D6_SQL)
+def q_d6(spark, sf):
+    """Two-extract snapshot (max-month eligibility, last row even if NULL)."""
+    orig, perf = extracts(spark, sf)
+    return r6(snap.build_snapshot_extracts(orig, perf))
+
+
+PANEL_COLS = ["loan_id", "reporting_month", "original_interest_rate", "original_upb", "current_actual_upb",
+              "original_loan_term", "origination_date", "original_ltv", "original_dti", "borrower_credit_score",
+              "loan_purpose", "property_type", "occupancy_status", "property_state", "current_delinquency_status",
+              "modification_flag", "ingest_date", "ingest_key", "ingest_line"]
+ORIG_COLS = ["loan_id", "origination_date", "original_upb", "original_ltv", "original_dti", "borrower_credit_score",
+             "original_interest_rate", "original_loan_term", "loan_purpose", "occupancy_status", "property_state",
+             "property_type"]
+
+
+def _stage_sql(name, src, cols):
+    rate = " + ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)" for c in cols)
+    return (f"SELECT '{name}' AS stage, CAST(count(*) AS BIGINT) AS row_count, "
+            f"CAST(count(DISTINCT loan_id) AS BIGINT) AS unique_loans, round(({rate}) / {len(cols)}, 6) "
+            f"AS average_field_missing_rate FROM {src}")
+
+
+@register("d9_stage_quality", with_(V.SNAPSHOT + EXTRA_CTES,
+                                    " UNION ALL ".join([_stage_sql("origination", "orig", ORIG_COLS),
+                                                        _stage_sql("performance", "perf", PANEL_COLS),
+                                                        _stage_sql("snapshot", "snapshot", snap.SNAPSHOT_COLUMNS)])))
+def q_d9(spark, sf):
+    """Rows, distinct loans and mean field missing rate per stage."""
+    orig, perf = extracts(spark, sf)
+    return r6(snap.stage_quality({"origination": orig, "performance": perf, "snapshot": snapshot_df(spark, sf)}))
