@@ -792,3 +792,71 @@ def q_d9(spark, sf):
     """Rows, distinct loans and mean field missing rate per stage."""
     orig, perf = extracts(spark, sf)
     return r6(snap.stage_quality({"origination": orig, "performance": perf, "snapshot": snapshot_df(spark, sf)}))
+
+
+# ---------------------------------------------------------------- reports (2.L)
+from loanlens.plans import reports as RP  # noqa: E402
+
+
+@register("l1_overview_kpis", with_(V.SNAPSHOT + ",\n" + V.SCORED.strip() + PTS_SQL.format(score="pd") + f""",
+e AS (SELECT pd AS value FROM scored WHERE observation_date < DATE '{SPLIT_DATE}'),
+a AS (SELECT pd AS value FROM scored WHERE observation_date >= DATE '{SPLIT_DATE}')""" + psi_sql("e", "a", []), """
+SELECT CAST((SELECT count(*) FROM snapshot) AS BIGINT) AS loan_count,
+  round((SELECT avg(CAST(bad_12m_90dpd AS DOUBLE)) FROM snapshot), 6) AS bad_rate,
+  round((SELECT sum(good * (cum_bad - bad / 2.0)) / (max(nb) * max(ng)) FROM cum, tot), 6) AS champion_auc,
+  round((SELECT psi FROM psi_out), 6) AS score_psi,
+  CASE WHEN (SELECT psi FROM psi_out) >= 0.10 THEN 'review' ELSE 'stable' END AS psi_flag"""))
+def q_l1(spark, sf):
+    s = fx.scored(spark, sf)
+    d = F.col("observation_date")
+    psi = S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
+                                       s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd")
+    return r6(RP.overview_kpis(snap.snapshot_summary(snapshot_df(spark, sf)), M.binary_metrics(s, "bad", "pd"), psi))
+
+
+@register("l2_model_comparison", "SELECT 'model_a' AS model, * FROM (" + _metrics_sql("pd")
+          + ") UNION ALL SELECT 'model_b' AS model, * FROM (" + _metrics_sql("pd_b") + ")")
+def q_l2(spark, sf):
+    """Comparison table of two score versions."""
+    s = fx.scored(spark, sf)
+    return r6(RP.model_comparison(M.binary_metrics(s, "bad", "pd").withColumn("model", F.lit("model_a")),
+                                  M.binary_metrics(s, "bad", "pd_b").withColumn("model", F.lit("model_b"))))
+
+
+@register("l3_top_drift", with_(J4_SQL.split("\nSELECT comparison, feature, feature_type")[0].replace("WITH ", "", 1)
+                                + """,
+j4 AS (SELECT comparison, feature, feature_type, psi FROM psi)""", """
+SELECT comparison, feature, feature_type, round(psi, 6) AS psi, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY psi DESC, feature) AS rank FROM j4
+  WHERE starts_with(comparison, 'Train vs OOT')) WHERE rank <= 10"""))
+def q_l3(spark, sf):
+    """Top-10 train-vs-OOT drift features."""
+    s = gold_snapshot(spark, sf)
+    t = RP.top_drift(S.feature_stability(s, oot_ids(s)))
+    return r6(t.select("comparison", "feature", "feature_type", "psi", F.col("rank").cast("int").alias("rank")))
+
+
+@register("l4_quality_alerts", "SELECT * FROM (" + D17_SQL + ") WHERE quality_status = 'alert'")
+def q_l4(spark, sf):
+    s = gold_snapshot(spark, sf)
+    return r6(RP.quality_alerts(S.data_quality(s, oot_ids(s))))
+
+
+@register("l5_quality_pivot", """SELECT feature,
+  max(CASE WHEN population = 'train' THEN missing_rate END) AS train_missing_rate,
+  max(CASE WHEN population = 'train' THEN invalid_rate END) AS train_invalid_rate,
+  max(CASE WHEN population = 'oot' THEN missing_rate END) AS oot_missing_rate,
+  max(CASE WHEN population = 'oot' THEN invalid_rate END) AS oot_invalid_rate
+FROM (""" + D17_SQL + ") GROUP BY feature")
+def q_l5(spark, sf):
+    s = gold_snapshot(spark, sf)
+    return r6(RP.quality_pivot(S.data_quality(s, oot_ids(s))))
+
+
+@register("l7_latest_cohort", """SELECT baseline_cohort, cohort AS latest_cohort, bad_rate AS latest_bad_rate,
+  score_psi_vs_baseline AS latest_psi, psi_status
+FROM (SELECT *, min(cohort) OVER () AS baseline_cohort, max(cohort) OVER () AS mx FROM (""" + ORACLE["j5_cohort_monitoring"]
+          + """)) WHERE cohort = mx""")
+def q_l7(spark, sf):
+    """Latest-cohort monitoring KPIs."""
+    return r6(RP.latest_cohort_kpis(S.monitoring_table(fx.scored(spark, sf), "pd", "bad", "observation_date")))
