@@ -860,3 +860,24 @@ FROM (SELECT *, min(cohort) OVER () AS baseline_cohort, max(cohort) OVER () AS m
 def q_l7(spark, sf):
     """Latest-cohort monitoring KPIs."""
     return r6(RP.latest_cohort_kpis(S.monitoring_table(fx.scored(spark, sf), "pd", "bad", "observation_date")))
+
+
+# ---------------------------------------------------------------- streaming monitor, batch form (M1)
+from loanlens.streaming import monitor as MON  # noqa: E402
+
+
+@register("m1_daily_score_bins", """
+WITH ev AS (SELECT ts, least(value / 500.0, 1.0) AS score FROM events),
+base AS (SELECT score FROM ev WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM ev)),
+q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS u
+      FROM base WHERE score IS NOT NULL),
+ed AS (SELECT list_slice(u, 2, greatest(len(u) - 1, 1)) AS inner_ FROM q)
+SELECT CAST(ts AS DATE) AS day, CAST(len(list_filter(inner_, lambda e: e < score)) AS INTEGER) AS bin,
+       CAST(count(*) AS BIGINT) AS records
+FROM ev, ed GROUP BY ALL""")
+def q_m1(spark, sf):
+    """M1 (batch form of the stream): records per event day and first-day baseline bin."""
+    ev = fx.score_events(spark, sf)
+    first = ev.agg(F.min(F.to_date("ts")).alias("_d"))
+    base = ev.join(F.broadcast(first), F.to_date(ev.ts) == F.col("_d"), "left_semi")
+    return MON.daily_score_bins(ev, MON.baseline_edges(base))
