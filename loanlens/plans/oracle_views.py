@@ -7,11 +7,11 @@ prefix with ``WITH``.  They are written independently of the Spark code in
 
 PANEL = """
 panel_src AS (
-  SELECT l.*, s.s_nationkey,
+  SELECT l.*, l.l_suppkey % 25 AS s_nationkey,
          l_suppkey * 6
            + 2 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END
            + CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS loan_num
-  FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  FROM lineitem l
 ),
 panel AS (
   SELECT
