@@ -22,14 +22,14 @@ def _c(c: ColLike) -> Column:
 
 def parse_mmyyyy(c: ColLike) -> Column:
     """MMYYYY text -> first day of that month; unparsable -> NULL (B1)."""
-    return F.try_to_date(F.trim(_c(c)), F.lit("MMyyyy"))
+    return F.try_to_date(F.trim(_c(c)), "MMyyyy")
 
 
 def parse_month_date(c: ColLike) -> Column:
     """MMYYYY first, then a standard date string; blank / 'nan' -> NULL (B2)."""
     text = F.trim(_c(c).cast("string"))
     text = F.when((text == "") | (F.lower(text) == "nan"), F.lit(None)).otherwise(text)
-    return F.coalesce(F.try_to_date(text, F.lit("MMyyyy")), F.try_to_date(text))
+    return F.coalesce(F.try_to_date(text, "MMyyyy"), F.try_to_date(text))
 
 
 # -- B3 / B4: tolerant casts ----------------------------------------------
