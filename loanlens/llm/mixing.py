@@ -77,8 +77,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              F.size(words(F.col(text_col))).cast("long").alias("size"), u.alias("u")))
     targets = source_targets(base, weights, max_repeat)
     g = F.log1p(F.col("size"))
+    # sums of whole numbers: the same in any order
     lean = base.groupBy("source").agg(
-        F.sum(F.col("size") * F.round(g * 1e6).cast("long")).alias("_sg"),   # whole numbers: any order gives one sum F.min(g).alias("_gmin"), F.max(g).alias("_gmax"))
+        F.sum(F.col("size") * F.round(g * 1e6).cast("long")).alias("_sg"), F.min(g).alias("_gmin"), F.max(g).alias("_gmax"))
     per = targets.join(lean.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rho = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mean = F.when(F.col("source_size") > 0, F.col("_sg") / 1e6 / F.col("source_size")).otherwise(F.lit(0.0))
