@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loanlens.llm import mixing
+from loanlens.llm import mixing, quality_rules
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
 }
 
 ORACLE = {
     "op2_mix_sources": mixing.ORACLE_OP2,
+    "op4_quality_rules": quality_rules.ORACLE_OP4,
 }

@@ -30,6 +30,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` made a single time, however often ``use`` names it.
+
+    The value goes through an array of one, so that a lambda variable holds it.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
