@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loanlens.llm import bpe, mixing, pii, quality_rules, winnow
+from loanlens.llm import bpe, mixing, ngram_join, pii, quality_rules, winnow
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_personal_data": pii.op7_personal_data,
     "op9_winnowing": winnow.op9_winnowing,
 }
