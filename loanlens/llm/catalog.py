@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loanlens.llm import bpe, mixing, ngram_join, pii, quality_rules, winnow
+from loanlens.llm import bpe, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, winnow
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_personal_data": pii.op7_personal_data,
+    "op8_sharding": sharding.op8_sharding,
     "op9_winnowing": winnow.op9_winnowing,
 }
 

@@ -23,8 +23,15 @@ class Shingler:
     the whole block: no work in Python for each word.
     """
 
-    def __init__(self, k: int):
+    def __init__(self, k: int = 1, letters: bytes | None = None):
+        """``letters``: the bytes that make words (default: all but the six ASCII spaces)."""
         self.k = k
+        self.gap = np.zeros(256, bool)
+        if letters is None:
+            self.gap[[9, 10, 11, 12, 13, 32]] = True
+        else:
+            self.gap[:] = True
+            self.gap[list(letters)] = False
         self.letter = mix(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)))
         self.up = self.down = np.empty(0, np.uint64)
 
@@ -35,12 +42,12 @@ class Shingler:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of every word, in order (A-Z lowered, ASCII spaces between words)."""
+    def words(self, texts: list[str | None], heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text number of every word, in order (A-Z lowered)."""
         # bytes.lower() knows ASCII letters only
         raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
+        gap = self.gap[data]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if not gap[0]:
             edge = np.concatenate([[0], edge])
@@ -51,7 +58,14 @@ class Shingler:
         np.cumsum(self.letter[data] * self.up[: len(data)], out=run[1:])
         h = mix((run[end] - run[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
         ends = np.cumsum([len(r) + 1 for r in raw])
-        return h, np.searchsorted(ends, begin, side="right")
+        own = np.searchsorted(ends, begin, side="right")
+        # heads: the first so many bytes of the words that are longer
+        self.heads = []
+        for n in heads:
+            long = end - begin > n
+            b = begin[long]
+            self.heads.append((mix((run[b + n] - run[b]) * self.down[b] + np.uint64(1 << 32 | n)), own[long]))
+        return h, own
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text's runs of ``k`` words.
