@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanlens.llm import bpe, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, winnow
+from loanlens.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, winnow
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_personal_data": pii.op7_personal_data,
     "op8_sharding": sharding.op8_sharding,
     "op9_winnowing": winnow.op9_winnowing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE = {

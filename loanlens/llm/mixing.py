@@ -65,14 +65,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_RE
                       F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_free._level") * F.col("_w")).alias("target"))
 
 
+def uniform(id_col: str, text_col: str, seed: str):
+    """52 random bits from id and text: reruns agree, whatever the partitioning."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 seed: str = SEED, weights=WEIGHTS, max_repeat: float = MAX_REPEAT,
                 tilt: float = TILT, bins: int = BINS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken``, a row for each document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # 52 random bits from id and text: reruns agree, whatever the partitioning
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
+    """``doc_id, source, size, source_size, target, copies, taken, u``, a row for each document."""
+    u = uniform(id_col, text_col, seed)
     base = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                              F.size(words(F.col(text_col))).cast("long").alias("size"), u.alias("u")))
     targets = source_targets(base, weights, max_repeat)
@@ -103,7 +107,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_edge = F.col("_bin") == F.col("_edge")
     within = Window.partitionBy("source", "_bin").orderBy("_q", F.col("doc_id").asc_nulls_last(), "u", "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["doc_id", "source", "size", "source_size", "target", "u"]
     at = drawn.filter(in_edge).withColumn("_cum", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     at = at.select(*keep, (F.col("_whole") + F.when(
         F.col("_cum") + F.col("size") / 2 <= F.col("_f") * F.col("source_size"), 1).otherwise(0)).alias("copies"))
@@ -116,14 +120,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def materialise_mix(docs: DataFrame) -> DataFrame:
+def materialise_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    seed: str = SEED) -> DataFrame:
     """The mixed corpus: every document as often as it was taken, with all its columns.
 
-    Documents that the mix takes no words from go.  Ids must be unique.
+    Documents that the mix takes nothing of go.  Equal rows of one id, text
+    and source share their copies.
     """
-    copies = mix_sources(docs).filter(F.col("copies") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    out = docs.join(copies, F.col("doc_id") == F.col("_id"))
+    taken = mix_sources(docs, id_col, text_col, source_col, seed).groupBy("doc_id", "source", "u").agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = stash(taken.filter("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("u").alias("_u"),
+                                                     "_copies", "_rows"))
+    keyed = docs.withColumns({"_d": F.col(id_col), "_s": F.col(source_col), "_u": uniform(id_col, text_col, seed)})
+    out = join_small(keyed, taken, ["_d", "_s", "_u"])
+    if taken.filter("_rows > 1").limit(1).count():
+        out = out.filter("_rows = 1").unionByName(out.filter("_rows > 1").dropDuplicates(["_d", "_s", "_u"]))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

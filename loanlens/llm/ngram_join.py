@@ -77,8 +77,8 @@ def _probe(s: np.ndarray) -> int:
 
 
 def row_table(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, probe, k1, k2``: size and class keys of every document's set."""
-    schema = "doc_id bigint, n bigint, probe bigint, k1 bigint, k2 bigint"
+    """``doc_id, tie, n, probe, k1, k2``: size and class keys of every document's set."""
+    schema = "doc_id bigint, tie bigint, n bigint, probe bigint, k1 bigint, k2 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -88,10 +88,10 @@ def row_table(docs: DataFrame, k: int) -> DataFrame:
                 for s in shingler.sets(block):
                     out.append((len(s), _probe(s), *_keys(s)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in cols]],
-                                             names=["doc_id", "n", "probe", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in cols]],
+                                             names=["doc_id", "tie", "n", "probe", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, schema)
 
 
 def _column_blocks(docs: DataFrame, k: int, n_blocks: int, whole: bool) -> DataFrame:
@@ -350,10 +350,11 @@ def _links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFram
 
 def similar_components(docs: DataFrame, k: int = GRAM, percent: int = SIMILAR,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of every document.
+    """``doc_id, tie, n_shingles, class_id, component_id, component`` of every document (``tie``: hash of the text).
 
     Documents of equal sets have one ``class_id``; ``component_id`` is the
-    smallest id that links reach.  Two classes link if their Jaccard
+    smallest id that links reach, and ``component`` a key of the component
+    (null for a document without words).  Two classes link if their Jaccard
     similarity is at least ``percent`` per cent.
     """
     spark = docs.sparkSession
@@ -398,13 +399,35 @@ def similar_components(docs: DataFrame, k: int = GRAM, percent: int = SIMILAR,
     known = classes.join(linked.withColumnRenamed("node", "k1"), "k1", "left")
     low = known.filter("root is not null").groupBy("root").agg(F.min("least").alias("_low"))
     known = known.join(low, "root", "left").select(
-        "k1", "k2", F.col("least").alias("class_id"), F.coalesce("_low", "least").alias("component_id"), "copies", "_low")
-    known = stash(known.filter("copies > 1 or _low is not null").drop("copies", "_low"))
+        "k1", "k2", F.col("least").alias("class_id"), F.coalesce("_low", "least").alias("component_id"),
+        F.coalesce("root", "k1").alias("component"), "copies", "root")
+    known = stash(known.filter("copies > 1 or root is not null").drop("copies", "root"))
     out = join_small(rows, known, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
-                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
+                      F.coalesce("component_id", "doc_id").alias("component_id"),
+                      F.when(F.col("n") > 0, F.coalesce("component", "k1")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the first by id (null last), then by the text's hash.
+
+    Equal rows of one id and text fall to one row; documents without words all stay.
+    """
+    found = stash(similar_components(docs, k, percent, id_col, text_col).filter("component is not null").select("doc_id", "tie", "component"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
+    groups = stash(found.groupBy("component").agg(F.count(F.lit(1)).alias("_times"), F.min(order).alias("_first")).filter("_times > 1"))
+    several = join_small(found, groups, ["component"])
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie").eqNullSafe(F.col("_first"))
+    verdict = stash(several.withColumn("_stays", first).groupBy("doc_id", "tie").agg(
+        F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows")).select(
+        F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "_stays", "_rows"))
+    marked = docs.withColumn("_d", F.col(id_col).cast("long")).withColumn("_t", F.xxhash64(F.col(text_col)))
+    out = join_small(marked, verdict, ["_d", "_t"], "left").filter("coalesce(_stays, true)")
+    if verdict.filter("_stays and _rows > 1").limit(1).count():
+        again = F.coalesce(F.col("_rows"), F.lit(1)) > 1
+        out = out.filter(~again).unionByName(out.filter(again).dropDuplicates(["_d", "_t"]))
+    return out.select(*docs.columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
