@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loanlens.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, winnow
+from loanlens.llm import bpe, line_dedup, lm, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, winnow
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,

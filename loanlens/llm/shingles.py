@@ -42,7 +42,7 @@ class Shingler:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def words(self, texts: list[str | None], heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, texts: list[str | None], heads: tuple[int, ...] = (), tail: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of every word, in order (A-Z lowered)."""
         # bytes.lower() knows ASCII letters only
         raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
@@ -59,6 +59,10 @@ class Shingler:
         h = mix((run[end] - run[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
         ends = np.cumsum([len(r) + 1 for r in raw])
         own = np.searchsorted(ends, begin, side="right")
+        # tail: the last so many bytes of each word, hashed
+        if tail:
+            b = np.maximum(begin, end - tail)
+            self.tails = mix((run[end] - run[b]) * self.down[b])
         # heads: the first so many bytes of the words that are longer
         self.heads = []
         for n in heads:
