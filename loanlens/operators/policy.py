@@ -34,7 +34,7 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 def _check_thresholds(pass_max_pd: float, review_max_pd: float) -> None:
     if not 0 < pass_max_pd < review_max_pd < 1:
-        raise ValueError("Thresholds must satisfy 0 < pass_max_pd < review_max_pd < 1.")
+        raise ValueError(f"cutoffs out of order: need 0 < {pass_max_pd} < {review_max_pd} < 1")
 
 
 def _action(pd_col: F.Column, pass_max: F.Column, review_max: F.Column) -> F.Column:
@@ -68,7 +68,7 @@ def summarize_strategy(scores: DataFrame, scenarios: DataFrame, pd_col: str = "x
     bad = scenarios.filter(~((F.col("pass_max_pd") > 0) & (F.col("pass_max_pd") < F.col("review_max_pd"))
                              & (F.col("review_max_pd") < 1))).limit(1).count()
     if bad:
-        raise ValueError("Thresholds must satisfy 0 < pass_max_pd < review_max_pd < 1.")
+        raise ValueError(f"cutoffs out of order: need 0 < {pass_max_pd} < {review_max_pd} < 1")
     p = F.col(pd_col)
     has_exposure = exposure_col in scores.columns
     j = scores.crossJoin(F.broadcast(scenarios))

@@ -223,5 +223,5 @@ def prepare_features(df: DataFrame, target: str = TARGET_WIDE, id_col: str = "ID
             any_null = cond if any_null is None else (any_null | cond)
         # the check rides on a column that is always read, so pruning cannot drop it
         out = out.withColumn(target, F.when(any_null, F.raise_error(
-            F.lit("Prepared model features contain missing values."))).otherwise(F.col(target)).cast("int"))
+            F.lit("a model feature is null after preparation"))).otherwise(F.col(target)).cast("int"))
     return out

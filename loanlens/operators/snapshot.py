@@ -192,9 +192,9 @@ def check_snapshot(snapshot: DataFrame) -> None:
     One tiny aggregate is brought to the driver."""
     row = snapshot.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(LABEL).alias("k")).first()
     if row["n"] == 0:
-        raise ValueError("No eligible history/future windows were found.")
+        raise ValueError("snapshot is empty: no loan has enough history and outcome months")
     if row["k"] < 2:
-        raise ValueError("The constructed outcome has one class only.")
+        raise ValueError("snapshot has loans of one outcome class only")
 
 
 def snapshot_summary(snapshot: DataFrame) -> DataFrame:

@@ -43,55 +43,53 @@ panel AS (
   FROM panel_src p LEFT JOIN nation n ON p.s_nationkey = n.n_nationkey
 )"""
 
-# SQL-mode snapshot over ``panel`` (6-month history, 12-month outcome).
+# SQL-mode snapshot over ``panel`` (6-month history, 12-month outcome): a table for each phase of a loan's life, the
+# last values by row number, and the phases joined at the end.
 SNAPSHOT = PANEL + """,
-rel AS (
-  SELECT *, (year(reporting_month) - year(origination_date)) * 12
-            + month(reporting_month) - month(origination_date) AS mob
+aged AS (
+  SELECT *, 12 * year(reporting_month) + month(reporting_month)
+            - 12 * year(origination_date) - month(origination_date) AS age
   FROM panel
-  WHERE loan_id IS NOT NULL AND origination_date IS NOT NULL AND reporting_month IS NOT NULL
-    AND current_delinquency_status IS NOT NULL
+  WHERE current_delinquency_status IS NOT NULL AND loan_id IS NOT NULL AND age BETWEEN 1 AND 18
 ),
-rel18 AS (SELECT * FROM rel WHERE mob BETWEEN 1 AND 18),
-eligible AS (
-  SELECT loan_id FROM rel18 GROUP BY loan_id
-  HAVING count(*) FILTER (WHERE mob BETWEEN 1 AND 6) >= 6
-     AND count(*) FILTER (WHERE mob BETWEEN 7 AND 18) >= 12
+early AS (
+  SELECT loan_id, max(current_delinquency_status) AS worst, avg(current_actual_upb) AS mean_upb,
+         stddev_samp(current_actual_upb) AS spread_upb,
+         sum(CASE WHEN current_delinquency_status > 0 THEN 1 ELSE 0 END) AS late,
+         sum(CASE WHEN modification_flag = 'Y' THEN 1 ELSE 0 END) AS modified
+  FROM aged WHERE age < 7 GROUP BY loan_id HAVING count(*) > 5
 ),
-snap0 AS (
-  SELECT r.loan_id,
-    max(origination_date) AS origination_date,
-    CAST(max(origination_date) + INTERVAL 6 MONTH AS DATE) AS observation_date,
-    max(original_upb) AS original_upb,
-    max(original_interest_rate) AS original_interest_rate,
-    max(original_loan_term) AS original_loan_term,
-    max(original_ltv) AS original_ltv,
-    max(original_dti) AS original_dti,
-    max(borrower_credit_score) AS borrower_credit_score,
-    max(loan_purpose) AS loan_purpose,
-    max(property_type) AS property_type,
-    max(occupancy_status) AS occupancy_status,
-    max(property_state) AS property_state,
-    max(current_delinquency_status) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_max_dpd,
-    CAST(count(*) FILTER (WHERE mob BETWEEN 1 AND 6 AND current_delinquency_status >= 1) AS BIGINT)
-      AS hist_30dpd_months,
-    avg(current_actual_upb) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_avg_upb,
-    stddev_samp(current_actual_upb) FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_upb_volatility,
-    arg_max(current_actual_upb, {'m': reporting_month, 'v': current_actual_upb})
-      FILTER (WHERE mob BETWEEN 1 AND 6 AND current_actual_upb IS NOT NULL) AS hist_latest_upb,
-    arg_max(current_delinquency_status, {'m': reporting_month, 'v': current_delinquency_status})
-      FILTER (WHERE mob BETWEEN 1 AND 6) AS hist_latest_dpd,
-    CAST(count(*) FILTER (WHERE mob BETWEEN 1 AND 6 AND modification_flag = 'Y') AS BIGINT)
-      AS hist_modified_months,
-    CAST(CASE WHEN max(current_delinquency_status) FILTER (WHERE mob BETWEEN 7 AND 18) >= 3
-              THEN 1 ELSE 0 END AS INTEGER) AS bad_12m_90dpd
-  FROM rel18 r JOIN eligible e ON r.loan_id = e.loan_id
-  GROUP BY r.loan_id
+late_phase AS (
+  SELECT loan_id, bool_or(current_delinquency_status > 2) AS defaulted
+  FROM aged WHERE age > 6 GROUP BY loan_id HAVING count(*) > 11
+),
+statics AS (
+  SELECT loan_id, max(property_state) AS property_state, max(occupancy_status) AS occupancy_status,
+         max(property_type) AS property_type, max(loan_purpose) AS loan_purpose,
+         max(borrower_credit_score) AS borrower_credit_score, max(original_dti) AS original_dti,
+         max(original_ltv) AS original_ltv, max(original_loan_term) AS original_loan_term,
+         max(original_interest_rate) AS original_interest_rate, max(original_upb) AS original_upb,
+         max(origination_date) AS origination_date
+  FROM aged GROUP BY loan_id
+),
+balance AS (
+  SELECT loan_id, current_actual_upb AS v FROM aged WHERE age < 7 AND current_actual_upb IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY reporting_month DESC, current_actual_upb DESC) = 1
+),
+standing AS (
+  SELECT loan_id, current_delinquency_status AS v FROM aged WHERE age < 7
+  QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY reporting_month DESC, current_delinquency_status DESC) = 1
 ),
 snapshot AS (
-  SELECT *, CASE WHEN original_upb = 0 THEN NULL ELSE hist_latest_upb / original_upb END
-    AS hist_upb_to_original_upb
-  FROM snap0
+  SELECT loan_id, s.origination_date, CAST(s.origination_date + INTERVAL 6 MONTH AS DATE) AS observation_date,
+    s.original_upb, s.original_interest_rate, s.original_loan_term, s.original_ltv, s.original_dti,
+    s.borrower_credit_score, s.loan_purpose, s.property_type, s.occupancy_status, s.property_state,
+    e.worst AS hist_max_dpd, CAST(e.late AS BIGINT) AS hist_30dpd_months, e.mean_upb AS hist_avg_upb,
+    e.spread_upb AS hist_upb_volatility, b.v AS hist_latest_upb, t.v AS hist_latest_dpd,
+    CAST(e.modified AS BIGINT) AS hist_modified_months, CAST(l.defaulted AS INTEGER) AS bad_12m_90dpd,
+    b.v / nullif(s.original_upb, 0) AS hist_upb_to_original_upb
+  FROM late_phase l JOIN early e USING (loan_id) JOIN statics s USING (loan_id) JOIN standing t USING (loan_id)
+    LEFT JOIN balance b USING (loan_id)
 )"""
 
 SCORED = """

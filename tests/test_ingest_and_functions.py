@@ -73,7 +73,7 @@ def test_header_and_positional_extracts(spark):
     bad = os.path.join(d, "bad.csv")
     with open(bad, "w") as fh:
         fh.write("loan_id,origination_date\nA,012019\n")
-    with pytest.raises(ValueError, match="Missing canonical fields"):
+    with pytest.raises(ValueError, match="required fields not found"):
         I.normalize_origination(I.read_delimited(spark, bad, I.ACQUISITION_POSITIONAL))
     pos = os.path.join(d, "perf.txt")
     with open(pos, "w") as fh:
@@ -82,7 +82,7 @@ def test_header_and_positional_extracts(spark):
         fh.write("|".join(f) + "\n")
     p = I.normalize_performance(I.read_delimited(spark, pos, I.PERFORMANCE_POSITIONAL))
     assert "extra_field_46" in p.columns and p.first()["modification_flag"] == "Unknown"
-    assert I.clean_column_name("  Loan Identifier ") == "loan_identifier"
+    assert I.header_key("  Loan Identifier ") == "loan_identifier"
 
 
 def test_scalar_edges(spark):
@@ -96,3 +96,38 @@ def test_scalar_edges(spark):
     assert r[0]["c"] is None and r[1]["c"] == 10.0         # NULL stays NULL
     assert r[0]["q"] == "2020Q1" and r[1]["q"] == "2020Q3"
     assert r[0]["s1"] == "review" and r[0]["s2"] == "alert"
+
+
+def test_file_order_goes_by_full_path_and_folder(spark, tmp_path):
+    for i, name in enumerate(["y1/perf.csv", "y2/perf.csv"]):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(_line("A", "022019", upb=str(100 + i)) + "\n")
+    (tmp_path / "dir +x").mkdir()
+    for i, name in enumerate(["a.csv", "b.csv"]):
+        (tmp_path / "dir +x" / name).write_text(_line("A", "022019", upb=str(200 + i)) + "\n")
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    for paths, want in ((at("y1/perf.csv", "y2/perf.csv"), 101.0), (at("y2/perf.csv", "y1/perf.csv"), 100.0), (at("dir +x"), 201.0),
+                        (at("dir +x", "y1/perf.csv"), 100.0)):
+        panel = I.typed_panel(I.read_combined(spark, paths))
+        assert I.dedupe_last(panel, ["loan_id", "reporting_month"]).first()["current_actual_upb"] == want
+
+
+def test_ragged_files_lose_no_field(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("|".join(["x"] * 45) + "\n" + "|".join(["y"] * 50) + "\n")
+    got = I.read_delimited(spark, str(tmp_path / "p.txt"), I.PERFORMANCE_POSITIONAL)
+    assert "extra_field_49" in got.columns and got.filter("extra_field_49 = 'y'").count() == 1
+    (tmp_path / "c.csv").write_text(_line("A", "022019") + "|more|fields\n" + _line("B", "022019") + "\n")
+    raw = I.read_combined(spark, [str(tmp_path / "c.csv")], keep_malformed=True)
+    assert raw.filter("malformed_line is not null").select("_c1").collect()[0][0] == "A"
+    with pytest.raises(ValueError, match="no delimiter"):
+        (tmp_path / "one.csv").write_text("loan\n1\n")
+        I.read_delimited(spark, str(tmp_path / "one.csv"), I.PERFORMANCE_POSITIONAL)
+
+
+def test_best_spelling_takes_the_name(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "fico string, credit_score string, note string")
+    got = I.resolve_aliases(df, I.Contract({"borrower_credit_score": ["borrower_credit_score", "credit_score", "fico"]}))
+    assert got.columns == ["fico", "borrower_credit_score", "note"] and got.first()["borrower_credit_score"] == "b"
+    df = spark.createDataFrame([("new", "old")], "monthly_reporting_period string, reporting_month string")
+    got = I.resolve_aliases(df, I.Contract({"reporting_month": ["monthly_reporting_period", "reporting_month"]}, ["reporting_month"]))
+    assert got.columns == ["reporting_month"] and got.first()[0] == "new"
