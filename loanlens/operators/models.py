@@ -20,7 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -31,7 +32,6 @@ from loanlens.operators.split import LABEL, feature_groups
 from loanlens.session import materialize
 
 RARE = "__rare__"
-MISSING_CAT = "__missing__"
 
 
 def categorical_prep(train: DataFrame, categorical: Sequence[str], min_frequency: int = 25) -> DataFrame:
@@ -78,9 +78,9 @@ def _feature_stages(numeric: list[str], categorical: list[str], scale: bool) ->
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        # dropLast drops the 'unseen' slot added by handleInvalid='keep': unknown -> all zeros
-        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", dropLast=True,
-                                    handleInvalid="keep"))
+        # the indexer numbers an unseen value after all labels ('keep'); the encoder, told to drop its last slot and
+        # to expect no further value, leaves that number without a slot: all zeros
+        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", dropLast=True, handleInvalid="error"))
         inputs.append(f"{c}__oh")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages
@@ -92,10 +92,11 @@ def logistic(n_train: int, max_iter: int = 500) -> LogisticRegression:
                               regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
 
 
-def boosted(max_iter: int = 250, step: float = 0.05, depth: int = 4, min_instances: int = 1,
+def boosted(max_iter: int = 250, step: float = 0.05, depth: int = 4, min_instances: int = 100,
             subsample: float = 0.8, feature_subset: str = "0.8", seed: int = 42) -> GBTClassifier:
-    """Gradient-boosted trees (H4 / H5).  Hessian-weight leaf limits have no exact
-    Spark counterpart; ``min_instances`` is a row-count floor."""
+    """Gradient-boosted trees (H4 / H5).  A limit on a leaf's Hessian weight has no exact Spark
+    counterpart: ``min_instances`` = 100 rows stands in for it, a floor of the same strength where scores are near 0.5 and a
+    weaker one elsewhere."""
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, stepSize=step,
                          maxDepth=depth, minInstancesPerNode=min_instances, subsamplingRate=subsample,
                          featureSubsetStrategy=feature_subset, seed=seed, maxBins=64)
@@ -120,12 +121,17 @@ class FittedModel:
             *[c for c in pred.columns if c not in df.columns and c != out])
 
     def feature_names(self) -> list[str]:
-        """Readable names of the assembled feature slots (numeric, then one-hot levels)."""
+        """Readable names of the assembled feature slots (numeric, then one-hot levels).
+
+        Checked against the length that the fitted estimator saw.
+        """
         names = list(self.numeric)
         for st in self.pipeline.stages:
-            if st.__class__.__name__ == "StringIndexerModel":
-                col = st.getInputCol()
-                names.extend(f"{col}_{lab}" for lab in st.labels)
+            if isinstance(st, StringIndexerModel):
+                names += [f"{st.getInputCol()}_{label}" for label in st.labels]
+        slots = self.pipeline.stages[-1].numFeatures
+        if len(names) != slots:
+            raise ValueError(f"{len(names)} feature names for {slots} slots")
         return names
 
 
@@ -149,15 +155,14 @@ def train_models(train: DataFrame, test: DataFrame, estimators: dict, label: str
     numeric, categorical = feature_groups(train)
     models = {name: fit(train, name, est, label, numeric, categorical) for name, est in estimators.items()}
     base_cols = [id_col, label, *[c for c in keep_cols if c in test.columns]]
-    scored = test.select(*base_cols)
-    metric_parts = []
+    wide = test
     for name, m in models.items():
-        s = m.score(test, f"{name}_pd").select(id_col, f"{name}_pd")
-        scored = scored.join(s, id_col, "left")
-        metric_parts.append(binary_metrics(m.score(test, "_pd"), label, "_pd").withColumn("model", F.lit(name)))
-    metrics = metric_parts[0]
-    for p in metric_parts[1:]:
-        metrics = metrics.unionByName(p)
+        wide = m.score(wide, f"{name}_pd")
+    scored = materialize(wide.select(*base_cols, *[f"{name}_pd" for name in models]))
+    metrics = None
+    for name in models:
+        one = binary_metrics(scored, label, f"{name}_pd").withColumn("model", F.lit(name))
+        metrics = one if metrics is None else metrics.unionByName(one)
     return models, metrics, scored
 
 
@@ -166,7 +171,7 @@ def importance(model: FittedModel) -> DataFrame:
     est = model.pipeline.stages[-1]
     names = model.feature_names()
     vals = est.featureImportances.toArray().tolist()
-    rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(vals)]
+    rows = list(zip(names, vals, strict=True))
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     return ss.createDataFrame(rows, "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
@@ -179,8 +184,7 @@ def coefficients(model: FittedModel) -> DataFrame:
     coefs = est.coefficients.toArray().tolist()
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
-    df = ss.createDataFrame([(names[i] if i < len(names) else f"f{i}", float(c)) for i, c in enumerate(coefs)],
-                            "feature string, coefficient double")
+    df = ss.createDataFrame(list(zip(names, coefs, strict=True)), "feature string, coefficient double")
     return (df.withColumn("odds_ratio_per_standard_deviation", F.exp("coefficient"))
               .withColumn("risk_direction", F.when(F.col("coefficient") >= 0, "higher_risk").otherwise("lower_risk"))
               .orderBy(F.col("coefficient").desc(), "feature"))
@@ -190,7 +194,9 @@ def isotonic_calibrate(calibration: DataFrame, target: DataFrame, score: str, la
                        out: str = "calibrated_pd") -> DataFrame:
     """Fit an increasing isotonic map score -> PD on a held-out cohort and apply it,
     clipping outside the fitted range (H8)."""
-    cal = calibration.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="_p", isotonic=True).fit(cal)
+    # equal scores are one weighted point: what the last pooling step sees is bounded by distinct scores
+    cal = calibration.groupBy(F.col(score).cast("double").alias("_s")).agg(
+        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w", predictionCol="_p", isotonic=True).fit(cal)
     return iso.transform(target.withColumn("_s", F.col(score).cast("double"))).withColumnRenamed(
         "_p", out).drop("_s")

@@ -650,7 +650,7 @@ def q_h9(spark, sf):
     """Logistic + boosted trees on the OOT split; metrics per model."""
     train, test = _oot_frames(spark, sf)
     n = train.count()
-    _, metrics, _ = ML.train_models(train, test, {"logistic": ML.logistic(n), "xgboost": ML.boosted()})
+    _, metrics, _ = ML.train_models(train, test, {"logistic": ML.logistic(n), "boosted": ML.boosted()})
     return r6(metrics)
 
 
@@ -658,14 +658,14 @@ def q_h9(spark, sf):
 def q_h7(spark, sf):
     """H7 / H5: OOT scores from the second boosted challenger (300 trees, depth 5, 100 rows per leaf)."""
     train, test = _oot_frames(spark, sf)
-    m = ML.fit(train, "lightgbm", ML.boosted(max_iter=300, depth=5, min_instances=100, subsample=1.0))
-    return r6(m.score(test, "lightgbm_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "lightgbm_pd"))
+    m = ML.fit(train, "boosted_deep", ML.boosted(max_iter=300, depth=5, min_instances=100, subsample=1.0))
+    return r6(m.score(test, "boosted_deep_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "boosted_deep_pd"))
 
 
 @register("h10_importance")
 def q_h10(spark, sf):
     train, _ = _oot_frames(spark, sf)
-    return r6(ML.importance(ML.fit(train, "xgboost", ML.boosted())))
+    return r6(ML.importance(ML.fit(train, "boosted", ML.boosted())))
 
 
 @register("h8_isotonic_calibration")
@@ -675,7 +675,7 @@ def q_h8(spark, sf):
     _, _, cutoff = SP.split_out_of_time(s)
     start = str(cutoff.first()["cutoff"])
     model_train, calibration, oot = SP.three_way_time_split(s, start)
-    m = ML.fit(model_train, "xgboost", ML.boosted())
+    m = ML.fit(model_train, "boosted", ML.boosted())
     cal = ML.isotonic_calibrate(m.score(calibration, "raw_pd"), m.score(oot, "raw_pd"), "raw_pd")
     raw = M.binary_metrics(cal, "bad_12m_90dpd", "raw_pd").withColumn("score_version", F.lit("raw"))
     iso = M.binary_metrics(cal, "bad_12m_90dpd", "calibrated_pd").withColumn("score_version", F.lit("isotonic"))

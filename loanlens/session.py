@@ -9,36 +9,48 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+#: SQL settings that are put in place where nobody has set them.
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "loanlens") -> SparkSession:
     """Return (or create) a session configured for this library.
 
-    On a cluster, ``master`` stays None and the launcher's settings win; the
-    local defaults here are only applied when nothing is configured yet.
+    What the launcher or a running session has set stays.  ``master`` and
+    ``shuffle_partitions`` are for callers that launch Spark themselves
+    (tests, benchmark); without them everything is the launcher's choice.
     """
+    running = SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS")
-    parts = shuffle_partitions or (int(cpus) if cpus else 8)
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LOANLENS_DRIVER_MEMORY", "16g"))
-    )
+    if master and not running:
+        builder = (builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.driver.memory", os.environ.get("LOANLENS_DRIVER_MEMORY", "16g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if not running:
+        launched = spark.sparkContext.getConf()
+        wanted = dict(DEFAULTS)
+        if shuffle_partitions or _local(spark):
+            wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions or os.environ.get("BENCH_CPUS", "8"))
+        for k, v in wanted.items():
+            if not launched.contains(k):
+                spark.conf.set(k, v)
     return spark
 
 
@@ -46,11 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session and used as is.  Only when it is unset (local tests) a
-    private scratch folder is created.
+    from the session and used as is.  A private scratch folder stands in for
+    it only where driver and executors are one local process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not _local(spark):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="loanlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -59,12 +73,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage by writing ``df`` to the reliable checkpoint folder.
+    """Cut lineage by writing ``df`` as Parquet in the shared checkpoint folder and reading it back.
 
     Used for small reused tables (edges, offsets, totals) and for gold tables
-    that several branches of one plan read; the plan that follows reads the
-    written files instead of re-deriving (and re-analysing) the whole lineage.
-    Never a local checkpoint: the files survive executor loss.
+    that several branches of one plan read; what follows reads only the
+    columns it needs from the written files, which survive executor loss, and
+    the upstream plan runs once.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

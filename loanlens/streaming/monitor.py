@@ -10,7 +10,7 @@ input, which is how the stream is tested.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,12 +40,16 @@ def daily_score_bins(scores: DataFrame, edges: DataFrame, ts: str = "ts", score:
 
 
 def start_score_monitor(spark: SparkSession, source_dir: str, schema, edges: DataFrame, checkpoint_location: str,
-                        sink: str = "memory", query_name: str = "score_bins", watermark: str = "1 day",
+                        score: Column | str = "score", sink: str = "parquet", query_name: str = "score_bins", watermark: str = "1 day",
                         available_now: bool = True, output_path: str | None = None) -> StreamingQuery:
-    """Stream parquet score files from ``source_dir``; emit (day window, bin, records)."""
+    """Stream parquet score files from ``source_dir``; emit (day window, bin, records).
+
+    ``score`` is a column of the files, or an expression over their columns;
+    the sink is a Parquet folder (``output_path``) unless ``memory`` is asked for.
+    """
     stream = spark.readStream.schema(schema).parquet(source_dir)
     scored = stream.select(F.col("ts").cast("timestamp").alias("ts"),
-                           F.least(F.col("value") / 500.0, F.lit(1.0)).alias("score"))
+                           (F.col(score) if isinstance(score, str) else score).alias("score"))
     binned = assign_bins(scored, edges)
     counts = (binned.withWatermark("ts", watermark)
               .groupBy(F.window("ts", "1 day").alias("w"), "bin")

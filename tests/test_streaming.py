@@ -19,7 +19,8 @@ def test_stream_matches_batch(spark):
     ev = fx.score_events(spark, SF)
     first = ev.agg(F.min(F.to_date("ts")).alias("_d"))
     edges = MON.baseline_edges(ev.join(first, F.to_date(ev.ts) == F.col("_d"), "left_semi"))
-    q = MON.start_score_monitor(spark, src, ev_raw.schema, edges, os.path.join(d, "ckpt"), query_name="bins_t")
+    q = MON.start_score_monitor(spark, src, ev_raw.schema, edges, os.path.join(d, "ckpt"),
+                                score=F.least(F.col("value") / 500.0, F.lit(1.0)), sink="memory", query_name="bins_t")
     q.awaitTermination(120)
     got = {(r["day"], r["bin"]): r["records"] for r in spark.sql("SELECT * FROM bins_t").collect()}
     want = {(r["day"], r["bin"]): r["records"] for r in MON.daily_score_bins(ev, edges).collect()}
