@@ -71,3 +71,16 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = c if cond is None else cond & c
     return df.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def join_rows(df: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join with a table that grows with ``df``: both sides are shuffled, at every size.
+
+    ``right`` has one row per key.  The key columns of ``df`` stay, those of ``right`` go.
+    """
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return df.join(named.hint("merge"), cond, how).drop(*[f"_r_{k}" for k in keys])
