@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import documents, join_small, stash, words
+from loanlens.llm.common import documents, join_rows, join_small, stash, words
 
 SEED = "mix-1"
 MAX_REPEAT = 3.0
@@ -132,7 +132,7 @@ def materialise_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = stash(taken.filter("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("u").alias("_u"),
                                                      "_copies", "_rows"))
     keyed = docs.withColumns({"_d": F.col(id_col), "_s": F.col(source_col), "_u": uniform(id_col, text_col, seed)})
-    out = join_small(keyed, taken, ["_d", "_s", "_u"])
+    out = join_rows(keyed, taken, ["_d", "_s", "_u"])
     if taken.filter("_rows > 1").limit(1).count():
         out = out.filter("_rows = 1").unionByName(out.filter("_rows > 1").dropDuplicates(["_d", "_s", "_u"]))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
