@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.scalar import quarter_label
-from loanlens.operators.ordered import exact_quantiles, prefix_sums, row_ranks
+from loanlens.operators.ordered import exact_quantiles, join_checked, prefix_sums, row_ranks
+from loanlens.session import materialize
 
 
 def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -26,12 +27,8 @@ def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] =
     pts = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
              .groupBy(*groups, F.col(score).cast("double").alias("score"))
              .agg(F.sum(y).alias("bad"), F.sum(F.lit(1) - y).alias("good")))
-    pts = prefix_sums(pts, "score", ["bad", "good"], groups, descending=True)
-    # group totals: one small aggregate (one row per group) joined back
-    totals = pts.groupBy(*groups).agg(F.max("cum_bad").alias("n_bad"), F.max("cum_good").alias("n_good"))
-    if groups:
-        return pts.join(totals, groups, "inner")
-    return pts.crossJoin(F.broadcast(totals))
+    pts = prefix_sums(pts, "score", ["bad", "good"], groups, descending=True, total="n_")
+    return pts
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +41,7 @@ def binary_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str]
         F.sum(F.col("good").cast("double") * (cb - F.col("bad").cast("double") / 2.0)).alias("_auc_num"),
         F.max(F.col("cum_bad") * F.col("n_good") - F.col("cum_good") * F.col("n_bad")).alias("_ks_num"),
         F.sum(F.col("bad").cast("double") * cb / (cb + cg)).alias("_ap_num"),
-        F.first("n_bad").alias("n_bad"), F.first("n_good").alias("n_good"),
+        F.max("n_bad").alias("n_bad"), F.max("n_good").alias("n_good"),
     )
     y = F.col(label).cast("double")
     brier = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -114,8 +111,8 @@ def rank_bins(df: DataFrame, score: str, id_col: str, q: int = 10, groups: Seque
     ``max(1, ceil((r - 1) * q / (n - 1)))``, evaluated in integers."""
     groups = list(groups)
     ranked = row_ranks(df, score, id_col, groups, out="_rank")
-    n = ranked.filter(F.col("_rank").isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(F.broadcast(n), groups, "left") if groups else ranked.crossJoin(F.broadcast(n))
+    n = materialize(df.filter(F.col(score).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = join_checked(ranked, n, groups, "left")
     r, nn = F.col("_rank"), F.col("_n")
     num = (r - 1) * q
     den = nn - 1
@@ -156,7 +153,7 @@ def calibration_curve(df: DataFrame, label: str, score: str, n_bins: int = 10,
     edges = exact_quantiles(df, score, probs, groups, out_prefix="_e")
     inner = F.array(*[F.col(f"_e{i}") for i in range(1, n_bins)])
     base = df.filter(F.col(score).isNotNull())
-    j = base.join(F.broadcast(edges), groups, "inner") if groups else base.crossJoin(F.broadcast(edges))
+    j = join_checked(base, edges, groups)
     s = F.col(score)
     j = j.withColumn("bin", F.size(F.filter(inner, lambda e: e < s)))
     return j.groupBy(*groups, "bin").agg(

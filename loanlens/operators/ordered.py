@@ -3,141 +3,99 @@
 Ranks, prefix sums and exact quantiles need a global order.  A window with
 ``orderBy`` and no ``partitionBy`` moves every row into one task.  Instead:
 
-1. aggregate to distinct ordering values first (hash aggregate with a
-   map-side partial), so a value shared by many rows becomes one row;
-2. cut the distinct values into ``B`` range buckets at approximate-quantile
-   edges -- only ``B - 1`` doubles reach the driver;
-3. per-bucket totals (at most ``B`` rows per group) -> running offsets with a
-   small window -> joined back; the offsets table has a proven size bound
-   (groups x B rows);
-4. a window *inside* each bucket adds the local running sum.
-
-``B`` defaults to the session's shuffle-partition count, so each bucket holds
-roughly one partition's worth of distinct values at any scale.
-
-For per-row ranks with an id tie-break (``row_ranks``) one ordering value may
-hold a large share of all rows; those rows are split a second time by id
-range buckets, so no single task ranks a hot value on its own.
+1. Spark range-partitions the rows by (groups, order columns).  It samples the
+   columns themselves, so any type that can be ordered will do, every
+   partition holds about as many rows, and a large group, or one ordering
+   value with a third of all rows, is cut by what comes next in the order.
+2. The partitioned rows are written once, each with its partition number.
+3. Totals for each (group, partition) give running offsets: a table with at
+   most (groups + partitions) rows, as a range partition that starts a new
+   group ends the one before.
+4. A window inside each (group, partition) adds the local running sum.
+
+Where a quantity only depends on distinct values, these are aggregated first
+(map-side partial), so a value shared by many rows is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.session import materialize
 
-MAX_GROUPED_BUCKETS = 64
+#: A table is broadcast only after it was counted and found to have at most so many rows.
+BROADCAST_ROWS = 100_000
 
 
-def default_buckets(df: DataFrame) -> int:
-    spark = df.sparkSession
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        parts = 200
-    return max(8, parts)
+def join_checked(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key that is usually small.
 
+    ``small`` is stored, so counting it is cheap.  Beyond ``BROADCAST_ROWS``
+    Spark shuffles both sides and splits hot keys (adaptive skew join).
+    Without keys ``small`` has one row, or none.
+    """
+    if not keys:
+        return df.join(F.broadcast(small), F.lit(True), how)
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(small) if few else small, list(keys), how)
 
-def _global_bucket(df: DataFrame, value: str, buckets: int, out: str) -> DataFrame:
-    """Range-bucket a double column at approximate quantile edges (JVM binary search)."""
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / buckets for i in range(1, buckets)]
-    rel_err = 1.0 / (4.0 * buckets)
-    edges = df.select(F.col(value).cast("double").alias("_v")).approxQuantile("_v", probs, rel_err) if probs else []
-    splits = [float("-inf")] + sorted({e for e in edges if e is not None}) + [float("inf")]
-    tmp = df.withColumn("_bv", F.col(value).cast("double"))
-    b = Bucketizer(splits=splits, inputCol="_bv", outputCol=out, handleInvalid="keep")
-    return b.transform(tmp).withColumn(out, F.col(out).cast("int")).drop("_bv")
 
+def _ranged(df: DataFrame, groups: list[str], order: list[Column], buckets: int | None) -> DataFrame:
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
+    return materialize(cut.withColumn("_part", F.spark_partition_id()))
 
-def _grouped_bucket(df: DataFrame, groups: list[str], value: str, buckets: int, out: str) -> DataFrame:
-    """Range-bucket within each group at that group's approximate quantile edges."""
-    buckets = min(buckets, MAX_GROUPED_BUCKETS)
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:
-        return df.withColumn(out, F.lit(0))
-    accuracy = max(10000, 4 * buckets)
-    edges = materialize(df.groupBy(*groups).agg(        # one row per group
-        F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_edges")))
-    v = F.col(value).cast("double")
-    return (df.join(edges, groups, "left")   # one row per group
-              .withColumn(out, F.size(F.filter(F.col("_edges"), lambda e: e <= v)))
-              .drop("_edges"))
 
-
-def bucketize(df: DataFrame, value: str, groups: Sequence[str] = (), buckets: int | None = None,
-              out: str = "_bucket") -> DataFrame:
-    groups = list(groups)
-    buckets = buckets or default_buckets(df)
-    if groups:
-        return _grouped_bucket(df, groups, value, buckets, out)
-    return _global_bucket(df, value, buckets, out)
+def _offsets(ranged: DataFrame, groups: list[str], sums: dict[str, Column]) -> DataFrame:
+    """For each (group, partition) the sums over earlier partitions (``_o_*``) and over the whole group (``_w_*``)."""
+    totals = ranged.groupBy(*groups, "_part").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(totals.select(
+        *groups, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(group).alias(f"_w_{n}") for n in sums]))
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None,
-                prefix: str = "cum_") -> DataFrame:
+                prefix: str = "cum_", total: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_col`` order per group.
 
     ``order_col`` must be unique within a group (aggregate to distinct values
     first).  Adds ``{prefix}{c}`` for every sum column and ``{prefix}rows``, the
-    1-based position.
+    1-based position; with ``total`` also ``{total}{c}``, the group's sums.
     """
-    groups = list(groups)
-    sum_cols = list(sum_cols)
-    bdf = bucketize(df, order_col, groups, buckets, "_bucket")
-    totals = bdf.groupBy(*groups, "_bucket").agg(
-        *[F.sum(c).alias(f"_t_{c}") for c in sum_cols], F.count(F.lit(1)).alias("_t_rows"))
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    wb = Window.partitionBy(*groups).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-        F.coalesce(F.sum("_t_rows").over(wb), F.lit(0)).alias("_o_rows"))
-    # offsets has at most (groups x buckets) rows: broadcast is size-bounded.
-    offsets = materialize(offsets)
-    joined = bdf.join(F.broadcast(offsets), [*groups, "_bucket"], "inner")
+    groups, sum_cols = list(groups), list(sum_cols)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.select(
-        *[c for c in df.columns],
+    ranged = _ranged(df, groups, [order], buckets)
+    offsets = _offsets(ranged, groups, {**{c: F.sum(c) for c in sum_cols}, "rows": F.count(F.lit(1))})
+    w = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_checked(ranged, offsets, [*groups, "_part"])
+    return joined.select(
+        *df.columns,
         *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
         (F.col("_o_rows") + F.count(F.lit(1)).over(w)).alias(f"{prefix}rows"),
-    )
-    return out
+        *[F.col(f"_w_{c}").alias(f"{total}{c}") for c in sum_cols if total])
 
 
 def row_ranks(df: DataFrame, order_col: str, tie_col: str, groups: Sequence[str] = (),
               out: str = "rank", buckets: int | None = None) -> DataFrame:
     """1-based rank of every row by (order_col, tie_col) within each group.
 
-    Rows with a NULL ``order_col`` get a NULL rank.  ``tie_col`` must be
-    unique within (group, order value).
+    Both columns may have any type that can be ordered; text is put in code
+    point order.  Rows with a NULL ``order_col`` get a NULL rank.  ``tie_col``
+    must be unique within (group, order value).
     """
     groups = list(groups)
-    buckets = buckets or default_buckets(df)
-    base = df.filter(F.col(order_col).isNotNull())
-    # second-level split of each ordering value by id range
-    id_edges_grouped = bucketize(base, tie_col, groups, buckets, "_idb")
-    cells = id_edges_grouped.groupBy(*groups, order_col, "_idb").agg(F.count(F.lit(1)).alias("_n"))
-    # rows before each ordering value (prefix over distinct values)
-    per_value = cells.groupBy(*groups, order_col).agg(F.sum("_n").alias("_nv"))
-    per_value = prefix_sums(per_value, order_col, ["_nv"], groups, buckets=buckets, prefix="_cv_")
-    per_value = per_value.select(*groups, order_col, (F.col("_cv__nv") - F.col("_nv")).alias("_before_v"))
-    # rows before each id bucket inside the same ordering value (<= B rows per value)
-    wc = Window.partitionBy(*groups, order_col).orderBy("_idb").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*groups, order_col, "_idb",
-                         F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_before_c"))
-    cells = cells.join(per_value, [*groups, order_col], "inner")
-    ranked = id_edges_grouped.join(cells, [*groups, order_col, "_idb"], "inner")
-    wr = Window.partitionBy(*groups, order_col, "_idb").orderBy(tie_col)
-    ranked = ranked.withColumn(
-        out, F.col("_before_v") + F.col("_before_c") + F.row_number().over(wr)
-    ).drop("_idb", "_before_v", "_before_c")
+    order = [F.col(order_col).asc(), F.col(tie_col).asc()]
+    ranged = _ranged(df.filter(F.col(order_col).isNotNull()), groups, order, buckets)
+    offsets = _offsets(ranged, groups, {"rows": F.count(F.lit(1))})
+    w = Window.partitionBy(*groups, "_part").orderBy(*order)
+    ranked = join_checked(ranged, offsets, [*groups, "_part"]).select(
+        *df.columns, (F.col("_o_rows") + F.row_number().over(w)).alias(out))
     nulls = df.filter(F.col(order_col).isNull()).withColumn(out, F.lit(None).cast("long"))
     return ranked.unionByName(nulls)
 
@@ -147,36 +105,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     """Exact linear-interpolation quantiles (numpy 'linear', SQL quantile_cont).
 
     Returns one row per group with columns ``{out_prefix}0 .. {out_prefix}{k-1}``
-    plus ``_n`` (non-null count).  Works from distinct-value counts and
-    prefix sums, so no group is ever collected into one buffer.
+    plus ``_n`` (non-null count); no row for a group without values.  Works
+    from distinct-value counts and prefix sums, so no group is ever collected
+    into one buffer: each target position lies in the run of one distinct
+    value, and an aggregate picks it.
     """
     groups = list(groups)
-    probs = list(probs)
     base = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
     counts = base.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    pref = prefix_sums(counts, "_x", ["_c"], groups, buckets=buckets, prefix="_p")
-    # index range [first, last] (0-based) covered by each distinct value
-    pref = pref.select(*groups, "_x", (F.col("_p_c") - F.col("_c")).alias("_first"),
-                       (F.col("_p_c") - 1).alias("_last"))
-    totals = materialize(counts.groupBy(*groups).agg(F.sum("_c").alias("_n")))   # one row per group
-    spark = df.sparkSession
-    pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_k int, _prob double")
-    targets = (totals.crossJoin(F.broadcast(pdf))       # groups x k rows
-               .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("_prob"))
-               .withColumn("_lo", F.floor("_pos").cast("long"))
-               .withColumn("_hi", F.ceil("_pos").cast("long"))
-               .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    ends = targets.select(*groups, "_k", F.col("_lo").alias("_idx"), F.lit("lo").alias("_end")).unionByName(
-        targets.select(*groups, "_k", F.col("_hi").alias("_idx"), F.lit("hi").alias("_end")))
-    # each target index falls in exactly one distinct value's range; equi-join on
-    # the groups then a range filter -- the target side is tiny (groups x 2k)
-    cond = [pref[g] == ends[g] for g in groups] + [ends["_idx"] >= pref["_first"], ends["_idx"] <= pref["_last"]]
-    hit = pref.join(F.broadcast(ends), cond, "inner").select(
-        *[pref[g] for g in groups], ends["_k"], ends["_end"], pref["_x"])
-    lo = hit.filter(F.col("_end") == "lo").select(*groups, "_k", F.col("_x").alias("_xlo"))
-    hi = hit.filter(F.col("_end") == "hi").select(*groups, "_k", F.col("_x").alias("_xhi"))
-    vals = (targets.select(*groups, "_n", "_k", "_frac")
-            .join(lo, [*groups, "_k"]).join(hi, [*groups, "_k"])
-            .withColumn("_q", F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo"))))
-    wide = vals.groupBy(*groups, "_n").pivot("_k", list(range(len(probs)))).agg(F.first("_q"))
-    return materialize(wide).select(*groups, "_n", *[F.col(str(i)).alias(f"{out_prefix}{i}") for i in range(len(probs))])
+    run = prefix_sums(counts, "_x", ["_c"], groups, buckets=buckets, prefix="_p", total="_n")
+    at = [(F.col("_n_c") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    holds = lambda pos: (pos > F.col("_p_c") - F.col("_c") - 1) & (pos <= F.col("_p_c") - 1)
+    picked = run.groupBy(*groups).agg(
+        F.max("_n_c").alias("_n"),
+        *[F.max(F.when(holds(F.floor(p)), F.col("_x"))).alias(f"_lo{i}") for i, p in enumerate(at)],
+        *[F.max(F.when(holds(F.ceil(p)), F.col("_x"))).alias(f"_hi{i}") for i, p in enumerate(at)])
+    part = lambda p: (F.col("_n") - 1).cast("double") * F.lit(float(p)) - F.floor((F.col("_n") - 1).cast("double") * F.lit(float(p)))
+    return materialize(picked.filter("_n is not null").select(*groups, "_n", *[
+        (F.col(f"_lo{i}") + part(p) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"{out_prefix}{i}") for i, p in enumerate(probs)]))

@@ -33,7 +33,8 @@ QUALITY_MISSING_MAX = 0.02
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    return left.join(right, keys, how) if keys else left.crossJoin(right)
+    """Join on ``keys``; without keys ``right`` has at most one row."""
+    return left.join(right, keys, how) if keys else left.join(F.broadcast(right), F.lit(True), how)
 
 
 def _psi_from_counts(e_counts: DataFrame, a_counts: DataFrame, e_tot: DataFrame, a_tot: DataFrame,

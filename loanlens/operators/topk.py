@@ -1,9 +1,8 @@
 """Top-k per group and latest-row-per-group.
 
-A plain ``row_number`` over ``partitionBy(keys)`` sends every row of a group
-to one task.  When one key may hold a large share of all rows, rank first
-inside (key, salt) slices -- each slice keeps at most k rows -- and rank the
-surviving k * salts rows per key in a second, small window.
+A filter on ``row_number`` lets Spark keep the first k rows of every group in
+each task before the shuffle (window group limit), so a group with a large
+share of all rows sends at most k rows a task.
 """
 
 from __future__ import annotations
@@ -13,31 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
-
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                    rank_col: str = "rn", salt_col: str | None = None,
-                    salts: int = DEFAULT_SALTS) -> DataFrame:
+                    rank_col: str = "rn") -> DataFrame:
     """Keep the first ``k`` rows of every group under ``order`` (ties must be broken
     by the caller), numbering them 1..k in ``rank_col``."""
-    keys = list(keys)
-    if salt_col is not None and salts > 1:
-        salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
-        w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (df.withColumn("_salt", salt)
-                .withColumn("_rn1", F.row_number().over(w1))
-                .filter(F.col("_rn1") <= k)
-                .drop("_rn1", "_salt"))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                     salt_col: str | None = None) -> DataFrame:
+def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Last row per group under ``order`` ascending (F4: ``groupby().tail(1)``)."""
     desc = [o.desc() if isinstance(o, Column) else F.col(o).desc() for o in order]
-    return top_k_per_group(df, keys, desc, 1, "_latest_rn", salt_col=salt_col).drop("_latest_rn")
+    return top_k_per_group(df, keys, desc, 1, "_latest_rn").drop("_latest_rn")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -147,6 +147,26 @@ def q_f2(spark, sf):
     return r6(M.decile_table(fx.scored(spark, sf), "bad", "pd_b", "loan_id"))
 
 
+@register("f1_text_id_deciles", with_(V.SCORED + """,
+named AS (SELECT 'L' || CAST(loan_id AS VARCHAR) AS name, pd_b FROM scored),
+pos AS (SELECT *, row_number() OVER (ORDER BY pd_b, name) AS r, count(*) OVER () AS n FROM named WHERE pd_b IS NOT NULL)""", """
+SELECT name, CAST(CASE WHEN n < 2 THEN 1 ELSE greatest(1, ((r - 1) * 10 + n - 2) // (n - 1)) END AS INTEGER) AS decile FROM pos"""))
+def q_f1(spark, sf):
+    """rank deciles whose ties are broken by a text id."""
+    named = fx.scored(spark, sf).select(F.concat(F.lit("L"), F.col("loan_id").cast("string")).alias("name"), "pd_b")
+    return M.rank_bins(named, "pd_b", "name").select("name", "decile")
+
+
+@register("f4_latest_row", """
+SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS last_date FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def q_f4(spark, sf):
+    """the latest order of each customer."""
+    from loanlens.operators.topk import latest_per_group
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("last_date"))
+    return latest_per_group(o, ["o_custkey"], [F.col("last_date"), F.col("o_orderkey")])
+
+
 @register("i7_ece", with_(V.SCORED + DECILE_SQL.format(score="pd", q=10) + """,
 t AS (SELECT decile, count(*) AS c, avg(pd) AS s, avg(CAST(bad AS DOUBLE)) AS b FROM dec GROUP BY decile)""", """
 SELECT round(sum(c * abs(s - b)) / sum(c), 6) AS ece FROM t"""))
@@ -389,6 +409,20 @@ def q_e2(spark, sf):
     return r6(cutoff.crossJoin(t).crossJoin(o))
 
 
+CAP_ROWS = 900
+
+
+@register("e3_stratified_cap", with_(V.SCORED + f""",
+named AS (SELECT 'L' || CAST(loan_id AS VARCHAR) AS name, bad FROM scored WHERE bad IS NOT NULL),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY md5('42|' || name), name) AS r,
+  count(*) OVER (PARTITION BY bad) AS nc, count(*) OVER () AS n FROM named)""", f"""
+SELECT name, bad FROM drawn WHERE n <= {CAP_ROWS} OR r <= round_even({CAP_ROWS}::DOUBLE * nc / n::DOUBLE, 0)"""))
+def q_e3(spark, sf):
+    """Stratified cap on text ids (the cap is the feature)."""
+    named = fx.scored(spark, sf).filter("bad is not null").select(F.concat(F.lit("L"), F.col("loan_id").cast("string")).alias("name"), "bad")
+    return SP.stratified_cap(named, CAP_ROWS, "bad", "name")
+
+
 # ---------------------------------------------------------------- policy (2.K)
 from loanlens.operators import policy as P  # noqa: E402
 
@@ -683,8 +717,10 @@ def q_h8(spark, sf):
 
 
 def _wide_model_frame(spark, sf):
-    # scoreable population: customers with at least two statements (volatility needs n >= 2)
-    w = fx.wide_customer(spark, sf).filter(F.col("BILL_AMT2").isNotNull())
+    # all customers: a month without a statement has no balance, no payment and the status "no consumption" (-2)
+    w = fx.wide_customer(spark, sf)
+    w = w.fillna(0.0, [c for c in w.columns if c.startswith(("BILL_AMT", "PAY_AMT"))]).fillna(
+        -2, [c for c in w.columns if c.startswith("PAY_") and not c.startswith("PAY_AMT")])
     return PR.prepare_features(w)
 
 

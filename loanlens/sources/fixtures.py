@@ -129,10 +129,9 @@ def wide_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                               "o_totalprice", "o_orderdate")
-    # Six latest orders per customer, salted so one customer holding a large
-    # share of all orders is still ranked by many tasks.
+    # six latest orders per customer: each task sends at most six rows of a customer to the shuffle
     latest = top_k_per_group(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()],
-                             6, "rn", salt_col="o_orderkey")
+                             6, "rn")
     aggs = []
     for i in range(1, 7):
         pick = F.col("rn") == i

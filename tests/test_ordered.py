@@ -80,3 +80,22 @@ def test_deciles_equal_frequency(skewed):
     assert sorted(t["decile"]) == list(range(1, 11))
     assert t["sample_count"].sum() == len(pdf)
     assert t["sample_count"].max() - t["sample_count"].min() <= 1
+
+
+def test_text_ids_any_order(spark):
+    rows = [(f"L{i % 13}x{i}", 0.5 if i % 3 else i / 100) for i in range(200)]
+    got = row_ranks(spark.createDataFrame(rows, "id string, s double"), "s", "id", buckets=7).collect()
+    want = {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    assert {r["id"]: r["rank"] for r in got} == want
+
+
+def test_empty_and_equal_values(spark):
+    none = spark.createDataFrame([], "id string, s double, g string")
+    assert exact_quantiles(none, "s", [0.0, 0.5, 1.0]).count() == 0
+    assert exact_quantiles(none, "s", [0.5], ["g"]).count() == 0
+    assert row_ranks(none, "s", "id").count() == 0 and prefix_sums(none, "s", ["s"]).count() == 0
+    same = spark.createDataFrame([(str(i), 0.25, "a") for i in range(50)], "id string, s double, g string")
+    row = exact_quantiles(same, "s", [0.0, 0.3, 1.0], ["g"]).first()
+    assert [row["_n"], row["q0"], row["q1"], row["q2"]] == [50, 0.25, 0.25, 0.25]
+    from loanlens.operators import stability as S
+    assert S.population_stability_index(none, same, "s").first()["psi"] == 0.0
