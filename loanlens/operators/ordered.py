@@ -113,7 +113,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     groups = list(groups)
     base = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_x"))
     counts = base.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    run = prefix_sums(counts, "_x", ["_c"], groups, buckets=buckets, prefix="_p", total="_n")
+    return count_quantiles(counts, "_x", "_c", probs, groups, buckets, out_prefix)
+
+
+def count_quantiles(counts: DataFrame, value: str, times: str, probs: Sequence[float], groups: Sequence[str] = (),
+                    buckets: int | None = None, out_prefix: str = "q") -> DataFrame:
+    """``exact_quantiles`` of values given once each with how often they occur."""
+    groups = list(groups)
+    named = counts.select(*groups, F.col(value).alias("_x"), F.col(times).alias("_c"))
+    run = prefix_sums(named, "_x", ["_c"], groups, buckets=buckets, prefix="_p", total="_n")
     at = [(F.col("_n_c") - 1).cast("double") * F.lit(float(p)) for p in probs]
     holds = lambda pos: (pos > F.col("_p_c") - F.col("_c") - 1) & (pos <= F.col("_p_c") - 1)
     picked = run.groupBy(*groups).agg(

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.scalar import psi_status, quarter_label
-from loanlens.operators.ordered import exact_quantiles
+from loanlens.operators.ordered import count_quantiles, exact_quantiles, join_checked
+from loanlens.session import materialize
 
 # PSI share floor, bin labels and the rule thresholds.
 SHARE_FLOOR = 0.0001
@@ -87,25 +88,6 @@ def psi_continuous(expected: DataFrame, actual: DataFrame, value: str, keys: Seq
                       .otherwise(F.coalesce(F.col("psi"), F.lit(0.0))).alias("psi"))
 
 
-def psi_categorical(expected: DataFrame, actual: DataFrame, value: str, keys: Sequence[str] = (),
-                    edge_keys: Sequence[str] | None = None) -> DataFrame:
-    """Categorical PSI (J3): NULL -> Missing, values unseen in the baseline -> Other."""
-    keys = list(keys)
-    edge_keys = list(keys if edge_keys is None else edge_keys)
-    lab = F.coalesce(F.col(value).cast("string"), F.lit(MISSING))
-    eb = expected.select(*edge_keys, lab.alias("_bin"))
-    ab = actual.select(*keys, lab.alias("_bin"))
-    seen = eb.select(*edge_keys, "_bin").distinct().withColumn("_seen", F.lit(True))
-    # unseen-category test as a join against the baseline's distinct values
-    ab = _join(ab, seen, [*edge_keys, "_bin"], "left").select(
-        *keys, F.when(F.col("_seen"), F.col("_bin")).otherwise(F.lit(OTHER)).alias("_bin"))
-    e_tot = eb.groupBy(*edge_keys).agg(F.count(F.lit(1)).alias("_tot_e"))
-    a_tot = ab.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot_a"))
-    e_counts = eb.groupBy(*edge_keys, "_bin").agg(F.count(F.lit(1)).alias("_ne"))
-    a_counts = ab.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_na"))
-    return _psi_from_counts(e_counts, a_counts, e_tot, a_tot, edge_keys, keys)
-
-
 def population_stability_index(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Score PSI between two populations (J1, J6): one row with ``psi``."""
     return psi_continuous(expected.select(value), actual.select(value), value, [], [], bins)
@@ -117,7 +99,8 @@ def monitoring_table(scores: DataFrame, score: str, label: str, date_col: str, b
     """Per quarter cohort: size, bad rate, mean score, PSI against the first cohort,
     status (J5, D18, F7).  The baseline cohort is found as data (min cohort)."""
     c = scores.withColumn("cohort", quarter_label(date_col))
-    first = c.agg(F.min("cohort").alias("_base"))
+    first = c.agg(F.when(F.min("cohort") == F.max("cohort"), F.raise_error(F.lit(
+        "cohort monitoring needs scores of two quarters at least"))).otherwise(F.min("cohort")).cast("string").alias("_base"))
     base = c.join(F.broadcast(first), c.cohort == first._base, "left_semi")
     psi = psi_continuous(base.select(score), c.select("cohort", score), score, ["cohort"], [], bins)
     level = c.groupBy("cohort").agg(
@@ -148,35 +131,65 @@ def _stack(df: DataFrame, features: list[str], cast: str, extra: list[str]) -> D
     return df.selectExpr(*extra, f"stack({len(features)}, {expr}) AS (feature, value)")
 
 
+def _shares_psi(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, psi`` from counts of both sides in each bin: ``keys, _bin, _ne, _na``, with totals ``_tot_e, _tot_a``."""
+    e = F.greatest(F.col("_ne").cast("double") / F.col("_tot_e"), F.lit(SHARE_FLOOR))
+    a = F.greatest(F.col("_na").cast("double") / F.col("_tot_a"), F.lit(SHARE_FLOOR))
+    return bins.groupBy(*keys).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
+
+
 def feature_stability(snapshot: DataFrame, oot_ids: DataFrame, date_col: str = "observation_date",
-                      key: str = "loan_id") -> DataFrame:
+                      key: str = "loan_id", bins: int = 10) -> DataFrame:
     """Train-vs-OOT and first-vs-last OOT cohort PSI for every monitored feature.
 
     Comparison names are built from the data: ``Train vs OOT`` and
-    ``<first cohort> vs <last cohort>``."""
-    train, oot = split_by_ids(snapshot, oot_ids, key)
-    oot = oot.withColumn("cohort", quarter_label(date_col))
-    bounds = oot.agg(F.min("cohort").alias("_first"), F.max("cohort").alias("_last"))
-    oot = oot.crossJoin(F.broadcast(bounds))
-    cmp2 = F.concat(F.col("_first"), F.lit(" vs "), F.col("_last"))
-    first = oot.filter(F.col("cohort") == F.col("_first")).withColumn("comparison", cmp2)
-    last = oot.filter(F.col("cohort") == F.col("_last")).withColumn("comparison", cmp2)
-    t1 = F.lit("Train vs OOT")
-    expected = train.withColumn("comparison", t1).unionByName(first.select(*train.columns, "comparison"))
-    actual = oot.select(*train.columns).withColumn("comparison", t1).unionByName(
-        last.select(*train.columns, "comparison"))
-    keys = ["comparison", "feature"]
-    e_num, a_num = (_stack(d, CONTINUOUS_FEATURES, "DOUBLE", ["comparison"]) for d in (expected, actual))
-    e_cat, a_cat = (_stack(d, CATEGORICAL_FEATURES, "STRING", ["comparison"]) for d in (expected, actual))
-    psi = psi_continuous(e_num, a_num, "value", keys, keys, missing_bin=True).withColumn(
-        "feature_type", F.lit("continuous")).unionByName(
-        psi_categorical(e_cat, a_cat, "value", keys).withColumn("feature_type", F.lit("categorical")))
-
-    def miss(df, col):
-        return df.groupBy(*keys).agg(F.avg(F.when(F.col("value").isNull(), 1.0).otherwise(0.0)).alias(col))
-    em = miss(e_num, "baseline_missing_rate").unionByName(miss(e_cat, "baseline_missing_rate"))
-    am = miss(a_num, "comparison_missing_rate").unionByName(miss(a_cat, "comparison_missing_rate"))
-    out = psi.join(em, keys).join(am, keys)
+    ``<first cohort> vs <last cohort>``; fewer than two OOT cohorts are an
+    error.  The snapshot is read once: each loan is flagged with the sides it
+    is on, its features are stacked, and one aggregate counts every distinct
+    value on either side of every comparison.  Totals, missing rates, baseline
+    edges, bins and PSI all come from that table of counts.
+    """
+    keys = ["comparison", "feature", "feature_type"]
+    marked = snapshot.join(oot_ids.select(key).distinct().withColumn("_oot", F.lit(True)), key, "left").select(
+        F.col("_oot").isNotNull().alias("_oot"), quarter_label(date_col).alias("_cohort"), *CONTINUOUS_FEATURES, *CATEGORICAL_FEATURES)
+    marked = materialize(marked)
+    span = marked.filter("_oot").agg(F.min("_cohort").alias("_first"), F.max("_cohort").alias("_last")).select(
+        "_first", F.when(F.col("_first") == F.col("_last"), F.raise_error(F.lit(
+            "feature stability needs out-of-time loans of two quarters at least"))).otherwise(F.col("_last")).cast("string").alias("_last"))
+    both = marked.crossJoin(F.broadcast(span))      # one row
+    whole, ends = F.lit("Train vs OOT"), F.concat_ws(" vs ", "_first", "_last")
+    on = lambda name, expected: F.struct(name.alias("comparison"), F.lit(int(expected)).alias("e"), F.lit(int(not expected)).alias("a"))
+    sides = F.filter(F.array(
+        F.when(~F.col("_oot"), on(whole, True)).otherwise(on(whole, False)),
+        F.when(F.col("_oot") & (F.col("_cohort") == F.col("_first")), on(ends, True)),
+        F.when(F.col("_oot") & (F.col("_cohort") == F.col("_last")), on(ends, False))), lambda x: x.isNotNull())
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    values = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.lit("continuous").alias("feature_type"), number(c).alias("x"), F.lit(None).cast("string").alias("t"))
+          for c in CONTINUOUS_FEATURES],
+        *[F.struct(F.lit(c).alias("feature"), F.lit("categorical").alias("feature_type"), F.lit(None).cast("double").alias("x"),
+                   F.col(c).cast("string").alias("t")) for c in CATEGORICAL_FEATURES])
+    stacked = both.select(F.explode(sides).alias("s"), values.alias("v")).select("s.*", F.explode("v").alias("v")).select("comparison", "e", "a", "v.*")
+    counts = materialize(stacked.groupBy(*keys, "x", "t").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a")))
+
+    missing = F.col("x").isNull() & F.col("t").isNull()
+    totals = materialize(counts.groupBy(*keys).agg(
+        F.sum("_e").alias("_tot_e"), F.sum("_a").alias("_tot_a"),
+        F.sum(F.when(missing, F.col("_e")).otherwise(0)).alias("_miss_e"), F.sum(F.when(missing, F.col("_a")).otherwise(0)).alias("_miss_a")))
+    seen = counts.filter("x is not null and _e > 0")
+    q = count_quantiles(seen, "x", "_e", [i / bins for i in range(bins + 1)], keys, out_prefix="_q")
+    edges = q.select(*keys, F.array_distinct(F.array(*[F.col(f"_q{i}") for i in range(bins + 1)])).alias("_u"))
+    edges = materialize(edges.filter(F.size("_u") >= 3).select(*keys, F.slice("_u", 2, F.size("_u") - 2).alias("_inner")))
+    binned = join_checked(counts, edges, keys, "left").withColumn("_bin", F.when(missing, F.lit(MISSING)).when(
+        F.col("feature_type") == "categorical", F.when(F.col("_e") > 0, F.col("t")).otherwise(F.lit(OTHER))).otherwise(
+        F.size(F.filter("_inner", lambda edge: edge < F.col("x"))).cast("string")))
+    # a continuous feature without inner edges has one bin: PSI 0
+    flat = (F.col("feature_type") == "continuous") & F.col("_inner").isNull()
+    binned = binned.filter(~flat).groupBy(*keys, "_bin").agg(F.sum("_e").alias("_ne"), F.sum("_a").alias("_na"))
+    psi = _shares_psi(join_checked(binned, totals, keys), keys)
+    out = totals.join(psi, keys, "left").filter("_tot_e > 0 and _tot_a > 0").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
+    out = (out.withColumn("baseline_missing_rate", F.col("_miss_e") / F.col("_tot_e"))
+              .withColumn("comparison_missing_rate", F.col("_miss_a") / F.col("_tot_a")))
     return (out.withColumn("psi_status", psi_status("psi"))
                .withColumn("missing_rate_change", F.col("comparison_missing_rate") - F.col("baseline_missing_rate"))
                .select("comparison", "feature", "feature_type", "psi", "baseline_missing_rate",

@@ -49,3 +49,10 @@ def test_the_launcher_wins():
                         "--master local[1] --conf spark.sql.shuffle.partitions=2000 --conf spark.sql.adaptive.enabled=false pyspark-shell"}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert "GOT 2000 false" in out.stdout, out.stderr[-500:]
+
+
+def test_cohort_guards(spark):
+    from loanlens.operators import stability as S
+    one = spark.createDataFrame([(i / 10, i % 2, "2024-02-01") for i in range(10)], "pd double, bad int, d string").withColumn("d", F.to_date("d"))
+    with pytest.raises(Exception, match="two quarters"):
+        S.monitoring_table(one, "pd", "bad", "d").collect()
