@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE = {
     "op2_mix_sources": mixing.ORACLE_OP2,
     "op4_quality_rules": quality_rules.ORACLE_OP4,
+    "op6_ngram_join": ngram_join.ORACLE_OP6,
 }

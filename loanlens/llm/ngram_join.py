@@ -431,3 +431,18 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+ORACLE_OP6 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) END AS g FROM t),
+n AS (SELECT doc_id, g, len(g)::BIGINT AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id FROM s),
+x AS (SELECT DISTINCT class_id, n, unnest(g) AS gram FROM n WHERE n > 0 AND doc_id = class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.class_id <> b.class_id
+      GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT class_id AS a, class_id AS b FROM n UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT doc_id, n AS n_shingles, class_id, (SELECT min(b) FROM r WHERE r.a = class_id) AS component_id FROM n
+"""
