@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loanlens.functions.scalar import (clip, code_label, right_closed_band, row_count_at_least, row_max,
                                        row_mean, row_std, row_sum)
-from loanlens.operators.ordered import exact_quantiles
+from loanlens.operators.ordered import count_quantiles, exact_quantiles, join_checked
+from loanlens.session import materialize
 from loanlens.sources.fixtures import (BILL_COLUMNS, MONEY_COLUMNS, PAY_AMOUNT_COLUMNS, PAY_STATUS_COLUMNS,
                                        TARGET_WIDE)
 
@@ -60,59 +61,44 @@ PAY_NOTE = "-2 to 0 represent no-delay states; 1 to 8 represent delay months."
 def code_quality(df: DataFrame) -> DataFrame:
     """Code checks (D11): observed codes, unexpected count and rate.
 
-    For code sets NULL counts as unexpected; for the status range it does not."""
-    n = F.count(F.lit(1))
-    parts = []
-    for col, valid in EXPECTED_CODES.items():
-        c = F.col(col)
-        unexpected = F.coalesce(~c.isin(*valid), F.lit(True))
-        parts.append(df.agg(
-            F.lit(col).alias("field"),
-            F.lit(", ".join(map(str, valid))).alias("expected_codes"),
-            F.array_join(F.sort_array(F.collect_set(c.cast("long"))), ", ").alias("observed_codes"),
-            F.count(F.when(unexpected, 1)).alias("unexpected_count"),
-            (F.count(F.when(unexpected, 1)) / n).alias("unexpected_rate"),
-            F.lit(CODE_NOTE).alias("note")))
+    For code sets NULL counts as unexpected; for the status range it does not.
+    One scan: the fields are stacked and counted by distinct value, and the
+    checks run over these counts."""
     lo, hi = PAY_RANGE
-    for col in PAY_STATUS_COLUMNS:
-        c = F.col(col)
-        bad = (c < lo) | (c > hi)
-        parts.append(df.agg(
-            F.lit(col).alias("field"),
-            F.lit(f"{lo} to {hi}").alias("expected_codes"),
-            F.concat_ws(" to ", F.min(c).cast("string"), F.max(c).cast("string")).alias("observed_codes"),
-            F.count(F.when(bad, 1)).alias("unexpected_count"),
-            (F.count(F.when(bad, 1)) / n).alias("unexpected_rate"),
-            F.lit(PAY_NOTE).alias("note")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rules = [(c, ", ".join(map(str, v)), CODE_NOTE, [int(x) for x in v]) for c, v in EXPECTED_CODES.items()]
+    rules += [(c, f"{lo} to {hi}", PAY_NOTE, None) for c in PAY_STATUS_COLUMNS]
+    rules = df.sparkSession.createDataFrame(rules, "field string, expected_codes string, note string, _valid array<bigint>")
+    counts = _stack(df, [*EXPECTED_CODES, *PAY_STATUS_COLUMNS], "BIGINT").groupBy("field", "value").agg(F.count(F.lit(1)).alias("_n"))
+    v, coded = F.col("value"), F.col("_valid").isNotNull()
+    bad = F.when(coded, ~F.coalesce(F.array_contains("_valid", v), F.lit(False))).otherwise(F.coalesce((v < lo) | (v > hi), F.lit(False)))
+    rows = F.coalesce(F.sum("_n"), F.lit(0))
+    unexpected = F.coalesce(F.sum(F.when(bad, F.col("_n"))), F.lit(0))
+    out = counts.join(F.broadcast(rules), "field", "right").groupBy("field", "expected_codes", "note", coded.alias("_coded")).agg(
+        F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("_list"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+        unexpected.alias("unexpected_count"), F.try_divide(unexpected, rows).alias("unexpected_rate"))
+    return out.select("field", "expected_codes", F.when(F.col("_coded"), F.col("_list")).otherwise(
+        F.concat_ws(" to ", "_lo", "_hi")).alias("observed_codes"), "unexpected_count", "unexpected_rate", "note")
 
 
 def money_profile(df: DataFrame, cols: Sequence[str] = tuple(MONEY_COLUMNS)) -> DataFrame:
     """min, p01, median, p99, max, zero / negative / above-p99 counts per field.
 
-    Percentiles are exact (linear), computed for all fields in one grouped
-    pass; p99 is joined back for the above-p99 count."""
-    long = _stack(df, list(cols), "DOUBLE")
-    q = exact_quantiles(long, "value", [0.01, 0.5, 0.99], ["field"], out_prefix="_q")
+    The fields are stacked and counted by distinct value in one scan;
+    percentiles (exact, linear) and all counts come from these counts."""
+    counts = materialize(_stack(df, list(cols), "DOUBLE").groupBy("field", "value").agg(F.count(F.lit(1)).alias("_n")))
+    q = count_quantiles(counts.filter("value is not null"), "value", "_n", [0.01, 0.5, 0.99], ["field"], out_prefix="_q").drop("_n")
     v = F.col("value")
-    j = long.join(F.broadcast(q.select("field", "_q2")), "field", "left")
-    agg = j.groupBy("field").agg(
-        F.min(v).alias("minimum"), F.max(v).alias("maximum"),
-        F.count(F.when(v == 0, 1)).alias("zero_count"),
-        F.count(F.when(v < 0, 1)).alias("negative_count"),
-        F.count(F.when(v > F.col("_q2"), 1)).alias("above_p99_count"))
-    return agg.join(q.select("field", F.col("_q0").alias("p01"), F.col("_q1").alias("median"),
-                             F.col("_q2").alias("p99")), "field", "left").select(
-        "field", "minimum", "p01", "median", "p99", "maximum", "zero_count", "negative_count", "above_p99_count")
+    times = lambda test: F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
+    agg = join_checked(counts, q, ["field"], "left").groupBy("field", "_q0", "_q1", "_q2").agg(
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"), times(v == 0).alias("zero_count"),
+        times(v < 0).alias("negative_count"), times(v > F.col("_q2")).alias("above_p99_count"))
+    return agg.select("field", "minimum", F.col("_q0").alias("p01"), F.col("_q1").alias("median"), F.col("_q2").alias("p99"),
+                      "maximum", "zero_count", "negative_count", "above_p99_count")
 
 
-def negative_total(money: DataFrame, prefix: str = "BILL_") -> DataFrame:
-    """Total negative values over a family of fields."""
-    return money.filter(F.col("field").startswith(prefix)).agg(
-        F.coalesce(F.sum("negative_count"), F.lit(0)).alias("negative_count"))
+def negative_total(df: DataFrame, cols: Sequence[str] = tuple(BILL_COLUMNS)) -> DataFrame:
+    """Total negative values over a family of fields (D16), in one aggregate."""
+    return df.agg(sum((F.count(F.when(F.col(c) < 0, 1)) for c in cols), F.lit(0)).cast("long").alias("negative_count"))
 
 
 # Segment labels and band edges.
@@ -173,13 +159,13 @@ def segment_default_rates(segmented: DataFrame, target: str = TARGET_WIDE) -> Da
 def duplicate_summary(df: DataFrame, id_col: str = "ID") -> DataFrame:
     """Fully duplicated rows, duplicated ids and fields with missing values."""
     cols = df.columns
-    full = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")).agg(
-        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows"))
-    ids = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).agg(
+    rows = materialize(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")))       # distinct rows
+    ids = rows.groupBy(id_col).agg(F.sum("_c").alias("_c")).agg(
         F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_ids"))
-    miss = df.agg(*[F.max(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(c) for c in cols])
-    miss = miss.select(sum((F.col(c) for c in cols), F.lit(0)).alias("fields_with_missing"))
-    return full.crossJoin(ids).crossJoin(miss)
+    rest = rows.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows"),
+                    *[F.max(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(f"_m_{c}") for c in cols])
+    rest = rest.select("duplicate_rows", sum((F.col(f"_m_{c}") for c in cols), F.lit(0)).alias("fields_with_missing"))
+    return rest.crossJoin(ids).select("duplicate_rows", "duplicate_ids", "fields_with_missing")      # one row each
 
 
 def class_shares(df: DataFrame, target: str = TARGET_WIDE) -> DataFrame:

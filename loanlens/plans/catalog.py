@@ -570,7 +570,7 @@ def q_d12(spark, sf):
 @register("d16_negative_bills", with_(V.WIDE + D12_CTE, """
 SELECT CAST(coalesce(sum(negative_count), 0) AS BIGINT) AS negative_count FROM mp WHERE field LIKE 'BILL_%'"""))
 def q_d16(spark, sf):
-    return PR.negative_total(PR.money_profile(fx.wide_customer(spark, sf)))
+    return PR.negative_total(fx.wide_customer(spark, sf))
 
 
 def _band_sql(x: str, edges, labels) -> str:
