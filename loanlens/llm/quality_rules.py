@@ -39,7 +39,8 @@ RULES = {
     "symbol_ratio": (0.02, 0.15, None),
     "mean_word": (0.5, 10.0, 2.5),
     "dup_line_ratio": (0.05, 0.4, None),
-    "repeat_ratio": (0.02, 0.2, None),
+    "repeat_ratio": (0.02, 0.3, None),
+    "twin_ratio": (0.02, 0.2, None),
 }
 REACH = 4.0
 MIN_GROUP = 100
@@ -91,21 +92,24 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "word_chars": F.length(F.translate("_text", SPACES, "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
-        "_windows": _sliding_hash(F.transform(words(F.col("_text")), lambda w: F.xxhash64(w))),
+        "_hashes": F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)),
     })
+    base = base.withColumn("_windows", _sliding_hash(F.col("_hashes")))
+    short = F.greatest(F.size("_hashes") - 1, F.lit(0))
+    twins = F.filter(F.zip_with(F.slice("_hashes", F.lit(1), short), F.slice("_hashes", F.lit(2), short), lambda a, b: a == b), lambda x: x)
     twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return base.select(
         "doc_id", *group_cols, "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(twice, _covered(F.col("_windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"))
+        F.size("_lines").cast("long").alias("n_lines"), F.size(twins).cast("long").alias("n_twins"))
 
 
 def _metrics() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {"symbol_ratio": F.col("n_symbols") / n, "mean_word": F.col("word_chars") / n,
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-            "repeat_ratio": F.col("n_repeat_words") / n}
+            "repeat_ratio": F.col("n_repeat_words") / n, "twin_ratio": F.col("n_twins") / n}
 
 
 def sketch(stats: DataFrame, groups: list[str]) -> DataFrame:
@@ -198,13 +202,15 @@ pos AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM pos) GROUP BY doc_id),
 s AS (SELECT g.doc_id, lang, source, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+        len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i+1])) AS n_twins
       FROM g LEFT JOIN cov USING (doc_id)),
 x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_ratio, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word,
-        n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_ratio FROM s),
-m AS (UNPIVOT (SELECT lang, source, symbol_ratio, mean_word, dup_line_ratio, repeat_ratio FROM x WHERE NOT base_failed)
-      ON symbol_ratio, mean_word, dup_line_ratio, repeat_ratio INTO NAME metric VALUE v),
+        n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_ratio,
+        n_twins / greatest(n_words, 1)::DOUBLE AS twin_ratio FROM s),
+m AS (UNPIVOT (SELECT lang, source, symbol_ratio, mean_word, dup_line_ratio, repeat_ratio, twin_ratio FROM x WHERE NOT base_failed)
+      ON symbol_ratio, mean_word, dup_line_ratio, repeat_ratio, twin_ratio INTO NAME metric VALUE v),
 b AS (SELECT lang, source, metric, CASE WHEN v < {LEAST} THEN 0 ELSE 1 + floor(ln(v / {LEAST}::DOUBLE) / {math.log(GAMMA)!r}::DOUBLE)::INT END AS bucket FROM m),
 q0 AS ({quant.format(g='lang, source,')}), q1 AS ({quant.format(g='lang,')}), q2 AS ({quant.format(g='')}),
 f AS (SELECT q0.lang, q0.source, q0.metric,

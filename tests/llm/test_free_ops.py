@@ -184,7 +184,7 @@ def test_line_dedup(spark, monkeypatch, tile):
     texts += [None, "", "\n\n", "z" * 3000, "y" + "z" * 2999]
     docs = frame(spark, texts)
     got = line_dedup.remove_repeated_lines(docs, least=12)
-    assert [c for c in got.columns if c not in ("_lines", "_gone")] == docs.columns
+    assert [c for c in got.columns if c not in ("_lines", "_gone", "_left")] == docs.columns
     want = plain_line_dedup(list(enumerate(texts)), 12, 2)
     for r in got.collect():
         assert r.text == want[r.doc_id], r.doc_id
@@ -337,7 +337,7 @@ def test_pipeline(spark, tmp_path):
             want = plain_line_dedup([(k, r.text) for k, r in before.items()], line_dedup.MIN_CHARS, line_dedup.EDITS)
             assert all(r.text == want[r.doc_id] for r in after)
             long = lambda t: any(len(x) >= line_dedup.MIN_CHARS for x in (t or "").split("\n"))
-            assert {r.doc_id for r in after} == {k for k, r in before.items() if long(want[k]) or want[k] == r.text}
+            assert {r.doc_id for r in after} == {k for k, r in before.items() if want[k] == r.text or long(want[k]) or len(want[k]) >= 0.2 * len(r.text)}
         if name == "n-gram Jaccard join":
             ids = list(before)
             parts = plain_components([before[k].text for k in ids], ids, 5, 80)
