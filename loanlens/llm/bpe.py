@@ -13,7 +13,7 @@ time along the right edge of the first and the left edge of the second, the
 boundary breaks if the pair that faces each other at some time merges before
 either of them is used up.  Answers are remembered in a table of bounded size.
 
-Scale: one pass without a shuffle.  A task holds the words of about a million
+Scale: one pass without a shuffle.  A task holds the words of about half a million
 characters, a word table of at most ``WORDS`` entries and the tokenizer's own
 tables, which are read on the driver from the path given and broadcast (their
 size is the vocabulary's).
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import documents
+from loanlens.llm.shingles import texts_of
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 WORDS = 300_000
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 # What the tokenizer file says about words, the end of a word, and white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -204,8 +205,8 @@ class TrieEncoder:
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in one]) for one in parts]
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about a million characters."""
+def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Consecutive runs of texts of about half a million characters."""
     block: list[str] = []
     size = 0
     for t in texts:
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         encoder = TrieEncoder(tables.value)
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
+            for block in blocks(texts_of(batch.column(batch.schema.get_field_index(text_col)))):
                 ids = encoder.encode_block(block)
                 part = batch.slice(at, len(block))
                 at += len(block)
@@ -251,8 +252,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
         t = tables.value
         token = {i: s for s, i in [*t["vocab"].items(), *t["special"].items()]}.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 texts = [" ".join(map(token, np.frombuffer(x or b"", "<u4").tolist()))
                          for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])

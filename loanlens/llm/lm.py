@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import documents, stash
-from loanlens.llm.shingles import Shingler, blocks, mix
+from loanlens.llm.shingles import Shingler, blocks, mix, texts_of
 
 VOCAB = 1920
 GROUPS = 128
@@ -98,7 +98,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                                               names=["block", "keys", "times"])
 
         for batch in batches:
-            for block in blocks(batch.column(0).to_pylist()):
+            for block in blocks(texts_of(batch.column(0))):
                 k, t = np.unique(tokens.load(block)[0], return_counts=True)
                 keys.append(k)
                 times.append(t)
@@ -172,7 +172,7 @@ def pair_counts(train: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         tokens, v = Tokens(), shared.value
         seen = np.zeros(width * width, np.int64)
         for batch in batches:
-            for block in blocks(batch.column(0).to_pylist()):
+            for block in blocks(texts_of(batch.column(0))):
                 out = v.look_up(tokens.load(block)[0])[0].astype(np.int64)
                 code, times = np.unique(np.concatenate([[0], out[:-1]]) * width + out, return_counts=True)
                 seen[code] += times
@@ -263,7 +263,7 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, cou
         table = np.concatenate([lm.log_probs(np.arange(a, min(a + 512, v.width))) for a in range(0, v.width, 512)]) / np.float32(np.log(10))
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(2).to_pylist()):
+            for block in blocks(texts_of(batch.column(2))):
                 m = len(block)
                 key, own = tokens.load(block)
                 out, c = v.look_up(key)

@@ -46,16 +46,16 @@ from pyspark.sql import Window
 
 from loanlens.llm.common import documents, join_small, stash
 from loanlens.llm.components import connected_components
-from loanlens.llm.shingles import Shingler, blocks, mix
+from loanlens.llm.shingles import Shingler, blocks, mix, texts_of
 
 GRAM = 4
 SIMILAR = 85                   # per cent
 #: Rows of at most so many n-grams use all columns in step 2, longer ones the columns below HALF.
 SHORT = 80
 HALF = np.uint64(1 << 63)
-BLOCK_TOKENS = 2_000_000       # n-grams of a column block
-TASK_TOKENS = 2_000_000        # n-grams of a product task
-FLUSH_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_000_000       # n-grams of a column block
+TASK_TOKENS = 1_000_000        # n-grams of a product task
+FLUSH_TOKENS = 500_000
 MARK = np.uint32(0xFFFFFFFF)   # "two rows or more have it", in place of a row
 
 
@@ -84,7 +84,7 @@ def row_table(docs: DataFrame, k: int) -> DataFrame:
         shingler = Shingler(k)
         for batch in batches:
             out = []
-            for block in blocks(batch.column(1).to_pylist()):
+            for block in blocks(texts_of(batch.column(1))):
                 for s in shingler.sets(block):
                     out.append((len(s), _probe(s), *_keys(s)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -147,7 +147,7 @@ def _column_blocks(docs: DataFrame, k: int, n_blocks: int, whole: bool) -> DataF
                                               names=["block", "keys", "sizes", "rows", "grams"])
 
         for batch in batches:
-            for block in blocks(batch.column(0).to_pylist()):
+            for block in blocks(texts_of(batch.column(0))):
                 for s in shingler.sets(block):
                     if len(s) and (key := _keys(s)[0]) not in seen:
                         seen[key] = len(sets)
@@ -328,7 +328,7 @@ def _links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             at = 0
             goes = batch.column(1).to_pylist()
-            for block in blocks(batch.column(0).to_pylist()):
+            for block in blocks(texts_of(batch.column(0))):
                 out = []
                 for s, places_ in zip(shingler.sets(block), goes[at:at + len(block)], strict=True):
                     key = _keys(s)[0]

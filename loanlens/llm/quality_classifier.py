@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import documents, join_small, stash
-from loanlens.llm.shingles import Shingler, blocks, mix
+from loanlens.llm.shingles import Shingler, blocks, mix, texts_of
 
 BITS = 18
 FIT_ROWS = 12_000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         feats = Features()
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(1).to_pylist()):
+            for block in blocks(texts_of(batch.column(1))):
                 places, own = feats.places(block)
                 cuts = np.searchsorted(own, np.arange(len(block) + 1))
                 part = batch.slice(at, len(block))
@@ -213,7 +213,7 @@ def classify(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         own_model, feats = OrdinalModel(*shared.value), Features()
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
+            for block in blocks(texts_of(batch.column(batch.schema.get_field_index(text_col)))):
                 places, own = feats.places(block)
                 tails = np.round(own_model.tails(places, own, len(block)), 6)
                 part = batch.slice(at, len(block))

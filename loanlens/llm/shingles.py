@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 STEP = 0x9E3779B97F4A7C15        # odd, so that it has an inverse modulo 2 ** 64
 
 
@@ -100,6 +100,12 @@ class Shingler:
         return mix(h + np.uint64(span))
 
 
+def texts_of(column, rows: int = 128) -> Iterator[str | None]:
+    """Texts of an Arrow column, made into Python strings a few rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def blocks(texts: Iterable[str | None], chars: int = BLOCK_CHARS) -> Iterator[list[str | None]]:
     """Consecutive runs of texts of about ``chars`` characters."""
     block: list[str | None] = []
