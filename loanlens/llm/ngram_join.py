@@ -259,10 +259,18 @@ def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    def columns(of: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Inverted columns of some rows, and the number of these."""
+        keep = of[row]
+        order = np.argsort(gram[keep], kind="stable")
+        return int(of.sum()), np.concatenate([[0], np.cumsum(np.bincount(gram[keep], minlength=width))]), row[keep][order]
+
     links: list[tuple[int, int]] = []
     done = np.zeros(m, bool)
     queue: list[int] = []
-    fresh, built, take = 0, None, 1
+    fresh, take = 0, 1
+    # columns of all undone rows, and those without the component of a row
+    whole, part, member = None, None, -1
     while True:
         if queue:
             r = root(queue[-1])
@@ -280,6 +288,7 @@ def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             roots = np.fromiter(map(root, range(m)), np.int64, m)
             wanted = ~done & (roots != r)
         else:
+            r = -1
             chosen = []
             while fresh < m and len(chosen) < take:
                 if not done[fresh]:
@@ -288,13 +297,25 @@ def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             if not chosen:
                 return links
             wanted = ~done
+        undone = ~done
         done[chosen] = True
         live = int(wanted.sum())
-        if live and (built is None or 2 * live < built[0]):
-            # inverted columns of the rows still wanted
-            keep = wanted[row]
-            order = np.argsort(gram[keep], kind="stable")
-            built = live, np.concatenate([[0], np.cumsum(np.bincount(gram[keep], minlength=width))]), row[keep][order]
+        built = None
+        if live:
+            # what a component leaves out may be used for it alone: others still look for its rows
+            if r >= 0 and part and root(member) == r:
+                if 2 * live < part[0]:
+                    part = columns(wanted)
+                built = part
+            else:
+                left = int(undone.sum())
+                if whole is None or 2 * left < whole[0]:
+                    whole = columns(undone)
+                if r >= 0 and 2 * live < left:
+                    part, member = columns(wanted), r
+                    built = part
+                else:
+                    built = whole
         found = False
         if live:
             _, begin, column = built

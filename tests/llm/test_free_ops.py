@@ -124,6 +124,24 @@ def test_hub_group_costs_no_pairs():
     assert len({joined.find(i) for i in range(800)}) == 1 and len(links) < 1600
 
 
+def test_link_forest_of_many_components():
+    # windows of 40 of a row of n-grams link up to a shift of 3; the first three rows hit nothing, so that batches follow
+    rng = random.Random(0)
+    for _ in range(1500):
+        n = rng.randint(5, 30)
+        at = [10_000, 20_000, 30_000] + [rng.randrange(3 * n) for _ in range(n)]
+        sets = [np.arange(x, x + 40, dtype=np.uint64) for x in at]
+        want, got = Sets(), Sets()
+        for i, x in enumerate(at):
+            for j in range(i):
+                if abs(x - at[j]) <= 3:                 # 100 * 37 >= 85 * 43
+                    want.join(i, j)
+        for a, b in ngram_join.link_forest(sets, 85):
+            assert abs(at[a] - at[b]) <= 3
+            got.join(a, b)
+        assert [got.find(i) for i in range(len(at))] == [want.find(i) for i in range(len(at))]
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------
 
 def edit_distance(a, b):
