@@ -210,6 +210,23 @@ def test_line_dedup(spark, monkeypatch, tile):
     assert line_dedup.remove_repeated_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "\n".join(f"verse {i} ends" for i in range(6))
+    long = "a line that is long enough " * 3
+    texts = [f"{long}1\n{verse}\nno", "own line", f"begin\n\n{verse}\nno\nend", "}\n}", "}", "\n".join(["again and"] * 10), None]
+    texts += [f"Released by us\n{'x' * 50}{i * 99}" for i in range(12)] + ["twice only", "twice only"]
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0, many=10).collect()}
+    want = list(texts)
+    want[2] = "begin\n\nend"
+    want[5] = "\n".join(["again and"] * 5)
+    for i in range(8, 19):
+        want[i] = texts[i].split("\n")[1]
+    assert [got[i].text for i in range(len(texts))] == want
+    assert got[2]._gone == 7 and got[2]._lines == 7
+    assert [r.text for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0).orderBy("doc_id").collect()] == texts
+    assert line_dedup.remove_repeated_lines(empty(spark), many=10).count() == 0
+
+
 # --- BPE -------------------------------------------------------------------------------------------------------------
 
 def test_bpe_like_the_library(spark):
