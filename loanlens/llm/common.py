@@ -53,6 +53,26 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Columns of ``documents``.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame, work, own=OWN) -> DataFrame:
+    """``work(docs)``, with columns that aren't ``own`` packed into one struct, so that no name in ``work`` can clash with theirs.
+
+    All columns of ``docs`` come back in their order, then what ``work`` adds;
+    what it makes under the name of a further column replaces that.
+    """
+    further = [c for c in docs.columns if c not in own]
+    if not further:
+        return work(docs)
+    box = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(further)])
+    out = work(docs.select(*[c for c in docs.columns if c in own], box.alias("further")))
+    made = [c for c in out.columns if c not in own and c != "further"]
+    back = {c: F.col("further").getField(f"f{i}").alias(c) for i, c in enumerate(further) if c not in made}
+    return out.select(*[back.get(c, F.col(f"`{c}`")) for c in docs.columns], *[c for c in made if c not in docs.columns])
+
+
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
                rows: int = BROADCAST_ROWS) -> DataFrame:
     """Null-safe join with a table that is usually small.

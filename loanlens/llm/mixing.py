@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import documents, join_rows, join_small, stash, words
+from loanlens.llm.common import OWN, documents, join_rows, join_small, shielded, stash, words
 
 SEED = "mix-1"
 MAX_REPEAT = 3.0
@@ -127,6 +127,10 @@ def materialise_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents that the mix takes nothing of go.  Equal rows of one id, text
     and source share their copies.
     """
+    return shielded(docs, lambda d: _materialise(d, id_col, text_col, source_col, seed), {*OWN, id_col, text_col, source_col})
+
+
+def _materialise(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     taken = mix_sources(docs, id_col, text_col, source_col, seed).groupBy("doc_id", "source", "u").agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = stash(taken.filter("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("u").alias("_u"),

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loanlens.llm.common import documents, join_small, stash
+from loanlens.llm.common import OWN, documents, join_small, shielded, stash
 from loanlens.llm.components import connected_components
 from loanlens.llm.shingles import Shingler, blocks, mix, texts_of
 
@@ -190,21 +190,54 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return k, s, g, np.repeat(times, runs)
 
 
-def _shared_counts(blocks_: DataFrame) -> DataFrame:
-    """``k1, shared``: how many of each row's probed n-grams another row has too."""
-    schema = "k1 bigint, shared bigint"
+def _shared_counts(blocks_: DataFrame, n_buckets: int) -> DataFrame:
+    """``k1, shared``: how many of each row's probed n-grams another row has too.
 
-    def run(table: pa.Table) -> pa.Table:
+    A block's counts are sent packed by bucket of the row's key, and a bucket
+    sums up those of its rows: rows are made for (block, bucket) and for
+    matrix rows, not for every row of every block.
+    """
+    packed = "bucket int, keys binary, counts binary"
+
+    def partial(table: pa.Table) -> pa.Table:
         if table.num_rows and table.column("block")[0].as_py() < 0:
             k = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
-            c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-            return pa.table({"k1": k, "shared": c})
-        k, s, g, times = _unpacked(table)
-        use = (s > 0) & (times > 1) & ((s <= SHORT * 3 // 5) | (g < HALF))
-        keys, counts = np.unique(k[use], return_counts=True)
-        return pa.table({"k1": keys, "shared": counts.astype(np.int64)})
+            c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sizes").to_pylist()])
+            k, c = _summed(k, c)
+        else:
+            k, s, g, times = _unpacked(table)
+            use = (s > 0) & (times > 1) & ((s <= SHORT * 3 // 5) | (g < HALF))
+            k, c = np.unique(k[use], return_counts=True)
+        k, c = k[c > 0], c[c > 0].astype(np.uint32)
+        out = [(i, k[o].tobytes(), c[o].tobytes()) for i, o in _dealt(k, n_buckets)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["bucket", "keys", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        k, c = _summed(join("keys", np.int64), join("counts", np.uint32))
+        return pa.table({"k1": k, "shared": c})
+
+    return (blocks_.groupBy("block").applyInArrow(partial, packed)
+            .groupBy("bucket").applyInArrow(total, "k1 bigint, shared bigint"))
 
-    return blocks_.groupBy("block").applyInArrow(run, schema).groupBy("k1").agg(F.sum("shared").alias("shared"))
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _dealt(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(bucket, positions)`` of the buckets that hold any of ``keys``."""
+    to = keys.view(np.uint64) % np.uint64(n_buckets)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(n_buckets + 1, dtype=np.uint64))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            yield i, order[a:b]
 
 
 def _rare_prefix(blocks_: DataFrame, n_buckets: int, percent: int) -> DataFrame:
@@ -215,14 +248,8 @@ def _rare_prefix(blocks_: DataFrame, n_buckets: int, percent: int) -> DataFrame:
         k, s, g, times = _unpacked(table)
         use = times > 1
         k, s, g, times = k[use], s[use], g[use], times[use]
-        to = k.view(np.uint64) % np.uint64(n_buckets)
-        out = []
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(n_buckets + 1, dtype=np.uint64))
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                o = order[a:b]
-                out.append((i, k[o].tobytes(), s[o].astype(np.uint32).tobytes(), g[o].tobytes(), times[o].astype(np.uint32).tobytes()))
+        out = [(i, k[o].tobytes(), s[o].astype(np.uint32).tobytes(), g[o].tobytes(), times[o].astype(np.uint32).tobytes())
+               for i, o in _dealt(k, n_buckets)]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
                         names=["bucket", "keys", "sizes", "grams", "times"])
@@ -387,7 +414,8 @@ def similar_components(docs: DataFrame, k: int = GRAM, percent: int = SIMILAR,
     parts = lambda n, each: int(max(2 * int(spark.sparkContext.defaultParallelism), -(-n // each)))
 
     # step 2: rows that share enough n-grams with others at all
-    shared = _shared_counts(_column_blocks(named, k, parts(tokens, 2 * BLOCK_TOKENS), whole=False))
+    # a row has a count in few blocks, and a count is small beside a block's n-grams: few buckets do
+    shared = _shared_counts(_column_blocks(named, k, parts(tokens, 2 * BLOCK_TOKENS), whole=False), parts(tokens, 32 * BLOCK_TOKENS))
     need = F.col("probe") - (F.col("n") - F.ceil(F.col("n") * percent / 100))
     left = stash(classes.join(shared, "k1", "left").filter(F.coalesce(F.col("shared"), F.lit(0)) >= need).select("k1", "n", "least"))
 
@@ -434,6 +462,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
     Equal rows of one id and text fall to one row; documents without words all stay.
     """
+    return shielded(docs, lambda d: _one_of_each(d, k, percent, id_col, text_col), {*OWN, id_col, text_col})
+
+
+def _one_of_each(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     found = stash(similar_components(docs, k, percent, id_col, text_col).filter("component is not null").select("doc_id", "tie", "component"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
     groups = stash(found.groupBy("component").agg(F.count(F.lit(1)).alias("_times"), F.min(order).alias("_first")).filter("_times > 1"))

@@ -3,6 +3,9 @@
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that the operators and stages use inside.
+INSIDE = ["_grade", "_kept", "_p", "_d", "_s", "_u", "_copy", "_copies", "_rows", "_t", "_stays", "_lines", "_places", "_k_id", "_k_tie",
+          "_gone", "_left", "_text", "_id", "further", "f0"]
 CLASHES = ["size", "n", "tie", "line", "place", "root", "node", "key", "row", "k1", "task", "u", "c", "s", "t", "w", "block", "base", "group"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES)
 

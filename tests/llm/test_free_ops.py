@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import bpe, line_dedup, lm, ngram_join, quality_classifier, sharding
 from loanlens.llm.components import connected_components
-from helpers import CLASHES, ODD, empty, frame
+from helpers import INSIDE, CLASHES, ODD, empty, frame
 
 
 class Sets:
@@ -386,3 +386,19 @@ def test_pipeline(spark, tmp_path):
         now = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
     assert F is not None
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_leave_further_columns_alone(spark, number):
+    """Columns that bear the names used inside a stage come back with their values, and the same rows stay."""
+    import corpus_pipeline
+
+    src = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    _, stage = corpus_pipeline.STAGES[number]
+    wide = docs.select(*docs.columns, *[F.concat_ws("/", F.lit(c), "doc_id").alias(c) for c in INSIDE])
+    out = stage(spark, wide, src)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert all(r[c] == f"{c}/{r.doc_id}" for r in rows for c in INSIDE)
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in stage(spark, docs, src).collect())
