@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,56 @@ def join_checked(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return df.join(F.broadcast(small) if few else small, list(keys), how)
 
 
+def edges_below(df: DataFrame, value: str, edges: Sequence[float], out: str) -> DataFrame:
+    """``df`` with the number of ``edges`` (distinct, ascending) that lie strictly below ``value``: right-closed intervals.
+
+    A binary search a row in the JVM.  NULL and NaN get NULL.  The edges travel
+    with the plan; callers check how many there are.
+    """
+    x = F.col(value).cast("double")
+    if not edges:
+        return df.withColumn(out, F.when(x.isNotNull() & ~F.isnan(x), F.lit(0).cast("long")))
+    # the search is left-closed; with the signs changed it is closed where it is wanted
+    named = df.withColumn("_minus", F.when(~F.isnan(x), -x))
+    found = Bucketizer(splits=[float("-inf"), *[-float(e) for e in reversed(edges)], float("inf")], inputCol="_minus",
+                       outputCol="_above", handleInvalid="keep").transform(named)
+    return found.withColumn(out, F.when(F.col("_minus").isNotNull(), F.lit(len(edges)) - F.col("_above").cast("long"))).drop("_minus", "_above")
+
+
+def sums_up_to(df: DataFrame, value: str, thresholds: DataFrame, sum_cols: Sequence[str], lookup_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For each row of ``thresholds`` (one column, distinct doubles) the sums of ``sum_cols`` over rows with ``value`` up to it.
+
+    Returns the threshold column, ``cum_{c}`` and, equal in all rows, ``all_{c}``
+    over all rows of ``df`` (a NULL or NaN value is above every threshold).
+    However many thresholds there are, a row of ``df`` is looked at once:
+
+    * up to ``lookup_rows`` thresholds each row finds its interval between two
+      of them, and one map-side aggregate makes a table of interval sums;
+    * beyond that values and thresholds are put in one order by range
+      partitions, and running sums are read off where the thresholds are.
+    """
+    (t,) = thresholds.columns
+    sum_cols = list(sum_cols)
+    few = [r[0] for r in thresholds.orderBy(t).limit(lookup_rows + 1).collect()]
+    if len(few) <= lookup_rows:
+        cut = edges_below(df, value, few, "_i")
+        sums = cut.groupBy("_i").agg(*[F.sum(c).alias(c) for c in sum_cols])
+        # thresholds without a row between them and the one before
+        named = df.sparkSession.createDataFrame([(i, e) for i, e in enumerate(few)], f"_i long, {t} double")
+        table = materialize(named.join(sums, "_i", "full"))
+        upto = Window.orderBy(F.col("_i").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)     # at most lookup_rows + 2 rows
+        whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return table.select(t, *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"cum_{c}") for c in sum_cols],
+                            *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"all_{c}") for c in sum_cols]).filter(F.col(t).isNotNull())
+    x = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))            # NaN comes last
+    rows = df.groupBy(F.struct(x.alias("x"), F.lit(0).alias("kind")).alias("_at")).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    types = dict(rows.dtypes)
+    marks = thresholds.select(F.struct(F.col(t).cast("double").alias("x"), F.lit(1).alias("kind")).alias("_at"),
+                              *[F.lit(0).cast(types[c]).alias(c) for c in sum_cols])
+    run = prefix_sums(rows.unionByName(marks), "_at", sum_cols, total="all_")
+    return run.filter("_at.kind = 1").select(F.col("_at.x").alias(t), *[f"cum_{c}" for c in sum_cols], *[f"all_{c}" for c in sum_cols])
+
+
 def _ranged(df: DataFrame, groups: list[str], order: list[Column], buckets: int | None) -> DataFrame:
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(n, *[F.col(g) for g in groups], *order)

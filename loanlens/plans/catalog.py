@@ -475,11 +475,14 @@ FROM summary GROUP BY scenario"""
 @register("k4_scenario_overview", with_(V.SCORED + SCEN_SQL + ",\nov AS (" + K4_SELECT + ")", """
 SELECT scenario, round(pass_rate, 6) AS pass_rate, round(review_rate, 6) AS review_rate,
   round(approval_or_review_rate, 6) AS approval_or_review_rate, round(pass_bad_rate, 6) AS pass_bad_rate,
-  round(provisional_booked_expected_loss, 6) AS provisional_booked_expected_loss,
-  round(expected_loss_avoided_by_reject, 6) AS expected_loss_avoided_by_reject,
-  round(pre_decision_portfolio_expected_loss, 6) AS pre_decision_portfolio_expected_loss FROM ov"""))
+  round(provisional_booked_expected_loss, 2) AS provisional_booked_expected_loss,
+  round(expected_loss_avoided_by_reject, 2) AS expected_loss_avoided_by_reject,
+  round(pre_decision_portfolio_expected_loss, 2) AS pre_decision_portfolio_expected_loss FROM ov"""))
 def q_k4(spark, sf):
-    return r6(P.scenario_overview(P.summarize_strategy(policy_scores(spark, sf), P.scenarios_table(spark))))
+    """K4 (money in cents, as in k3: sums of doubles differ past the 15th digit by the order of their terms)."""
+    out = P.scenario_overview(P.summarize_strategy(policy_scores(spark, sf), P.scenarios_table(spark)))
+    money = ["provisional_booked_expected_loss", "expected_loss_avoided_by_reject", "pre_decision_portfolio_expected_loss"]
+    return r6(out.withColumns({c: F.round(c, 2) for c in money}))
 
 
 @register("l6_scenario_tradeoff", with_(V.SCORED + SCEN_SQL + ",\nov AS (" + K4_SELECT + ")", """
@@ -511,6 +514,37 @@ def q_k5(spark, sf):
     return r6(detail)
 
 
+@register("k5_adhoc_overview", "SELECT sum(CASE WHEN action <> 'reject' THEN action_rate ELSE 0 END) AS non_reject_rate, "
+          "max(observed_bad_rate) FILTER (action = 'pass') AS pass_bad_rate, "
+          "round(sum(CASE WHEN action <> 'reject' THEN expected_loss ELSE 0 END), 2) AS booked_expected_loss, "
+          "round(sum(CASE WHEN action = 'reject' THEN expected_loss ELSE 0 END), 2) AS expected_loss_avoided FROM (" + K5_SQL + ")")
+def q_k5_overview(spark, sf):
+    """K5: overview of the ad-hoc thresholds (money in cents)."""
+    detail, overview = P.strategy_summary(policy_scores(spark, sf), 0.12, 0.30, 0.40)
+    money = ["booked_expected_loss", "expected_loss_avoided"]
+    return r6(overview.select("non_reject_rate", "pass_bad_rate", *[F.round(c, 2).alias(c) for c in money]))
+
+
+SWEEP = 1000
+
+
+@register("k3_scenario_sweep", with_(V.SCORED + SCEN_SQL.replace("""scen AS (SELECT * FROM (VALUES ('Conservative', 0.08, 0.20, 0.40), ('Balanced', 0.12, 0.30, 0.40),
+         ('Growth', 0.18, 0.40, 0.40)) t(scenario, p_, r_, l_))""", f"""scen AS (SELECT 'cut ' || i AS scenario,
+         (500 + 4 * i)::DOUBLE / 10000.0::DOUBLE AS p_, (2500 + 5 * i)::DOUBLE / 10000.0::DOUBLE AS r_,
+         (30 + i % 31)::DOUBLE / 100.0::DOUBLE AS l_ FROM range({SWEEP}) t(i))"""), """
+SELECT scenario, action, CAST(loan_count AS BIGINT) AS loan_count, round(action_rate, 6) AS action_rate,
+       round(observed_bad_rate, 6) AS observed_bad_rate, round(average_predicted_pd, 6) AS average_predicted_pd,
+       round(exposure_amount, 2) AS exposure_amount, round(expected_loss, 2) AS expected_loss,
+       pass_max_pd, review_max_pd FROM summary"""))
+def q_k3_sweep(spark, sf):
+    """A thousand scenarios, one look at each score (money in cents)."""
+    at = lambda first, step, per: (F.lit(first) + F.col("id") * step).cast("double") / F.lit(per)
+    grid = spark.range(SWEEP).select(F.concat(F.lit("cut "), F.col("id").cast("string")).alias("scenario"), at(500, 4, 10000.0).alias("pass_max_pd"),
+                                     at(2500, 5, 10000.0).alias("review_max_pd"), ((F.lit(30) + F.col("id") % 31) / F.lit(100.0)).alias("lgd_assumption"))
+    out = P.summarize_strategy(policy_scores(spark, sf), grid)
+    return r6(out.withColumn("exposure_amount", F.round("exposure_amount", 2)).withColumn("expected_loss", F.round("expected_loss", 2)))
+
+
 # ---------------------------------------------------------------- profiling
 from loanlens.operators import profile as PR  # noqa: E402
 
