@@ -23,11 +23,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.operators.metrics import binary_metrics
+from loanlens.operators.isotonic import apply_isotonic, isotonic_blocks
+from loanlens.operators.metrics import binary_metrics, expected_calibration_error
 from loanlens.operators.split import LABEL, feature_groups
 from loanlens.session import materialize
 
@@ -194,9 +194,18 @@ def isotonic_calibrate(calibration: DataFrame, target: DataFrame, score: str, la
                        out: str = "calibrated_pd") -> DataFrame:
     """Fit an increasing isotonic map score -> PD on a held-out cohort and apply it,
     clipping outside the fitted range (H8)."""
-    # equal scores are one weighted point: what the last pooling step sees is bounded by distinct scores
-    cal = calibration.groupBy(F.col(score).cast("double").alias("_s")).agg(
-        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w", predictionCol="_p", isotonic=True).fit(cal)
-    return iso.transform(target.withColumn("_s", F.col(score).cast("double"))).withColumnRenamed(
-        "_p", out).drop("_s")
+    return apply_isotonic(target, isotonic_blocks(calibration, score, label), score, out)
+
+
+def calibration_versions(calibrated: DataFrame, raw: str, iso: str, keep: Sequence[str]) -> DataFrame:
+    """Raw and calibrated scores under each other: ``keep``, ``score_version``, ``score``."""
+    both = F.array(F.struct(F.lit("raw").alias("score_version"), F.col(raw).alias("score")),
+                   F.struct(F.lit("isotonic").alias("score_version"), F.col(iso).alias("score")))
+    return calibrated.select(*keep, F.inline(both))
+
+
+def calibration_report(versions: DataFrame, label: str, id_col: str) -> DataFrame:
+    """AUC, KS, average precision, Brier score and ECE of each score version."""
+    stored = materialize(versions)
+    ece = expected_calibration_error(stored, label, "score", id_col, groups=["score_version"])
+    return binary_metrics(stored, label, "score", ["score_version"]).join(ece, "score_version")

@@ -750,6 +750,63 @@ def q_h8(spark, sf):
     return r6(raw.unionByName(iso))
 
 
+# Scores of the orders before a date are fitted, later ones calibrated.  The fit is stated as the largest, over starts,
+# of the least, over ends, of the mean from start to end; values between fitted scores lie on lines.
+ISO_SQL = V.SCORED + """,
+pts AS (SELECT pd_b AS x, sum(bad) AS s, count(*) AS w FROM scored WHERE observation_date < DATE '1996-01-01'
+        AND pd_b BETWEEN 0.05 AND 0.9 AND loan_id % 13 <> 0 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM pts),
+pr AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cw - a.cw + a.w) AS m FROM o a JOIN o b ON b.i >= a.i),
+mn AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS low FROM pr),
+iso AS (SELECT o.x, max(low) AS y FROM mn JOIN o ON o.i = mn.b GROUP BY o.x),
+oot AS (SELECT loan_id, bad, pd_b AS v FROM scored WHERE observation_date >= DATE '1996-01-01'),
+lo AS (SELECT oot.*, iso.x AS x0, iso.y AS y0 FROM oot ASOF LEFT JOIN iso ON oot.v >= iso.x),
+hi AS (SELECT lo.*, iso.x AS x1, iso.y AS y1 FROM lo ASOF LEFT JOIN iso ON lo.v <= iso.x),
+cal AS (SELECT loan_id, bad, v AS raw, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x0 = x1 THEN y0
+               ELSE y0 + (y1 - y0) * ((v - x0) / (x1 - x0)) END AS isotonic FROM hi),
+ver AS (SELECT loan_id, bad, 'raw' AS score_version, raw AS score FROM cal UNION ALL SELECT loan_id, bad, 'isotonic', isotonic FROM cal),
+rk AS (SELECT *, row_number() OVER (PARTITION BY score_version ORDER BY score, loan_id) AS r, count(*) OVER (PARTITION BY score_version) AS n FROM ver),
+dec AS (SELECT *, greatest(1, CAST(((r - 1) * 10 + n - 2) // (n - 1) AS INTEGER)) AS decile FROM rk),
+tab AS (SELECT score_version, decile, count(*) AS c, avg(CAST(bad AS DOUBLE)) AS rate, avg(score) AS mean FROM dec GROUP BY ALL)"""
+
+
+def _calibrated(spark, sf):
+    s = fx.scored(spark, sf)
+    early = F.col("observation_date") < F.lit("1996-01-01").cast("date")
+    fitted = s.filter(early & F.col("pd_b").between(0.05, 0.9) & (F.col("loan_id") % 13 != 0))
+    return ML.isotonic_calibrate(fitted, s.filter(~early), "pd_b", "bad")
+
+
+@register("h8_isotonic_map", with_(ISO_SQL, "SELECT loan_id, raw AS pd_b, round(isotonic, 6) AS calibrated_pd FROM cal"))
+def q_h8_map(spark, sf):
+    """H8: every later score calibrated by the fit on earlier ones (clipped and between fitted scores too)."""
+    return r6(_calibrated(spark, sf).select("loan_id", "pd_b", "calibrated_pd"))
+
+
+@register("h8_calibration_report", with_(ISO_SQL + """,
+p AS (SELECT score_version, score, sum(bad) AS bad, sum(1 - bad) AS good FROM ver GROUP BY ALL),
+c AS (SELECT *, sum(bad) OVER w AS cb, sum(good) OVER w AS cg, sum(bad) OVER (PARTITION BY score_version) AS nb,
+        sum(good) OVER (PARTITION BY score_version) AS ng FROM p WINDOW w AS (PARTITION BY score_version ORDER BY score DESC)),
+m AS (SELECT score_version, sum(good * (cb - bad / 2.0::DOUBLE)) / (max(nb) * max(ng))::DOUBLE AS auc,
+        greatest(max(cb / nb::DOUBLE - cg / ng::DOUBLE), 0) AS ks, sum(bad * cb / (cb + cg)::DOUBLE) / max(nb) AS pr_auc FROM c GROUP BY 1),
+b AS (SELECT score_version, avg((score - bad) * (score - bad)) AS brier, count(*) AS n FROM ver GROUP BY 1),
+e AS (SELECT score_version, sum(c * abs(mean - rate)) / sum(c) AS ece FROM tab GROUP BY 1)""", """
+SELECT score_version, round(auc, 6) AS auc, round(ks, 6) AS ks, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier_score,
+  CAST(n AS BIGINT) AS sample_count, round(ece, 6) AS ece FROM m JOIN b USING (score_version) JOIN e USING (score_version)"""))
+def q_h8_report(spark, sf):
+    """Metrics with ECE of raw and calibrated scores."""
+    return r6(ML.calibration_report(ML.calibration_versions(_calibrated(spark, sf), "pd_b", "calibrated_pd", ["loan_id", "bad"]), "bad", "loan_id"))
+
+
+@register("f2_version_deciles", with_(ISO_SQL, """
+SELECT score_version, decile, CAST(c AS BIGINT) AS sample_count, round(rate, 6) AS observed_bad_rate, round(mean, 6) AS average_score,
+  'D' || CAST(decile AS VARCHAR) AS decile_label FROM tab"""))
+def q_f2_versions(spark, sf):
+    """F2 / H8: the decile table of raw and of calibrated scores."""
+    both = ML.calibration_versions(_calibrated(spark, sf), "pd_b", "calibrated_pd", ["loan_id", "bad"])
+    return r6(M.decile_table(both, "bad", "score", "loan_id", groups=["score_version"]))
+
+
 def _wide_model_frame(spark, sf):
     # all customers: a month without a statement has no balance, no payment and the status "no consumption" (-2)
     w = fx.wide_customer(spark, sf)
