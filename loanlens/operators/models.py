@@ -1,12 +1,7 @@
 """PD models on Spark ML (inventory 2.H).
 
-Preprocessing is fitted on the training population only and applied to the
-scoring population (no out-of-time leakage):
-
-* numeric: median imputation + standardisation (logistic only);
-* categorical: most-frequent imputation (ties -> smallest value), categories
-  seen fewer than ``min_frequency`` times pooled into one level, one-hot with
-  unknown categories encoded as all zeros.
+Preprocessing (``preprocess``) is fitted on the training population only and
+applied to the scoring population (no out-of-time leakage).
 
 Fitting is distributed (treeAggregate / histogram-based trees); the training
 frame is checkpointed once so iterative solvers re-read the written rows, not
@@ -18,72 +13,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
-                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.operators import boosting
 from loanlens.operators.isotonic import apply_isotonic, isotonic_blocks
 from loanlens.operators.metrics import binary_metrics, expected_calibration_error
+from loanlens.operators.preprocess import Preparation, fit_preparation
 from loanlens.operators.split import LABEL, feature_groups
 from loanlens.session import materialize
 
-RARE = "__rare__"
-
-
-def categorical_prep(train: DataFrame, categorical: Sequence[str], min_frequency: int = 25) -> DataFrame:
-    """Per categorical column: the training mode and the set of frequent values.
-
-    Returns a small table (column, value, keep, is_mode) -- one row per distinct
-    training value -- applied to any population with ``apply_categorical``."""
-    if not categorical:
-        return None
-    expr = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in categorical)
-    long = train.selectExpr(f"stack({len(categorical)}, {expr}) AS (column, value)")
-    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    # most frequent value; ties -> smallest value
-    mode = counts.groupBy("column").agg(F.expr("min_by(value, struct(-n, value))").alias("mode"))
-    return materialize(counts.join(mode.select("column", "mode"), "column")
-                       .withColumn("keep", F.col("n") >= min_frequency))
-
-
-def apply_categorical(df: DataFrame, prep: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """Impute the training mode, pool rare levels, leave unseen levels as they are
-    (they become all-zero one-hot rows)."""
-    out = df
-    for c in categorical:
-        p = prep.filter(F.col("column") == c)
-        mode = p.select(F.first("mode").alias(f"_mode_{c}"))
-        keep = p.select(F.col("value").alias(f"_v_{c}"), F.col("keep").alias(f"_k_{c}"))
-        v = F.coalesce(F.col(c).cast("string"), F.col(f"_mode_{c}"))
-        out = (out.crossJoin(F.broadcast(mode)).withColumn(c, v)
-                  .join(F.broadcast(keep), F.col(c) == F.col(f"_v_{c}"), "left")
-                  .withColumn(c, F.when(F.col(f"_k_{c}") == F.lit(False), F.lit(RARE)).otherwise(F.col(c)))
-                  .drop(f"_mode_{c}", f"_v_{c}", f"_k_{c}"))
-    return out
-
-
-def _feature_stages(numeric: list[str], categorical: list[str], scale: bool) -> list:
-    stages = [Imputer(inputCols=numeric, outputCols=[f"{c}__imp" for c in numeric], strategy="median",
-                      relativeError=0.0001)]
-    num_vec = VectorAssembler(inputCols=[f"{c}__imp" for c in numeric], outputCol="num_vec", handleInvalid="keep")
-    stages.append(num_vec)
-    inputs = ["num_vec"]
-    if scale:
-        stages.append(StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True))
-        inputs = ["num_scaled"]
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        # the indexer numbers an unseen value after all labels ('keep'); the encoder, told to drop its last slot and
-        # to expect no further value, leaves that number without a slot: all zeros
-        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", dropLast=True, handleInvalid="error"))
-        inputs.append(f"{c}__oh")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return stages
+
+def apply_categorical(df: DataFrame, prep: Preparation, categorical: Sequence[str]) -> DataFrame:
+    """``df`` with the slots of its categorical values (``Preparation.slots``)."""
+    return prep.slots(df) if categorical else df
 
 
 def logistic(n_train: int, max_iter: int = 500) -> LogisticRegression:
@@ -94,9 +40,8 @@ def logistic(n_train: int, max_iter: int = 500) -> LogisticRegression:
 
 def boosted(max_iter: int = 250, step: float = 0.05, depth: int = 4, min_instances: int = 100,
             subsample: float = 0.8, feature_subset: str = "0.8", seed: int = 42) -> GBTClassifier:
-    """Gradient-boosted trees (H4 / H5).  A limit on a leaf's Hessian weight has no exact Spark
-    counterpart: ``min_instances`` = 100 rows stands in for it, a floor of the same strength where scores are near 0.5 and a
-    weaker one elsewhere."""
+    """First-order gradient-boosted trees of Spark ML, with a floor of rows in a leaf.  ``boosting.Params`` (second
+    order, Hessian floor, H4) and ``boosting.LEAF_WISE`` (H5) are estimators as well."""
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, stepSize=step,
                          maxDepth=depth, minInstancesPerNode=min_instances, subsamplingRate=subsample,
                          featureSubsetStrategy=feature_subset, seed=seed, maxBins=64)
@@ -109,42 +54,47 @@ def forest(trees: int = 400, depth: int = 8, min_leaf: int = 30, seed: int = 42)
 
 
 class FittedModel:
-    def __init__(self, name, pipeline: PipelineModel, prep, numeric, categorical):
-        self.name, self.pipeline, self.prep = name, pipeline, prep
+    """A preparation, stages up to the vector of features, and a model: a Spark ML one (last stage) or ``boosted`` trees."""
+
+    def __init__(self, name, pipeline: PipelineModel, prep: Preparation, numeric, categorical, boosted=None):
+        self.name, self.pipeline, self.prep, self.boosted = name, pipeline, prep, boosted
         self.numeric, self.categorical = numeric, categorical
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         """PD = P(class 1) (H7)."""
-        x = apply_categorical(df, self.prep, self.categorical) if self.categorical else df
-        pred = self.pipeline.transform(x)
-        return pred.withColumn(out, vector_to_array(F.col("probability"))[1]).drop(
-            *[c for c in pred.columns if c not in df.columns and c != out])
+        pred = self.pipeline.transform(apply_categorical(df, self.prep, self.categorical))
+        pd = self.boosted.pd_of(vector_to_array("features")) if self.boosted else vector_to_array(F.col("probability"))[1]
+        return pred.withColumn(out, pd).select(*[c for c in df.columns if c != out], out)
 
     def feature_names(self) -> list[str]:
         """Readable names of the assembled feature slots (numeric, then one-hot levels).
 
         Checked against the length that the fitted estimator saw.
         """
-        names = list(self.numeric)
-        for st in self.pipeline.stages:
-            if isinstance(st, StringIndexerModel):
-                names += [f"{st.getInputCol()}_{label}" for label in st.labels]
-        slots = self.pipeline.stages[-1].numFeatures
+        names = self.prep.names()
+        slots = len(self.boosted.edges) if self.boosted else self.pipeline.stages[-1].numFeatures
         if len(names) != slots:
             raise ValueError(f"{len(names)} feature names for {slots} slots")
         return names
 
+    def gains(self) -> list[float]:
+        return (self.boosted.gains() if self.boosted else self.pipeline.stages[-1].featureImportances.toArray()).tolist()
+
 
 def fit(train: DataFrame, estimator_name: str, estimator, label: str = LABEL, numeric=None, categorical=None,
-        min_frequency: int = 25) -> FittedModel:
+        min_frequency: int = 25, id_col: str = "loan_id") -> FittedModel:
+    """``estimator``: a Spark ML classifier, or ``boosting.Params`` (whose rows are drawn by ``id_col``)."""
     if numeric is None or categorical is None:
         numeric, categorical = feature_groups(train)
-    prep = categorical_prep(train, categorical, min_frequency)
-    x = apply_categorical(train, prep, categorical) if categorical else train
-    x = materialize(x.withColumn("label", F.col(label).cast("double")))
-    scale = isinstance(estimator, LogisticRegression)
-    model = Pipeline(stages=_feature_stages(numeric, categorical, scale) + [estimator]).fit(x)
-    return FittedModel(estimator_name, model, prep, numeric, categorical)
+    prep = fit_preparation(train, numeric, categorical, min_frequency)
+    x = materialize(prep.slots(train).withColumn("label", F.col(label).cast("double")))
+    stages = prep.stages(scale=isinstance(estimator, LogisticRegression))
+    if isinstance(estimator, boosting.Params):
+        features = PipelineModel(stages).transform(x).withColumn("_features", vector_to_array("features"))
+        model = boosting.fit(features, "_features", "label", F.col(id_col), estimator)
+        return FittedModel(estimator_name, PipelineModel(stages), prep, numeric, categorical, model)
+    fitted = estimator.fit(PipelineModel(stages).transform(x))
+    return FittedModel(estimator_name, PipelineModel([*stages, fitted]), prep, numeric, categorical)
 
 
 def train_models(train: DataFrame, test: DataFrame, estimators: dict, label: str = LABEL,
@@ -153,7 +103,7 @@ def train_models(train: DataFrame, test: DataFrame, estimators: dict, label: str
     """Champion-challenger run (H9): same split, several models; returns
     (models, metrics, scored) where ``scored`` has one ``<name>_pd`` column per model."""
     numeric, categorical = feature_groups(train)
-    models = {name: fit(train, name, est, label, numeric, categorical) for name, est in estimators.items()}
+    models = {name: fit(train, name, est, label, numeric, categorical, id_col=id_col) for name, est in estimators.items()}
     base_cols = [id_col, label, *[c for c in keep_cols if c in test.columns]]
     wide = test
     for name, m in models.items():
@@ -168,10 +118,7 @@ def train_models(train: DataFrame, test: DataFrame, estimators: dict, label: str
 
 def importance(model: FittedModel) -> DataFrame:
     """Tree importance with readable feature names, sorted."""
-    est = model.pipeline.stages[-1]
-    names = model.feature_names()
-    vals = est.featureImportances.toArray().tolist()
-    rows = list(zip(names, vals, strict=True))
+    rows = list(zip(model.feature_names(), model.gains(), strict=True))
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     return ss.createDataFrame(rows, "feature string, gain double").orderBy(F.col("gain").desc(), "feature")

@@ -730,6 +730,70 @@ def q_h7(spark, sf):
     return r6(m.score(test, "boosted_deep_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "boosted_deep_pd"))
 
 
+@register("h4_second_order_boosting")
+def q_h4(spark, sf):
+    """Second-order trees by levels, fitted on a capped training sample; OOT scores.
+
+    ``Params()`` has H4's settings.  Here the Hessian floor is 1 in place of 100, as the fixture has some hundred loans whose Hessians
+    add up to less than 100, and 60 trees take four times the step of 250.
+    """
+    train, test = _oot_frames(spark, sf)
+    SP.check_split(train, test)
+    train = SP.stratified_cap(train, 750_000)
+    m = ML.fit(train, "second_order", ML.boosting.Params(trees=60, step=0.2, least_hessian=1.0, bins=32))
+    return r6(m.score(test, "second_order_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "second_order_pd"))
+
+
+@register("h5_leaf_wise_boosting")
+def q_h5(spark, sf):
+    """H5 / H7: trees grown best leaf first; OOT scores.
+
+    ``LEAF_WISE`` has H5's settings.  Here a leaf needs 20 rows in place of 100, as the fixture has some hundred loans, and 60 trees take five
+    times the step of 300.
+    """
+    train, test = _oot_frames(spark, sf)
+    SP.check_split(train, test)
+    m = ML.fit(train, "leaf_wise", ML.boosting.with_params(ML.boosting.LEAF_WISE, trees=60, step=0.25, least_rows=20, bins=32))
+    return r6(m.score(test, "leaf_wise_pd").select("loan_id", "observation_date", "bad_12m_90dpd", "leaf_wise_pd"))
+
+
+H2_NUMERIC = ["original_ltv", "original_dti", "borrower_credit_score", "original_upb", "hist_avg_upb", "hist_upb_to_original_upb"]
+H2_CATEGORIES = ["loan_purpose", "property_type", "occupancy_status", "property_state"]
+H2_LEAST = 14
+H2_SQL = with_(V.SNAPSHOT + f""",
+num AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in H2_NUMERIC)} FROM snapshot) ON {', '.join(H2_NUMERIC)} INTO NAME col VALUE x),
+med AS (SELECT col, quantile_cont(x, 0.5) AS median FROM num GROUP BY col),
+every AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM snapshot" for c in H2_NUMERIC)}),
+filled AS (SELECT col, median, coalesce(x, median) AS x FROM every JOIN med USING (col)),
+cat AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS v FROM snapshot" for c in H2_CATEGORIES)}),
+cnt AS (SELECT col, v, count(*) AS n FROM cat GROUP BY ALL),
+mo AS (SELECT col, v AS mode FROM cnt WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, v) = 1),
+lev AS (SELECT col, v, mode, n + CASE WHEN v = mode THEN coalesce((SELECT n FROM cnt z WHERE z.col = cnt.col AND z.v IS NULL), 0) ELSE 0 END AS n
+        FROM cnt JOIN mo USING (col) WHERE v IS NOT NULL),
+sl AS (SELECT *, n >= {H2_LEAST} AS keep, sum((n >= {H2_LEAST})::INT) OVER (PARTITION BY col ORDER BY v) - 1 AS place,
+         sum((n >= {H2_LEAST})::INT) OVER (PARTITION BY col) AS size FROM lev)""", """
+SELECT col AS feature, 'median' AS item, CAST(NULL AS BIGINT) AS slot, round(max(median), 6) AS amount FROM filled GROUP BY col
+UNION ALL SELECT col, 'mean', NULL, round(avg(x), 6) FROM filled GROUP BY col
+UNION ALL SELECT col, 'std', NULL, round(stddev_pop(x), 6) FROM filled GROUP BY col
+UNION ALL SELECT col, 'mode ' || max(mode), NULL, CAST(sum(n) AS DOUBLE) FROM sl GROUP BY col
+UNION ALL SELECT col, v, CAST(CASE WHEN keep THEN place ELSE size END AS BIGINT), CAST(n AS DOUBLE) FROM sl""")
+
+
+@register("h2_preprocessing", H2_SQL)
+def q_h2(spark, sf):
+    """H1 / H2: medians, means and deviations after imputing; modes, and the slot of every category (the rare ones share the last)."""
+    from loanlens.operators import preprocess as PP
+    snapshot = gold_snapshot(spark, sf)
+    nothing = F.lit(None).cast("long").alias("slot")
+    numbers = PP.numeric_stats(snapshot, H2_NUMERIC).select(F.col("column").alias("feature"), F.inline(F.array(
+        *[F.struct(F.lit(c).alias("item"), F.col(c).alias("amount")) for c in ("median", "mean", "std")]))).select("feature", "item", nothing, "amount")
+    levels = PP.category_dictionary(snapshot, H2_CATEGORIES, H2_LEAST)
+    modes = levels.groupBy("column").agg(F.first("mode").alias("m"), F.sum("n").cast("double").alias("amount")).select(
+        F.col("column").alias("feature"), F.concat(F.lit("mode "), "m").alias("item"), nothing, "amount")
+    slots = levels.select(F.col("column").alias("feature"), F.col("value").alias("item"), F.col("slot").cast("long"), F.col("n").cast("double").alias("amount"))
+    return r6(numbers.unionByName(modes).unionByName(slots))
+
+
 @register("h10_importance")
 def q_h10(spark, sf):
     train, _ = _oot_frames(spark, sf)
