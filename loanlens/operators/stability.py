@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.scalar import psi_status, quarter_label
@@ -33,81 +33,79 @@ QUALITY_INVALID_MAX = 0.01
 QUALITY_MISSING_MAX = 0.02
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys``; without keys ``right`` has at most one row."""
-    return left.join(right, keys, how) if keys else left.join(F.broadcast(right), F.lit(True), how)
-
-
-def _psi_from_counts(e_counts: DataFrame, a_counts: DataFrame, e_tot: DataFrame, a_tot: DataFrame,
-                     edge_keys: list[str], keys: list[str]) -> DataFrame:
-    """e_counts: edge_keys + _bin + _ne; a_counts: keys + _bin + _na; totals per key set."""
-    # expand expected counts to every comparison that uses them
-    comp = a_tot.select(*keys)
-    e_full = _join(comp, e_counts, edge_keys)
-    merged = e_full.join(a_counts, [*keys, "_bin"], "full_outer")
-    merged = _join(_join(merged, e_tot, edge_keys, "left"), a_tot, keys, "left")
-    e = F.greatest(F.coalesce(F.col("_ne"), F.lit(0)).cast("double") / F.col("_tot_e"), F.lit(SHARE_FLOOR))
-    a = F.greatest(F.coalesce(F.col("_na"), F.lit(0)).cast("double") / F.col("_tot_a"), F.lit(SHARE_FLOOR))
-    return merged.groupBy(*keys).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
+def _score_bins(narrow: DataFrame, baseline: Column, bins: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts of a stored score table by ``keys``, side and bin: ``keys, _base, _bin, _flat, _n, _scored, _score, _labelled, _bad``.
 
+    ``narrow`` has ``keys``, ``score`` and ``label`` (doubles); edges are quantiles of the rows where
+    ``baseline`` holds.  Two reads of the narrow table: the baseline's scores for
+    the edges, all rows for the counts.  A score without a value has no bin.
+    """
+    q = exact_quantiles(narrow.filter(baseline), "score", [i / bins for i in range(bins + 1)], [], out_prefix="_q")
+    unique = F.array_distinct(F.array(*[F.col(f"_q{i}") for i in range(bins + 1)]))
+    edges = q.select(unique.alias("_u")).select(F.when(F.size("_u") >= 3, F.slice("_u", 2, F.size("_u") - 2)).alias("_inner"))
+    v = F.col("score")
+    has = v.isNotNull() & ~F.isnan(v)
+    binned = narrow.join(F.broadcast(edges), F.lit(True), "left").select(          # one row, or none without a baseline score
+        *keys, F.coalesce(baseline, F.lit(False)).alias("_base"), F.col("_inner").isNull().alias("_flat"), "score", "label",
+        F.when(has, F.size(F.filter("_inner", lambda e: e < v))).alias("_bin"))
+    return materialize(binned.groupBy(*keys, "_base", "_bin", "_flat").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("score").alias("_scored"), F.sum("score").alias("_score"),
+        F.count("label").alias("_labelled"), F.sum("label").alias("_bad")))
+
+
+def _psi_of_sides(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, psi`` from ``keys, _bin, _flat, _ne, _na`` (counts of either side; rows without a bin count in the totals only).
+
+    Fewer than three distinct edges, or no baseline: PSI is 0.
+    """
+    totals = sides.groupBy(*keys).agg(F.sum("_ne").alias("_tot_e"), F.sum("_na").alias("_tot_a"), F.max("_flat").alias("_flat"))
+    shares = sides.filter("_bin is not null").drop("_flat")
+    joined = join_checked(shares, totals, keys)
+    psi = _shares_psi(joined, keys)
+    out = join_checked(totals, materialize(psi), keys, "left")
+    return out.select(*keys, F.when(F.col("_flat"), F.lit(0.0)).otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
 
-def psi_continuous(expected: DataFrame, actual: DataFrame, value: str, keys: Sequence[str] = (),
-                   edge_keys: Sequence[str] | None = None, bins: int = 10,
-                   missing_bin: bool = False) -> DataFrame:
-    """PSI per ``keys`` for a numeric column.
 
-    ``expected`` carries ``edge_keys`` (a subset of ``keys``) and ``value``;
-    ``actual`` carries ``keys`` and ``value``.  One baseline can serve many
-    comparisons (e.g. every cohort against the first) without being copied.
-    """
-    keys = list(keys)
-    edge_keys = list(keys if edge_keys is None else edge_keys)
-    probs = [i / bins for i in range(bins + 1)]
-    q = exact_quantiles(expected, value, probs, edge_keys, out_prefix="_q")
-    edges = q.select(*edge_keys, F.array_distinct(F.array(*[F.col(f"_q{i}") for i in range(bins + 1)])).alias("_u"))
-    edges = edges.select(*edge_keys, F.when(F.size("_u") >= 3, F.slice("_u", 2, F.size("_u") - 2)).alias("_inner"))
-
-    def binned(df: DataFrame, ks: list[str]) -> DataFrame:
-        j = _join(df.select(*ks, F.col(value).cast("double").alias("_v")), F.broadcast(edges), edge_keys, "left")
-        v = F.col("_v")
-        b = F.size(F.filter(F.col("_inner"), lambda x: x < v)).cast("string")
-        label = F.when(v.isNull() | F.isnan(v), F.lit(MISSING) if missing_bin else F.lit(None)).otherwise(b)
-        return j.select(*ks, label.alias("_bin"), F.col("_inner").isNull().alias("_flat"))
-
-    eb, ab = binned(expected, edge_keys), binned(actual, keys)
-    e_tot = eb.groupBy(*edge_keys).agg(F.count(F.lit(1)).alias("_tot_e"))
-    a_tot = ab.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot_a"))
-    e_counts = eb.filter(F.col("_bin").isNotNull()).groupBy(*edge_keys, "_bin").agg(F.count(F.lit(1)).alias("_ne"))
-    a_counts = ab.filter(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_na"))
-    psi = _psi_from_counts(e_counts, a_counts, e_tot, a_tot, edge_keys, keys)
-    # fewer than three distinct edges (or an empty baseline): PSI is 0
-    flat = _join(a_tot.select(*keys), edges, edge_keys, "left").select(
-        *keys, F.col("_inner").isNull().alias("_flat"))
-    out = _join(flat, psi, keys, "left")
-    return out.select(*keys, F.when(F.col("_flat"), F.lit(0.0))
-                      .otherwise(F.coalesce(F.col("psi"), F.lit(0.0))).alias("psi"))
+def psi_between(scores: DataFrame, baseline: Column, value: str, bins: int = 10) -> DataFrame:
+    """Score PSI of the other rows against those where ``baseline`` holds (J1, J6): one row; ``scores`` is read once."""
+    narrow = materialize(scores.select(F.coalesce(baseline, F.lit(False)).alias("base"), F.col(value).cast("double").alias("score"),
+                                       F.lit(None).cast("double").alias("label")))
+    counts = _score_bins(narrow, F.col("base"), bins)
+    mine = lambda side: F.sum(F.when(F.col("_base") == side, F.col("_n")).otherwise(0))
+    return _psi_of_sides(counts.groupBy("_bin").agg(F.max("_flat").alias("_flat"), mine(True).alias("_ne"), mine(False).alias("_na")), [])
 
 
 def population_stability_index(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Score PSI between two populations (J1, J6): one row with ``psi``."""
-    return psi_continuous(expected.select(value), actual.select(value), value, [], [], bins)
+    """Score PSI between two populations (J1, J6): one row with ``psi``; either is read once."""
+    both = expected.select(F.lit(True).alias("base"), value).unionByName(actual.select(F.lit(False).alias("base"), value))
+    return psi_between(both, F.col("base"), value, bins)
 
 
 # -- J5 / D18: cohort score monitoring -----------------------------------------
 
 def monitoring_table(scores: DataFrame, score: str, label: str, date_col: str, bins: int = 10) -> DataFrame:
     """Per quarter cohort: size, bad rate, mean score, PSI against the first cohort,
-    status (J5, D18, F7).  The baseline cohort is found as data (min cohort)."""
-    c = scores.withColumn("cohort", quarter_label(date_col))
-    first = c.agg(F.when(F.min("cohort") == F.max("cohort"), F.raise_error(F.lit(
-        "cohort monitoring needs scores of two quarters at least"))).otherwise(F.min("cohort")).cast("string").alias("_base"))
-    base = c.join(F.broadcast(first), c.cohort == first._base, "left_semi")
-    psi = psi_continuous(base.select(score), c.select("cohort", score), score, ["cohort"], [], bins)
-    level = c.groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.avg(F.col(label).cast("double")).alias("bad_rate"),
-        F.avg(F.col(score)).alias("average_score"))
-    out = level.join(psi, "cohort").withColumnRenamed("psi", "score_psi_vs_baseline")
+    status (J5, D18, F7).  The baseline cohort is found as data (min cohort).
+
+    ``scores`` is read once, into a stored table of three columns; levels and
+    PSI come from one aggregate over it by (cohort, bin).
+    """
+    narrow = materialize(scores.select(quarter_label(date_col).alias("cohort"), F.col(score).cast("double").alias("score"),
+                                       F.col(label).cast("double").alias("label")))
+    first = narrow.agg(F.when(F.min("cohort") == F.max("cohort"), F.raise_error(F.lit(
+        "cohort monitoring needs scores of two quarters at least"))).otherwise(F.min("cohort")).cast("string").alias("_first"))
+    counts = _score_bins(narrow.join(F.broadcast(first), F.lit(True)), F.col("cohort") == F.col("_first"), bins, ["cohort"])   # one row
+    counts = counts.filter("cohort is not null")
+    base = counts.filter("_base").select("_bin", F.col("_n").alias("_ne"))
+    cohorts = counts.groupBy("cohort").agg(F.max("_flat").alias("_flat"))
+    # every bin of the baseline, and every bin of the cohort: a few rows a cohort
+    sides = (cohorts.join(F.broadcast(base), F.lit(True)).select("cohort", "_bin", "_flat", "_ne", F.lit(0).cast("long").alias("_na"))
+             .unionByName(counts.select("cohort", "_bin", "_flat", F.lit(0).cast("long").alias("_ne"), F.col("_n").alias("_na"))))
+    sides = sides.groupBy("cohort", "_bin").agg(F.max("_flat").alias("_flat"), F.sum("_ne").alias("_ne"), F.sum("_na").alias("_na"))
+    level = counts.groupBy("cohort").agg(
+        F.sum("_n").alias("sample_count"), F.try_divide(F.sum("_bad"), F.sum("_labelled")).alias("bad_rate"),
+        F.try_divide(F.sum("_score"), F.sum("_scored")).alias("average_score"))
+    out = level.join(_psi_of_sides(sides, ["cohort"]), "cohort").withColumnRenamed("psi", "score_psi_vs_baseline")
     return out.withColumn("psi_status", psi_status("score_psi_vs_baseline"))
 
 
@@ -217,10 +215,11 @@ def data_quality(snapshot: DataFrame, oot_ids: DataFrame, key: str = "loan_id")
 
     Invalid = present and outside [min, max]; alert when invalid > 1% or
     missing > 2% (strict)."""
-    train, oot = split_by_ids(snapshot, oot_ids, key)
     feats = [r[0] for r in QUALITY_RULES]
-    pops = (_stack(train.withColumn("population", F.lit("train")), feats, "DOUBLE", ["population"])
-            .unionByName(_stack(oot.withColumn("population", F.lit("oot")), feats, "DOUBLE", ["population"])))
+    # each loan is flagged once; a NULL id is in no list, so it is on the training side
+    side = F.when(F.col("_oot"), "oot").otherwise("train").alias("population")
+    flagged = snapshot.select(key, *feats).join(oot_ids.select(key).distinct().withColumn("_oot", F.lit(True)), key, "left")
+    pops = _stack(flagged.select(side, *feats), feats, "DOUBLE", ["population"])
     rules = F.broadcast(quality_rules(snapshot.sparkSession))    # 5 rows
     j = pops.join(rules, "feature", "inner")
     v = F.col("value")

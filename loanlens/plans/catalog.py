@@ -283,8 +283,7 @@ def q_j1(spark, sf):
     """Score PSI, bins fixed on the earlier population."""
     s = fx.scored(spark, sf)
     d = F.col("observation_date")
-    return r6(S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
-                                           s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd"))
+    return r6(S.psi_between(s, d < F.lit(SPLIT_DATE).cast("date"), "pd"))
 
 
 @register("j1_score_psi_tied", with_(V.SCORED + f""",
@@ -294,8 +293,7 @@ a AS (SELECT pd_b AS value FROM scored WHERE observation_date >= DATE '{SPLIT_DA
 def q_j1_tied(spark, sf):
     s = fx.scored(spark, sf)
     d = F.col("observation_date")
-    return r6(S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
-                                           s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd_b"))
+    return r6(S.psi_between(s, d < F.lit(SPLIT_DATE).cast("date"), "pd_b"))
 
 
 COHORT = "CAST(year({d}) AS VARCHAR) || 'Q' || CAST(quarter({d}) AS VARCHAR)"
@@ -654,6 +652,17 @@ def q_d13(spark, sf):
     return r6(PR.segment_default_rates(PR.build_segments(fx.wide_customer(spark, sf))))
 
 
+@register("d10_sketch_profile", "SELECT *, true AS close FROM (SELECT \"column\", dtype, missing_count, missing_rate FROM (" + ORACLE["d10_field_profile"] + "))")
+def q_d10_sketch(spark, sf):
+    """D10 by sketches stored per part and merged: ``close`` says that the distinct count is within 5 % of the exact one."""
+    wide = fx.wide_customer(spark, sf)
+    merged = PR.merge_sketches(materialize(PR.profile_sketches(wide, F.pmod(F.col("ID"), F.lit(8)))), wide)
+    exact = PR.field_profile(wide).select("column", F.col("unique_count").alias("exact"))
+    j = merged.join(F.broadcast(exact), "column")                 # a row a column
+    return r6(j.select("column", "dtype", "missing_count", "missing_rate",
+                       (F.abs(F.col("unique_count") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close")))
+
+
 @register("d14_duplicates", with_(V.WIDE, """
 SELECT CAST((SELECT count(*) FROM wide) - (SELECT count(*) FROM (SELECT DISTINCT * FROM wide)) AS BIGINT) AS duplicate_rows,
        CAST((SELECT count(*) FROM wide) - (SELECT count(DISTINCT ID) FROM wide) AS BIGINT) AS duplicate_ids,
@@ -1000,8 +1009,7 @@ SELECT CAST((SELECT count(*) FROM snapshot) AS BIGINT) AS loan_count,
 def q_l1(spark, sf):
     s = fx.scored(spark, sf)
     d = F.col("observation_date")
-    psi = S.population_stability_index(s.filter(d < F.lit(SPLIT_DATE).cast("date")),
-                                       s.filter(d >= F.lit(SPLIT_DATE).cast("date")), "pd")
+    psi = S.psi_between(s, d < F.lit(SPLIT_DATE).cast("date"), "pd")
     return r6(RP.overview_kpis(snap.snapshot_summary(snapshot_df(spark, sf)), M.binary_metrics(s, "bad", "pd"), psi))
 
 
