@@ -96,7 +96,14 @@ def monitoring_table(scores: DataFrame, score: str, label: str, date_col: str, b
         "cohort monitoring needs scores of two quarters at least"))).otherwise(F.min("cohort")).cast("string").alias("_first"))
     counts = _score_bins(narrow.join(F.broadcast(first), F.lit(True)), F.col("cohort") == F.col("_first"), bins, ["cohort"])   # one row
     counts = counts.filter("cohort is not null")
-    base = counts.filter("_base").select("_bin", F.col("_n").alias("_ne"))
+    return monitoring_from_counts(counts, counts.filter("_base").select("_bin", F.col("_n").alias("_ne")), "_flat")
+
+
+def monitoring_from_counts(counts: DataFrame, base: DataFrame, flat: Column | str) -> DataFrame:
+    """The monitoring table from counts by (cohort, bin), whose batches may be many, and the baseline's ``_bin, _ne``."""
+    counts = counts.groupBy("cohort", "_bin").agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_scored", "_score", "_labelled", "_bad")],
+        F.max(F.col(flat) if isinstance(flat, str) else flat).alias("_flat"))
     cohorts = counts.groupBy("cohort").agg(F.max("_flat").alias("_flat"))
     # every bin of the baseline, and every bin of the cohort: a few rows a cohort
     sides = (cohorts.join(F.broadcast(base), F.lit(True)).select("cohort", "_bin", "_flat", "_ne", F.lit(0).cast("long").alias("_na"))

@@ -54,12 +54,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder.
+    """This application's folder below the reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session and used as is.  A private scratch folder stands in for
-    it only where driver and executors are one local process.
+    from the session.  A private scratch folder stands in for
+    it only where driver and executors are one local process.  The
+    application's own folder goes when the driver's JVM ends, or by ``clean_up``.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -69,7 +73,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    key = (configured, spark.sparkContext.applicationId)
+    if key not in _FOLDERS:
+        folder = f"{configured.rstrip('/')}/loanlens-{key[1]}"
+        fs, path = _file_system(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all stored intermediate tables of this application; results that still read them can't be used any more."""
+    fs, path = _file_system(spark, checkpoint_dir(spark))
+    fs.delete(path, True)
+    fs.mkdirs(path)
 
 
 def materialize(df):
