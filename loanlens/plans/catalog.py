@@ -747,6 +747,7 @@ def q_h4(spark, sf):
     add up to less than 100, and 60 trees take four times the step of 250.
     """
     train, test = _oot_frames(spark, sf)
+    snap.check_snapshot(train)
     SP.check_split(train, test)
     train = SP.stratified_cap(train, 750_000)
     m = ML.fit(train, "second_order", ML.boosting.Params(trees=60, step=0.2, least_hessian=1.0, bins=32))
@@ -1080,3 +1081,7 @@ def q_m1(spark, sf):
     first = ev.agg(F.min(F.to_date("ts")).alias("_d"))
     base = ev.join(F.broadcast(first), F.to_date(ev.ts) == F.col("_d"), "left_semi")
     return MON.daily_score_bins(ev, MON.baseline_edges(base))
+
+
+# ---------------------------------------------------------------- ingest chain over written files (2.A)
+from loanlens.plans import ingest_queries  # noqa: E402, F401
