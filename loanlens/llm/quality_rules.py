@@ -6,12 +6,14 @@ logarithmic buckets (relative error 1 %): it merges by adding counts, gives
 the same result in any order of merging, has at most about 1,200 buckets a
 group whatever the group's size, and is built by a plain map-side aggregate,
 so a group with a third of all rows is no hot spot.  Sketches of sources merge
-into their language's, and those into one for all; a group with fewer than
-``MIN_GROUP`` documents takes the thresholds of the next wider one.
+into their language's, and those into one for all.  A group's quartiles are
+drawn towards its language's, and these towards all documents', by the weight of
+``PRIOR`` documents: a small group leans on the wider one, a large one stands for itself,
+and nothing switches in between.
 
-A rule's fence is ``q75 + REACH * max(q75 - q25, least spread)``, at least the
-rule's ``never below`` value (for a lower fence the mirror image), so that a
-group of uniformly clean documents doesn't reject its own tail.
+A rule's fence is ``q75 + REACH * max(q75 - q25, least spread)``, a lower one
+``q25`` less the same.  The least spread alone guards a group of uniform
+documents; there is no fixed cutoff beside the base rule.
 
 Defined results: a null text counts as empty; a text without words fails the
 base rule; null languages and sources are groups of their own; repeated rows
@@ -34,16 +36,16 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-#: metric: (least spread, upper fence never below, lower fence never above)
+#: metric: (least spread, whether there is a lower fence too)
 RULES = {
-    "symbol_ratio": (0.02, 0.15, None),
-    "mean_word": (0.5, 10.0, 2.5),
-    "dup_line_ratio": (0.05, 0.4, None),
-    "repeat_ratio": (0.02, 0.3, None),
-    "twin_ratio": (0.02, 0.2, None),
+    "symbol_ratio": (0.02, False),
+    "mean_word": (0.5, True),
+    "dup_line_ratio": (0.05, False),
+    "repeat_ratio": (0.02, False),
+    "twin_ratio": (0.02, False),
 }
-REACH = 4.0
-MIN_GROUP = 100
+REACH = 8.0
+PRIOR = 100
 GAMMA = 1.02          # width of a bucket; relative error below 1 %
 LEAST = 1e-3          # values below share the first bucket
 
@@ -132,7 +134,7 @@ def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
         F.min(F.when(F.col("_cum") >= 0.75 * F.col("_all"), F.col("_v"))).alias("q75"))
 
 
-def thresholds(stats: DataFrame, group_cols: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP,
+def thresholds(stats: DataFrame, group_cols: tuple[str, str] = ("lang", "source"), prior: int = PRIOR,
                reach: float = REACH, rules: dict = RULES) -> DataFrame:
     """One row per (language, source) with ``{metric}_low`` and ``{metric}_high``."""
     lang, source = group_cols
@@ -145,33 +147,34 @@ def thresholds(stats: DataFrame, group_cols: tuple[str, str] = ("lang", "source"
     q2 = quantiles(top, []).select(F.col("metric").alias("_m2"), *[F.col(c).alias(f"{c}2") for c in ("n", "q25", "q75")])
     q = q0.join(q1, F.col(lang).eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m")))
     q = q.join(F.broadcast(q2), F.col("metric") == F.col("_m2"))        # one row per rule
-    pick = lambda c: F.when(F.col("n") >= min_group, F.col(c)).when(F.col("n1") >= min_group, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    q = q.select(lang, source, "metric", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    wider = lambda c: (F.col("n1") * F.col(f"{c}1") + F.lit(prior) * F.col(f"{c}2")) / (F.col("n1") + prior)
+    drawn = lambda c: (F.col("n") * F.col(c) + F.lit(prior) * wider(c)) / (F.col("n") + prior)
+    q = q.select(lang, source, "metric", drawn("q25").alias("q25"), drawn("q75").alias("q75"))
     out = []
-    for metric, (spread, high, low) in rules.items():
+    for metric, (spread, low) in rules.items():
         far = reach * F.greatest(F.col("q75") - F.col("q25"), F.lit(spread))
         mine = F.col("metric") == metric
-        out.append(F.max(F.when(mine, F.greatest(F.col("q75") + far, F.lit(high)))).alias(f"{metric}_high"))
-        if low is not None:
-            out.append(F.max(F.when(mine, F.least(F.col("q25") - far, F.lit(low)))).alias(f"{metric}_low"))
+        out.append(F.max(F.when(mine, F.col("q75") + far)).alias(f"{metric}_high"))
+        if low:
+            out.append(F.max(F.when(mine, F.col("q25") - far)).alias(f"{metric}_low"))
     return q.groupBy(lang, source).agg(*out)
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                group_cols: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP,
+                group_cols: tuple[str, str] = ("lang", "source"), prior: int = PRIOR,
                 reach: float = REACH, rules: dict = RULES) -> DataFrame:
     """Base counts, ``base_failed`` and ``kept`` of each document."""
     stats = stash(text_stats(docs, id_col, text_col, group_cols).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
     # what the base rule rejects doesn't shape the thresholds
-    fences = stash(thresholds(stats.filter(~F.col("base_failed")), group_cols, min_group, reach, rules))
+    fences = stash(thresholds(stats.filter(~F.col("base_failed")), group_cols, prior, reach, rules))
     joined = join_small(stats, fences, list(group_cols), "left")
     ok = ~F.col("base_failed")
     for metric, value in _metrics().items():
         if metric in rules:
             ok = ok & (value <= F.col(f"{metric}_high"))
-            if rules[metric][2] is not None:
+            if rules[metric][1]:
                 ok = ok & (value >= F.col(f"{metric}_low"))
     return joined.withColumn("kept", F.coalesce(ok, F.lit(False))).select(*stats.columns, "kept")
 
@@ -182,12 +185,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    bounds = " AND ".join(
-        f"{m} <= (SELECT greatest(q75 + {REACH} * greatest(q75 - q25, {s}), {hi}) FROM f WHERE f.lang IS NOT DISTINCT FROM x.lang "
-        f"AND f.source IS NOT DISTINCT FROM x.source AND f.metric = '{m}')"
-        + (f" AND {m} >= (SELECT least(q25 - {REACH} * greatest(q75 - q25, {s}), {lo}) FROM f WHERE f.lang IS NOT DISTINCT FROM x.lang "
-           f"AND f.source IS NOT DISTINCT FROM x.source AND f.metric = '{m}')" if lo is not None else "")
-        for m, (s, hi, lo) in RULES.items())
+    far = f"{REACH} * greatest(q75 - q25, {{s}})"
+    fence = lambda m, side: f"(SELECT {side} FROM f WHERE f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.metric = '{m}')"
+    bounds = " AND ".join(f"{m} <= {fence(m, 'q75 + ' + far.format(s=s))}" + (f" AND {m} >= {fence(m, 'q25 - ' + far.format(s=s))}" if low else "")
+                          for m, (s, low) in RULES.items())
+    drawn = lambda c: (f"(q0.n::DOUBLE * q0.{c} + {PRIOR}::DOUBLE * ((q1.n::DOUBLE * q1.{c} + {PRIOR}::DOUBLE * q2.{c}) / (q1.n::DOUBLE + {PRIOR})))"
+                       f" / (q0.n::DOUBLE + {PRIOR}) AS {c}")
     quant = ("SELECT {g} metric, sum(n) AS n, min(CASE WHEN cum >= 0.25 * total THEN v END) AS q25, min(CASE WHEN cum >= 0.75 * total THEN v END) AS q75 "
              "FROM (SELECT *, sum(n) OVER (PARTITION BY {g} metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {g} metric) AS total, "
              f"CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE {LEAST}::DOUBLE * pow({GAMMA}::DOUBLE, bucket - 0.5) END AS v "
@@ -213,9 +216,7 @@ m AS (UNPIVOT (SELECT lang, source, symbol_ratio, mean_word, dup_line_ratio, rep
       ON symbol_ratio, mean_word, dup_line_ratio, repeat_ratio, twin_ratio INTO NAME metric VALUE v),
 b AS (SELECT lang, source, metric, CASE WHEN v < {LEAST} THEN 0 ELSE 1 + floor(ln(v / {LEAST}::DOUBLE) / {math.log(GAMMA)!r}::DOUBLE)::INT END AS bucket FROM m),
 q0 AS ({quant.format(g='lang, source,')}), q1 AS ({quant.format(g='lang,')}), q2 AS ({quant.format(g='')}),
-f AS (SELECT q0.lang, q0.source, q0.metric,
-        CASE WHEN q0.n >= {MIN_GROUP} THEN q0.q25 WHEN q1.n >= {MIN_GROUP} THEN q1.q25 ELSE q2.q25 END AS q25,
-        CASE WHEN q0.n >= {MIN_GROUP} THEN q0.q75 WHEN q1.n >= {MIN_GROUP} THEN q1.q75 ELSE q2.q75 END AS q75
+f AS (SELECT q0.lang, q0.source, q0.metric, {drawn('q25')}, {drawn('q75')}
       FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.metric = q1.metric JOIN q2 ON q0.metric = q2.metric)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({bounds}, false) AS kept FROM x
 """

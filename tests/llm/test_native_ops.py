@@ -97,6 +97,32 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(r.kept == (r.doc_id < 240) for r in got)
 
 
+def test_quality_verdicts_move_with_the_group(spark):
+    """The same documents pass where their like are common and fail where they are not; no fixed cutoff decides."""
+    plain = [" ".join(f"w{(i * j) % 9973}xyz" for j in range(1, 41)) for i in range(1, 1001)]
+    marked = [" ".join(f"w{(i * j) % 9973}xyz" + ("#" if j % 3 == 0 else "") for j in range(1, 41)) for i in range(1, 1001)]    # ratio 0.325
+    odd = marked[:5]
+    verdict = lambda first, second: [r.kept for r in sorted(quality_rules.apply_rules(
+        frame(spark, first + second + odd, sources=["s"] * (len(first) + len(second) + 5),
+              langs=["en"] * len(first) + ["xx"] * len(second) + ["en"] * 5)).collect(), key=lambda r: r.doc_id)]
+    among_plain = verdict(plain, marked)
+    assert all(among_plain[:2000]) and not any(among_plain[2000:])
+    among_their_like = verdict(marked, plain)
+    assert all(among_their_like)
+
+
+def test_quality_small_groups_lean_on_wider_ones(spark):
+    """Quartiles of a group are drawn towards its language's by a fixed weight: they move on without a switch."""
+    text = lambda i, share: " ".join(f"w{(i * j) % 9973}xyz" + ("#" if j <= 40 * share else "") for j in range(1, 41))
+    highs = []
+    for n in (1, 20, 99, 100, 101, 400):
+        docs = frame(spark, [text(i, 0.0) for i in range(1, 601)] + [text(i, 0.5) for i in range(1, n + 1)], sources=["a"] * 600 + ["b"] * n)
+        stats = quality_rules.text_stats(docs)
+        highs.append({r.source: r.symbol_ratio_high for r in quality_rules.thresholds(stats).collect()}["b"])
+    assert highs == sorted(highs) and highs[0] < 0.2 < highs[-1]
+    assert abs(highs[3] - highs[2]) < 0.01 and abs(highs[4] - highs[3]) < 0.01
+
+
 def test_winnowing_edits_and_selection(spark):
     texts = [*ODD, "a b c d", " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40, 100))]
     ids = [5, 900, 3, None, 40, 41, 7, 8, 1000, 1001, -4, 77, 78]
