@@ -37,23 +37,23 @@ def binary_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str]
     pts = score_points(df, label, score, groups)
     nb, ng = F.col("n_bad").cast("double"), F.col("n_good").cast("double")
     cb, cg = F.col("cum_bad").cast("double"), F.col("cum_good").cast("double")
+    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+    off, on = F.col("score"), F.col("score") - 1.0
     agg = pts.groupBy(*groups).agg(
-        F.sum(F.col("good").cast("double") * (cb - F.col("bad").cast("double") / 2.0)).alias("_auc_num"),
+        F.sum(good * (cb - bad / 2.0)).alias("_auc_num"),
         F.max(F.col("cum_bad") * F.col("n_good") - F.col("cum_good") * F.col("n_bad")).alias("_ks_num"),
-        F.sum(F.col("bad").cast("double") * cb / (cb + cg)).alias("_ap_num"),
+        F.sum(bad * cb / (cb + cg)).alias("_ap_num"),
         F.max("n_bad").alias("n_bad"), F.max("n_good").alias("n_good"),
+        F.sum(bad * on * on + good * off * off).alias("_brier_num"), F.sum(F.col("bad") + F.col("good")).alias("_rows"),
     )
-    y = F.col(label).cast("double")
-    brier = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-               .groupBy(*groups).agg(F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier_score"),
-                                     F.count(F.lit(1)).alias("sample_count")))
-    out = agg.select(
+    return agg.select(
         *groups,
         F.try_divide(F.col("_auc_num"), nb * ng).alias("auc"),
         F.try_divide(F.greatest(F.col("_ks_num"), F.lit(0)).cast("double"), nb * ng).alias("ks"),
         F.try_divide(F.col("_ap_num"), nb).alias("pr_auc"),
+        F.try_divide(F.col("_brier_num"), F.col("_rows").cast("double")).alias("brier_score"),
+        F.coalesce("_rows", F.lit(0)).cast("long").alias("sample_count"),
     )
-    return out.join(brier, groups, "inner") if groups else out.crossJoin(brier)
 
 
 def ks_with_threshold(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:

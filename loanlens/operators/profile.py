@@ -100,7 +100,8 @@ def code_quality(df: DataFrame) -> DataFrame:
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     unexpected = F.coalesce(F.sum(F.when(bad, F.col("_n"))), F.lit(0))
     out = counts.join(F.broadcast(rules), "field", "right").groupBy("field", "expected_codes", "note", coded.alias("_coded")).agg(
-        F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("_list"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+        # ranges need no list
+        F.array_join(F.sort_array(F.collect_set(F.when(coded, v))), ", ").alias("_list"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
         unexpected.alias("unexpected_count"), F.try_divide(unexpected, rows).alias("unexpected_rate"))
     return out.select("field", "expected_codes", F.when(F.col("_coded"), F.col("_list")).otherwise(
         F.concat_ws(" to ", "_lo", "_hi")).alias("observed_codes"), "unexpected_count", "unexpected_rate", "note")
