@@ -3,17 +3,24 @@
 High-recall generators propose overlapping spans for four kinds (email, ip,
 card, phone); boosted trees score each from its format and context; calibrated
 thresholds, one a kind, select what is redacted.  Spans that pass the base
-rules (pattern and checksum or range) are always kept, and are the weak labels
-of the trees: the features leave out what the validators look at (Luhn, the
-range of an address' parts), so the trees learn what such data look like where
-validators fail, for example a card number with a wrong digit or a local part
-with accents.  A threshold is the lowest score from which at least
-``PRECISION`` of a held-out fifth of the candidates pass the base rules.
+rules (pattern and checksum or range) are always kept.
+
+What the trees learn from doesn't repeat the base rules.  Positive are the base
+spans and a copy of each in a form that the base patterns don't know
+(``name[at]host(dot)tld``, accents, dotted cards, numbers without ``+``), in
+the same surroundings.  Negative are candidates that a checksum, a range or
+another kind's base span rules out, and a look-alike made from each base span
+(a card with a wrong digit, a phone's digits in one run, a version in place of
+a host).  Candidates that nothing speaks for or against are only scored.  A
+kind's threshold is the lowest score from which at least ``PRECISION`` of a
+held-out fifth of the candidates that aren't base spans are positive; kinds
+without any (ip) keep the base spans alone.
 
 Everything is built from SQL expressions and Spark ML.  Positions come from
 splitting a text at a pattern: a match starts after the lengths of all pieces
-and matches before it.  The trees are fitted on at most ``FIT_ROWS``
-candidates, chosen by hash; every candidate is scored.
+and matches before it.  The trees are fitted on about ``FIT_ROWS`` candidates
+at most; these and the held-out fifth are chosen by a hash of id, place and
+match, whatever the files' layout.  Every candidate is scored.
 
 Defined results: a null text counts as empty and has no spans; a table without
 candidates, or with candidates of one label only, gets the base spans alone;
@@ -156,50 +163,90 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _features() -> dict[str, Column]:
-    m, before, after = F.col("s.match"), F.col("s.before"), F.col("s.after")
+    m, before, after = F.col("match"), F.col("before"), F.col("after")
     count = lambda pattern: F.regexp_count(m, F.lit(pattern)).cast("double")
+    like = lambda c, pattern: flag(F.regexp_like(c, F.lit(pattern)))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
-        "kind": F.col("s.k").cast("double"), "length": F.length(m).cast("double"), "digits": count("[0-9]"),
-        "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "brackets": count("[()]"),
+        "kind": F.col("k").cast("double"), "length": F.length(m).cast("double"), "digits": count("[0-9]"),
+        "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "brackets": count(r"[()\[\]]"),
         "letters": count(r"\p{L}"), "accents": count(r"[^\x00-\x7F]"), "groups": count("[0-9]+"),
-        "plus": flag(F.startswith(m, F.lit("+"))), "ending": F.length(F.regexp_extract(m, r"\.([A-Za-z]+)$", 1)).cast("double"),
-        "glued_before": flag(F.regexp_like(before, F.lit(r"[\p{L}0-9_]$"))),
-        "glued_after": flag(F.regexp_like(after, F.lit(r"^[\p{L}0-9_]"))),
-        "sign_before": flag(F.regexp_like(before, F.lit(r"[=\"'#$:/.+-]$"))),
-        "sign_after": flag(F.regexp_like(after, F.lit(r"^[=\"'/@.+-]"))),
-        "named": flag(F.regexp_like(F.lower(before), F.lit(r"(tel|phone|call|mail|card|visa|ip|host|contact)\W*$"))),
-        "secret": flag(F.regexp_like(F.lower(before), F.lit(r"(token|key|secret|hash|id|version|v)\W*$"))),
+        "plus": like(m, r"^\+"), "zeros": like(m, "^00"), "ending": F.length(F.regexp_extract(m, r"[.\])\x20]([A-Za-z]+)$", 1)).cast("double"),
+        "fours": like(m, r"^[0-9]{4}([\x20.-]?[0-9]{4}){2,3}$"), "dotted": like(m, r"^[0-9]+(\.[0-9]+)+$"),
+        "checksum": flag((F.col("k") == KINDS.index("card")) & _valid("card")(F.struct(m.alias("match")))),
+        "glued_before": like(before, r"[\p{L}0-9_]$"), "glued_after": like(after, r"^[\p{L}0-9_]"),
+        "sign_before": like(before, r"[=\"'#$:/.+-]$"), "sign_after": like(after, r"^[=\"'/@.+-]"),
+        "named": like(F.lower(before), r"(tel|phone|call|mail|card|visa|ip|host|contact)\W*$"),
+        "secret": like(F.lower(before), r"(token|key|secret|hash|id|version|v)\W*$"),
     }
 
 
+def _made(kind: str, m: Column, draw: Column) -> tuple[Column, Column]:
+    """A base span in a form that the base patterns don't know, and something that only looks alike."""
+    digits = _digits(m)
+    form = F.pmod(draw, F.lit(3))
+    if kind == "email":
+        name, host = F.regexp_extract(m, "^(.*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
+        good = F.when(form == 0, F.concat(name, F.lit("[at]"), host)).when(form == 1, F.concat(
+            name, F.lit(" (at) "), F.regexp_replace(host, r"\.", " (dot) "))).otherwise(F.concat(name, F.lit("é@"), host))
+        return good, F.concat(name, F.lit("é@"), F.pmod(draw, F.lit(19)), F.lit("."), F.pmod(draw, F.lit(7)), F.lit(".0"))
+    if kind == "card":
+        wrong = F.concat(F.left(digits, F.length(digits) - 1), F.pmod(F.right(digits, F.lit(1)).cast("int") + 1 + form, F.lit(10)))
+        return tuple(F.regexp_replace(d, "([0-9]{4})(?=[0-9])", "$1.") for d in (digits, wrong))
+    # phone
+    ten = lambda to: F.regexp_replace(F.right(digits, F.lit(10)), "([0-9]{3})([0-9]{3})([0-9]{4})", to)
+    good = F.when((form == 2) | (F.length(digits) < 10), F.regexp_replace(m, r"^\+", "00")).when(
+        form == 0, ten("($1) $2-$3")).otherwise(ten("$1-$2-$3"))
+    return good, digits
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """All candidates of ``propose`` (``row, k, start, end, match, before, after, exact, clash, draw``) with ``label``: 1.0, 0.0 or NULL
+    where nothing speaks for or against; and, without a row, the spans made of base spans."""
+    one = found.select("row", "doc_id", "base", F.explode("cand").alias("s")).select("row", "doc_id", "base", "s.*")
+    test = lambda text: F.expr(f"exists(base, b -> {text})")
+    own = "b.k = k AND b.start >= start AND b.end <= end"
+    exact = test("b.k = k AND b.start = start AND b.end = end")
+    # a candidate may widen a base address, but not cut through or repeat a base span
+    same = exact | ((F.col("k") == 0) & test(own))
+    clash = test("b.start < end AND b.end > start") & ~same
+    card, phone = KINDS.index("card"), KINDS.index("phone")
+    label = (F.when(same, 1.0).when(clash | (F.col("k") == KINDS.index("ip")), 0.0)
+             .when(F.col("k") == card, _valid("card")(F.struct("match")).cast("double"))
+             .when((F.col("k") == phone) & F.regexp_like("match", F.lit(r"^[0-9]+(\.[0-9]+)+$")), 0.0))
+    one = one.select("row", "k", "start", "end", "match", "before", "after", label.alias("label"), exact.alias("exact"), clash.alias("clash"),
+                     F.pmod(F.xxhash64("doc_id", "start", "match"), F.lit(1_000_000)).alias("draw"))
+    out = one
+    for kind in ("email", "card", "phone"):
+        spans_ = F.array(*[F.struct(m.alias("m"), F.lit(y).alias("y")) for m, y in zip(
+            _made(kind, F.col("match"), F.col("draw")), (1.0, 0.0), strict=True)])
+        made = one.filter(F.col("exact") & (F.col("k") == KINDS.index(kind))).withColumn("x", F.explode(spans_))
+        out = out.unionByName(made.select(
+            F.lit(None).cast("long").alias("row"), "k", "start", "end", F.col("x.m").alias("match"), "before", "after",
+            F.col("x.y").alias("label"), F.lit(False).alias("exact"), F.lit(False).alias("clash"), "draw"))
+    return out
+
+
 def score_candidates(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> DataFrame:
     """``row, k, start, end`` of the candidates that the trees select beside the base spans."""
-    one = found.select("row", "base", F.explode("cand").alias("s"))
-    same = F.exists("base", lambda b: (b["k"] == F.col("s.k")) & (b["start"] >= F.col("s.start")) & (b["end"] <= F.col("s.end"))
-                    & ((b["k"] == 0) | ((b["start"] == F.col("s.start")) & (b["end"] == F.col("s.end")))))
-    exact = F.exists("base", lambda b: (b["k"] == F.col("s.k")) & (b["start"] == F.col("s.start")) & (b["end"] == F.col("s.end")))
-    # a candidate may widen a base span of its kind, but not cut through or repeat one
-    clash = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))) & ~same
     feats = _features()
-    one = stash(one.select("row", F.col("s.k").alias("k"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-                           same.cast("double").alias("label"), exact.alias("exact"), clash.alias("clash"),
-                           F.pmod(F.xxhash64("row", "s.k", "s.start"), F.lit(1_000_000)).alias("draw"),
-                           *[v.alias(f"f_{n}") for n, v in feats.items()]))
+    one = stash(labelled(found).select("row", "k", "start", "end", "label", "exact", "clash", "draw",
+                                       *[v.alias(f"f_{n}") for n, v in feats.items()]))
     none = one.select("row", "k", "start", "end").limit(0)
-    seen = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["label"]: r["n"] for r in one.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return none
     rows = VectorAssembler(inputCols=[f"f_{n}" for n in feats], outputCol="features").transform(one)
     share = min(1.0, fit_rows / sum(seen.values()))
-    fold = F.pmod(F.col("row"), F.lit(5))
-    fit = rows.filter((F.col("draw") < share * 1_000_000) & (fold != 0)).select("features", "label").coalesce(4)
+    fold = F.pmod(F.col("draw"), F.lit(5))
+    fit = rows.filter(F.col("label").isNotNull() & (F.col("draw") < share * 1_000_000) & (fold != 0))
+    fit = fit.select("features", "label", "draw", "k", "start").repartition(4, "draw").sortWithinPartitions("draw", "k", "start", "label")
     if fit.agg(F.count_distinct("label")).first()[0] < 2:
         return none
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64).fit(fit)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64).fit(fit.select("features", "label"))
     scored = model.transform(rows).withColumn("p", vector_to_array("probability")[1])
     # at most 101 steps a kind
-    bins = scored.filter(fold == 0).groupBy("k", F.floor(F.col("p") * 100).alias("step")).agg(
+    bins = scored.filter((fold == 0) & F.col("label").isNotNull() & ~F.col("exact")).groupBy("k", F.floor(F.col("p") * 100).alias("step")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
     cut = {}
     for k in range(len(KINDS)):
@@ -211,7 +258,7 @@ def score_candidates(found: DataFrame, fit_rows: int = FIT_ROWS, precision: floa
     enough = F.lit(False)
     for k, p in cut.items():
         enough = enough | ((F.col("k") == k) & (F.floor(F.col("p") * 100) / 100 >= p))
-    return scored.filter(enough & ~F.col("exact") & ~F.col("clash")).select("row", "k", "start", "end")
+    return scored.filter(F.col("row").isNotNull() & enough & ~F.col("exact") & ~F.col("clash")).select("row", "k", "start", "end")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
