@@ -1,7 +1,7 @@
 """Operator 7: personal data by candidate boosting.
 
 High-recall generators propose overlapping spans for four kinds (email, ip,
-card, phone); boosted trees score each from its format and context; calibrated
+card, phone); boosted trees, a model a kind, score each from its format and context; calibrated
 thresholds, one a kind, select what is redacted.  Spans that pass the base
 rules (pattern and checksum or range) are always kept.
 
@@ -13,8 +13,8 @@ another kind's base span rules out, and a look-alike made from each base span
 (a card with a wrong digit, a phone's digits in one run, a version in place of
 a host).  Candidates that nothing speaks for or against are only scored.  A
 kind's threshold is the lowest score from which at least ``PRECISION`` of a
-held-out fifth of the candidates that aren't base spans are positive; kinds
-without any (ip) keep the base spans alone.
+held-out fifth of the candidates that aren't base spans are positive; ip
+has no such form and keeps the base spans alone.
 
 Everything is built from SQL expressions and Spark ML.  Positions come from
 splitting a text at a pattern: a match starts after the lengths of all pieces
@@ -59,6 +59,8 @@ WIDE = {
 #: Digits (for email: characters) that a wide match must have.
 WIDE_SIZE = {"email": (5, 320), "ip": (4, 16), "card": (12, 19), "phone": (9, 15)}
 
+#: Kinds with trees: those that other forms can be made of.
+MADE = ("email", "card", "phone")
 FIT_ROWS = 100_000
 PRECISION = 0.9
 TREES = 10
@@ -168,12 +170,12 @@ def _features() -> dict[str, Column]:
     like = lambda c, pattern: flag(F.regexp_like(c, F.lit(pattern)))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
-        "kind": F.col("k").cast("double"), "length": F.length(m).cast("double"), "digits": count("[0-9]"),
+        "length": F.length(m).cast("double"), "digits": count("[0-9]"),
         "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "brackets": count(r"[()\[\]]"),
         "letters": count(r"\p{L}"), "accents": count(r"[^\x00-\x7F]"), "groups": count("[0-9]+"),
         "plus": like(m, r"^\+"), "zeros": like(m, "^00"), "ending": F.length(F.regexp_extract(m, r"[.\])\x20]([A-Za-z]+)$", 1)).cast("double"),
         "fours": like(m, r"^[0-9]{4}([\x20.-]?[0-9]{4}){2,3}$"), "dotted": like(m, r"^[0-9]+(\.[0-9]+)+$"),
-        "checksum": flag((F.col("k") == KINDS.index("card")) & _valid("card")(F.struct(m.alias("match")))),
+        "checksum": flag(_valid("card")(F.struct(m.alias("match")))),
         "glued_before": like(before, r"[\p{L}0-9_]$"), "glued_after": like(after, r"^[\p{L}0-9_]"),
         "sign_before": like(before, r"[=\"'#$:/.+-]$"), "sign_after": like(after, r"^[=\"'/@.+-]"),
         "named": like(F.lower(before), r"(tel|phone|call|mail|card|visa|ip|host|contact)\W*$"),
@@ -217,7 +219,7 @@ def labelled(found: DataFrame) -> DataFrame:
     one = one.select("row", "k", "start", "end", "match", "before", "after", label.alias("label"), exact.alias("exact"), clash.alias("clash"),
                      F.pmod(F.xxhash64("doc_id", "start", "match"), F.lit(1_000_000)).alias("draw"))
     out = one
-    for kind in ("email", "card", "phone"):
+    for kind in MADE:
         spans_ = F.array(*[F.struct(m.alias("m"), F.lit(y).alias("y")) for m, y in zip(
             _made(kind, F.col("match"), F.col("draw")), (1.0, 0.0), strict=True)])
         made = one.filter(F.col("exact") & (F.col("k") == KINDS.index(kind))).withColumn("x", F.explode(spans_))
@@ -232,33 +234,32 @@ def score_candidates(found: DataFrame, fit_rows: int = FIT_ROWS, precision: floa
     feats = _features()
     one = stash(labelled(found).select("row", "k", "start", "end", "label", "exact", "clash", "draw",
                                        *[v.alias(f"f_{n}") for n, v in feats.items()]))
-    none = one.select("row", "k", "start", "end").limit(0)
-    seen = {r["label"]: r["n"] for r in one.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
-        return none
     rows = VectorAssembler(inputCols=[f"f_{n}" for n in feats], outputCol="features").transform(one)
-    share = min(1.0, fit_rows / sum(seen.values()))
     fold = F.pmod(F.col("draw"), F.lit(5))
-    fit = rows.filter(F.col("label").isNotNull() & (F.col("draw") < share * 1_000_000) & (fold != 0))
-    fit = fit.select("features", "label", "draw", "k", "start").repartition(4, "draw").sortWithinPartitions("draw", "k", "start", "label")
-    if fit.agg(F.count_distinct("label")).first()[0] < 2:
-        return none
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64).fit(fit.select("features", "label"))
-    scored = model.transform(rows).withColumn("p", vector_to_array("probability")[1])
-    # at most 101 steps a kind
-    bins = scored.filter((fold == 0) & F.col("label").isNotNull() & ~F.col("exact")).groupBy("k", F.floor(F.col("p") * 100).alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
-    cut = {}
-    for k in range(len(KINDS)):
+    counted = one.filter("label IS NOT NULL").groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).collect()      # two rows a kind
+    out = one.select("row", "k", "start", "end").limit(0)
+    for k in map(KINDS.index, MADE):
+        share = min(1.0, fit_rows / len(MADE) / max(1, sum(r["n"] for r in counted if r["k"] == k)))
+        mine = rows.filter(F.col("k") == k)
+        fit = mine.filter(F.col("label").isNotNull() & (F.col("draw") < share * 1_000_000) & (fold != 0))
+        fit = fit.select("features", "label", "draw", "start").repartition(4, "draw").sortWithinPartitions("draw", "start", "label")
+        if fit.agg(F.count_distinct("label")).first()[0] < 2:
+            continue
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64).fit(fit.select("features", "label"))
+        scored = model.transform(mine).withColumn("step", F.floor(vector_to_array("probability")[1] * 100))
+        # at most 101 steps
+        bins = scored.filter((fold == 0) & F.col("label").isNotNull() & ~F.col("exact")).groupBy("step").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
         n = good = 0.0
-        for r in sorted((r for r in bins if r["k"] == k), key=lambda r: -r["step"]):
+        cut = None
+        for r in sorted(bins, key=lambda r: -r["step"]):
             n, good = n + r["n"], good + r["good"]
             if good >= precision * n:
-                cut[k] = r["step"] / 100
-    enough = F.lit(False)
-    for k, p in cut.items():
-        enough = enough | ((F.col("k") == k) & (F.floor(F.col("p") * 100) / 100 >= p))
-    return scored.filter(F.col("row").isNotNull() & enough & ~F.col("exact") & ~F.col("clash")).select("row", "k", "start", "end")
+                cut = r["step"]
+        if cut is not None:
+            out = out.unionByName(scored.filter(F.col("row").isNotNull() & (F.col("step") >= cut) & ~F.col("exact") & ~F.col("clash"))
+                                  .select("row", "k", "start", "end"))
+    return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
