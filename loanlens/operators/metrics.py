@@ -19,15 +19,16 @@ from loanlens.operators.ordered import exact_quantiles, join_checked, prefix_sum
 from loanlens.session import materialize
 
 
-def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+def score_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), following: Sequence[str] = ()) -> DataFrame:
     """Distinct scores per group with ``bad``, ``good`` and descending running sums
-    ``cum_bad``, ``cum_good`` (ROC points, F3), plus group totals ``n_bad``, ``n_good``."""
+    ``cum_bad``, ``cum_good`` (ROC points, F3), plus group totals ``n_bad``, ``n_good``
+    and ``next_*`` of the ``following`` columns."""
     groups = list(groups)
     y = F.col(label).cast("long")
     pts = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
              .groupBy(*groups, F.col(score).cast("double").alias("score"))
              .agg(F.sum(y).alias("bad"), F.sum(F.lit(1) - y).alias("good")))
-    pts = prefix_sums(pts, "score", ["bad", "good"], groups, descending=True, total="n_")
+    pts = prefix_sums(pts, "score", ["bad", "good"], groups, descending=True, total="n_", following=following)
     return pts
 
 
@@ -82,13 +83,10 @@ def roc_curve(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
     its bad/good increments equal those of the next point (collinear run),
     keeping the first and last points."""
     groups = list(groups)
-    pts = score_points(df, label, score, groups)
+    pts = score_points(df, label, score, groups, ["bad", "good"] if drop_intermediate else [])
     if drop_intermediate:
-        nxt = pts.select(*groups, (F.col("cum_rows") - 1).alias("cum_rows"),
-                         F.col("bad").alias("_nb"), F.col("good").alias("_ng"))
-        pts = pts.join(nxt, [*groups, "cum_rows"], "left")
-        last = F.col("_nb").isNull()
-        same = (F.col("_nb") == F.col("bad")) & (F.col("_ng") == F.col("good"))
+        last = F.col("next_bad").isNull()
+        same = (F.col("next_bad") == F.col("bad")) & (F.col("next_good") == F.col("good"))
         pts = pts.filter((F.col("cum_rows") == 1) | last | ~same)
     pts = pts.select(
         *groups, F.col("score").alias("threshold"),

@@ -100,36 +100,50 @@ def _ranged(df: DataFrame, groups: list[str], order: list[Column], buckets: int
     return materialize(cut.withColumn("_part", F.spark_partition_id()))
 
 
-def _offsets(ranged: DataFrame, groups: list[str], sums: dict[str, Column]) -> DataFrame:
-    """For each (group, partition) the sums over earlier partitions (``_o_*``) and over the whole group (``_w_*``)."""
-    totals = ranged.groupBy(*groups, "_part").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+def _offsets(ranged: DataFrame, groups: list[str], sums: dict[str, Column], firsts: dict[str, Column] | None = None) -> DataFrame:
+    """For each (group, partition) the sums over earlier partitions (``_o_*``) and over the whole group (``_w_*``), and the
+    ``firsts`` of the group's next partition (``_f_*``)."""
+    firsts = firsts or {}
+    totals = ranged.groupBy(*groups, "_part").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()],
+                                                  *[c.alias(f"_h_{n}") for n, c in firsts.items()])
     group = Window.partitionBy(*groups)
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = group.orderBy("_part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
     return materialize(totals.select(
         *groups, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(group).alias(f"_w_{n}") for n in sums]))
+        *[F.sum(f"_t_{n}").over(group).alias(f"_w_{n}") for n in sums],
+        *[F.lead(f"_h_{n}").over(parts).alias(f"_f_{n}") for n in firsts]))
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None,
-                prefix: str = "cum_", total: str | None = None) -> DataFrame:
+                prefix: str = "cum_", total: str | None = None, following: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_col`` order per group.
 
     ``order_col`` must be unique within a group (aggregate to distinct values
     first).  Adds ``{prefix}{c}`` for every sum column and ``{prefix}rows``, the
     1-based position; with ``total`` also ``{total}{c}``, the group's sums.
+    ``following`` names columns of which ``next_{c}`` is the next row's value in
+    the group (NULL in the last row): a lead inside a partition, and over its
+    end the first row of the group's next partition.  ``order_col`` must not be
+    NULL then.
     """
-    groups, sum_cols = list(groups), list(sum_cols)
+    groups, sum_cols, following = list(groups), list(sum_cols), list(following)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     ranged = _ranged(df, groups, [order], buckets)
-    offsets = _offsets(ranged, groups, {**{c: F.sum(c) for c in sum_cols}, "rows": F.count(F.lit(1))})
-    w = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.max_by if descending else F.min_by
+    offsets = _offsets(ranged, groups, {**{c: F.sum(c) for c in sum_cols}, "rows": F.count(F.lit(1))},
+                       {c: pick(c, order_col) for c in following})
+    part = Window.partitionBy(*groups, "_part").orderBy(order)
+    w = part.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = [F.when(F.lead(F.lit(1)).over(part).isNull(), F.col(f"_f_{c}")).otherwise(F.lead(c).over(part)) for c in following]
     joined = join_checked(ranged, offsets, [*groups, "_part"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
         (F.col("_o_rows") + F.count(F.lit(1)).over(w)).alias(f"{prefix}rows"),
-        *[F.col(f"_w_{c}").alias(f"{total}{c}") for c in sum_cols if total])
+        *[F.col(f"_w_{c}").alias(f"{total}{c}") for c in sum_cols if total],
+        *[x.alias(f"next_{c}") for c, x in zip(following, ahead, strict=True)])
 
 
 def row_ranks(df: DataFrame, order_col: str, tie_col: str, groups: Sequence[str] = (),

@@ -913,9 +913,10 @@ def q_h6(spark, sf):
 # ---------------------------------------------------------------- two-extract mode
 
 def extracts(spark, sf):
+    """Both extracts from one scan of the panel: the deduped months are stored, the loans' statics come from them."""
     panel = fx.loan_panel(spark, sf)
-    perf = snap.dedupe_keep_last(panel, ["loan_id", "reporting_month"], ["ingest_date", "ingest_key", "ingest_line"])
-    return fx.origination_extract(spark, sf), perf
+    perf = materialize(snap.dedupe_keep_last(panel, ["loan_id", "reporting_month"], ["ingest_date", "ingest_key", "ingest_line"]))
+    return fx.origination_extract(spark, sf, perf), perf
 
 
 EXTRA_CTES = """,

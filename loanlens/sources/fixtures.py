@@ -85,9 +85,12 @@ def loan_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel
 
 
-def origination_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acquisition-style extract (one row per loan) derived from the panel (L2 layout)."""
-    p = loan_panel(spark, sf_dir)
+def origination_extract(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    """Acquisition-style extract (one row per loan) derived from the panel (L2 layout).
+
+    A loan's statics are the same in all its rows, so any part of the panel
+    that has each loan will do."""
+    p = loan_panel(spark, sf_dir) if panel is None else panel
     return (p.groupBy("loan_id").agg(
         F.max("origination_date").alias("origination_date"),
         F.max("original_upb").alias("original_upb"),

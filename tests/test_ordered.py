@@ -99,3 +99,28 @@ def test_empty_and_equal_values(spark):
     assert [row["_n"], row["q0"], row["q1"], row["q2"]] == [50, 0.25, 0.25, 0.25]
     from loanlens.operators import stability as S
     assert S.population_stability_index(none, same, "s").first()["psi"] == 0.0
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64])
+@pytest.mark.parametrize("descending", [False, True])
+def test_next_values_reach_over_partitions(spark, buckets, descending):
+    rows = [(g, float(x), (x * 7) % 5 if x % 4 else None) for g in ("a", "b", "c") for x in range(40 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, x double, v int")
+    got = {(r.g, r.x): r.next_v for r in prefix_sums(df, "x", ["v"], ["g"], descending, buckets, following=["v"]).collect()}
+    want = {}
+    for g in ("a", "b", "c"):
+        own = sorted([r for r in rows if r[0] == g], key=lambda r: r[1], reverse=descending)
+        want |= {(g, r[1]): after[2] if after else None for r, after in zip(own, [*own[1:], None], strict=True)}
+    assert got == want
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_roc_curve_drops_what_lies_on_a_line(skewed, groups):
+    pdf, df = skewed
+    got = M.roc_curve(df, "y", "score", groups).toPandas()
+    for key, part in (pdf.groupby("g") if groups else [(None, pdf)]):
+        mine = got[got["g"] == key] if groups else got
+        counts = part.groupby("score")["y"].agg(["sum", "count"]).sort_index(ascending=False)
+        steps = list(zip(counts["sum"], counts["count"] - counts["sum"], strict=True))
+        kept = [s for i, s in enumerate(counts.index) if i in (0, len(steps) - 1) or steps[i] != steps[i + 1]]
+        assert sorted(mine["threshold"]) == sorted([*kept, float("inf")])
