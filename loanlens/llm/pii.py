@@ -170,12 +170,12 @@ def _features() -> dict[str, Column]:
     like = lambda c, pattern: flag(F.regexp_like(c, F.lit(pattern)))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
-        "length": F.length(m).cast("double"), "digits": count("[0-9]"),
-        "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "brackets": count(r"[()\[\]]"),
-        "letters": count(r"\p{L}"), "accents": count(r"[^\x00-\x7F]"), "groups": count("[0-9]+"),
-        "plus": like(m, r"^\+"), "zeros": like(m, "^00"), "ending": F.length(F.regexp_extract(m, r"[.\])\x20]([A-Za-z]+)$", 1)).cast("double"),
+        # of features that part the fitted rows equally well the first one is taken: form comes before counts
+        "ending": F.length(F.regexp_extract(m, r"[.\])\x20]([A-Za-z]+)$", 1)).cast("double"), "checksum": flag(_valid("card")(F.struct(m.alias("match")))),
         "fours": like(m, r"^[0-9]{4}([\x20.-]?[0-9]{4}){2,3}$"), "dotted": like(m, r"^[0-9]+(\.[0-9]+)+$"),
-        "checksum": flag(_valid("card")(F.struct(m.alias("match")))),
+        "plus": like(m, r"^\+"), "zeros": like(m, "^00"), "groups": count("[0-9]+"), "brackets": count(r"[()\[\]]"),
+        "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "), "letters": count(r"\p{L}"), "accents": count(r"[^\x00-\x7F]"),
+        "digits": count("[0-9]"), "length": F.length(m).cast("double"),
         "glued_before": like(before, r"[\p{L}0-9_]$"), "glued_after": like(after, r"^[\p{L}0-9_]"),
         "sign_before": like(before, r"[=\"'#$:/.+-]$"), "sign_after": like(after, r"^[=\"'/@.+-]"),
         "named": like(F.lower(before), r"(tel|phone|call|mail|card|visa|ip|host|contact)\W*$"),
@@ -189,8 +189,10 @@ def _made(kind: str, m: Column, draw: Column) -> tuple[Column, Column]:
     form = F.pmod(draw, F.lit(3))
     if kind == "email":
         name, host = F.regexp_extract(m, "^(.*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
-        good = F.when(form == 0, F.concat(name, F.lit("[at]"), host)).when(form == 1, F.concat(
-            name, F.lit(" (at) "), F.regexp_replace(host, r"\.", " (dot) "))).otherwise(F.concat(name, F.lit("é@"), host))
+        # digits in the name, or not, so that their number alone tells nothing
+        own = F.concat(name, F.when(F.pmod(F.floor(draw / 3), F.lit(2)) == 0, F.pmod(draw, F.lit(1000)).cast("string")).otherwise(""))
+        good = F.when(form == 0, F.concat(own, F.lit("[at]"), host)).when(form == 1, F.concat(
+            own, F.lit(" (at) "), F.regexp_replace(host, r"\.", " (dot) "))).otherwise(F.concat(own, F.lit("é@"), host))
         return good, F.concat(name, F.lit("é@"), F.pmod(draw, F.lit(19)), F.lit("."), F.pmod(draw, F.lit(7)), F.lit(".0"))
     if kind == "card":
         wrong = F.concat(F.left(digits, F.length(digits) - 1), F.pmod(F.right(digits, F.lit(1)).cast("int") + 1 + form, F.lit(10)))
@@ -214,7 +216,7 @@ def labelled(found: DataFrame) -> DataFrame:
     clash = test("b.start < end AND b.end > start") & ~same
     card, phone = KINDS.index("card"), KINDS.index("phone")
     label = (F.when(same, 1.0).when(clash | (F.col("k") == KINDS.index("ip")), 0.0)
-             .when(F.col("k") == card, _valid("card")(F.struct("match")).cast("double"))
+             .when((F.col("k") == card) & ~_valid("card")(F.struct("match")), 0.0)
              .when((F.col("k") == phone) & F.regexp_like("match", F.lit(r"^[0-9]+(\.[0-9]+)+$")), 0.0))
     one = one.select("row", "k", "start", "end", "match", "before", "after", label.alias("label"), exact.alias("exact"), clash.alias("clash"),
                      F.pmod(F.xxhash64("doc_id", "start", "match"), F.lit(1_000_000)).alias("draw"))

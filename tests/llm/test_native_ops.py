@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loanlens.llm import mixing, pii, quality_rules, winnow
@@ -148,6 +149,39 @@ def test_winnowing_edits_and_selection(spark):
     assert winnow.edit_and_compare(empty(spark)).count() == 0
 
 
+def plain_prints(text):
+    """Selected grams of a text: every window's smallest hash, the rightmost of equal ones."""
+    def mix(*xs):
+        seed = 42
+        for x in xs:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) * (seed >> 63)
+    w = WORD.findall(lower(text or ""))
+    if len(w) < 5:
+        return [(mix(" ".join(w)), 0)] if w else []
+    one = [mix(x) for x in w]
+    two = [mix(*x) for x in zip(one, one[1:])]
+    four = [mix(*x) for x in zip(two, two[2:])]
+    five = [mix(*x) for x in zip(four, one[4:])]
+    best = {min(range(i, min(i + 16, len(five))), key=lambda j: (five[j] >> 26, -j)) for i in range(max(1, len(five) - 15))}
+    return [(five[i], i) for i in sorted(best)]
+
+
+def test_winnowing_against_plain(spark):
+    texts = [*ODD[:-2], "a b c d", "x " * 300, "p q " * 200 + "r", " ".join(f"v{i * i % 41}" for i in range(900)), "one Ü two " * 50]
+    docs = {r.doc_id: r for r in winnow.edit_and_compare(frame(spark, texts)).collect()}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    hashes = lambda t: {h for h, _ in plain_prints(t)}
+    written = lambda t: ",".join(f"{h % (1 << 64):x}:{p}" for h, p in plain_prints(t))
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        k = len(t) // 3
+        edited = t[:len(t) - k] + nxt[:k]
+        assert (docs[i].fingerprint, docs[i].edited_fingerprint) == (written(t), written(edited)), i
+        assert docs[i].near_edited == pytest.approx(share(hashes(t), hashes(edited)), abs=1e-12)
+        assert docs[i].near_next == pytest.approx(share(hashes(t), hashes(nxt)), abs=1e-12)
+
+
 def test_winnowing_small_ranges(spark):
     docs = frame(spark, [f"text number {i} " + "x " * i for i in range(50)]).select("doc_id", "text")
     for n in (1, 3, 64):
