@@ -155,7 +155,7 @@ def edit_distance(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abé", max_size=80), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 80), st.sampled_from("abé")), max_size=4), st.integers(0, 4))
+@given(st.text("abé", max_size=80), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 80), st.sampled_from("abé")), max_size=4), st.sampled_from([0, 1, 2, 3, 4, 9, 40]))
 def test_banded_edit_distance(a, edits, limit):
     b = list(a)
     for kind, at, c in edits:
@@ -165,7 +165,7 @@ def test_banded_edit_distance(a, edits, limit):
     assert line_dedup.within(a, b, limit) == (edit_distance(a, b) <= limit)
 
 
-def plain_line_dedup(docs, least, edits):
+def plain_line_dedup(docs, least, edits, percent=0):
     lines = {}
     for i, t in sorted(docs):
         for j, x in enumerate((t or "").split("\n")):
@@ -173,10 +173,13 @@ def plain_line_dedup(docs, least, edits):
                 lines.setdefault(x, []).append((i, j))
     links = Sets()
     names = list(lines)
+    chars = {x: collections.Counter(x) for x in names}
     for n, a in enumerate(names):
         for b in names[:n]:
-            if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
-                links.join(a, b)
+            reach = max(edits, percent * min(len(a), len(b)) // 100)
+            if abs(len(a) - len(b)) <= reach and (chars[a] - chars[b]).total() <= reach and (chars[b] - chars[a]).total() <= reach:
+                if edit_distance(a, b) <= reach if reach < 4 else line_dedup.within(a, b, reach):
+                    links.join(a, b)
     first = {}
     for x in names:
         r = links.find(x)
@@ -184,8 +187,48 @@ def plain_line_dedup(docs, least, edits):
     return {i: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if len(x) < least or first[links.find(x)] == (i, j)) for i, t in docs}
 
 
-@pytest.mark.parametrize("tile", [6000, 3])
-def test_line_dedup(spark, monkeypatch, tile):
+def damaged(rng, text, edits, alphabet):
+    x = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(x)), rng.randrange(3)
+        x[at:at + (kind > 0)] = [rng.choice(alphabet)] if kind < 2 else []
+    return "".join(x)
+
+
+def test_segments_find_every_pair_up_to_their_number():
+    """Edits spread at random, at any length and across the bounds of bands: up to ``SURE`` no pair is lost."""
+    rng = random.Random(12)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    assert (bands.limit(bands.low[1:] - 1) < np.diff(bands.low)).all()
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd ") for _ in range(int(40 * 1.012 ** rng.randrange(300))))
+        reach = min(line_dedup.SURE, max(line_dedup.EDITS, len(a) * line_dedup.PERCENT // 100))
+        b = damaged(rng, a, reach, "abcdé")
+        if a != b and len(b) >= 40 and line_dedup.within(a, b, min(reach, max(2, len(b) * 5 // 100))):
+            assert line_dedup.edit_links([a, b], bands), (a, b)
+        for links in (line_dedup.edit_links([a, a[:20] + "".join(rng.choice("xyz") for _ in a[20:])], bands),):
+            assert not links
+
+
+def test_replaced_words_in_long_lines():
+    """Beyond ``SURE`` edits: of copies with up to three replaced words, of 5 per cent of the line at most, few are lost."""
+    rng = random.Random(13)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    near = found = 0
+    for _ in range(1500):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 200))]
+        copy = list(words)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(len(copy))] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+        a, b = " ".join(words), " ".join(copy)
+        if a != b and line_dedup.within(a, b, min(len(a), len(b)) * 5 // 100):
+            near += 1
+            found += len(line_dedup.edit_links([a, b], bands))
+    assert near > 1000 and found >= 0.95 * near
+
+
+@pytest.mark.parametrize("tile, percent", [(6000, 0), (3, 0), (6000, 10), (3, 10)])
+def test_line_dedup(spark, monkeypatch, tile, percent):
     monkeypatch.setattr(line_dedup, "TILE", tile)
     monkeypatch.setattr(line_dedup, "FLUSH_KEYS", 200)
     rng = random.Random(5)
@@ -201,9 +244,9 @@ def test_line_dedup(spark, monkeypatch, tile):
         texts.append("\n".join(out))
     texts += [None, "", "\n\n", "z" * 3000, "y" + "z" * 2999]
     docs = frame(spark, texts)
-    got = line_dedup.remove_repeated_lines(docs, least=12)
+    got = line_dedup.remove_repeated_lines(docs, percent=percent, least=12)
     assert [c for c in got.columns if c not in ("_lines", "_gone", "_left")] == docs.columns
-    want = plain_line_dedup(list(enumerate(texts)), 12, 2)
+    want = plain_line_dedup(list(enumerate(texts)), 12, 2, percent)
     for r in got.collect():
         assert r.text == want[r.doc_id], r.doc_id
         assert r.n_chars == (None if r.text is None else len(r.text))
@@ -215,7 +258,7 @@ def test_line_dedup_of_short_lines(spark):
     long = "a line that is long enough " * 3
     texts = [f"{long}1\n{verse}\nno", "own line", f"begin\n\n{verse}\nno\nend", "}\n}", "}", "\n".join(["again and"] * 10), None]
     texts += [f"Released by us\n{'x' * 50}{i * 99}" for i in range(12)] + ["twice only", "twice only"]
-    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0, many=10).collect()}
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0, percent=0, many=10).collect()}
     want = list(texts)
     want[2] = "begin\n\nend"
     want[5] = "\n".join(["again and"] * 5)
@@ -223,7 +266,7 @@ def test_line_dedup_of_short_lines(spark):
         want[i] = texts[i].split("\n")[1]
     assert [got[i].text for i in range(len(texts))] == want
     assert got[2]._gone == 7 and got[2]._lines == 7
-    assert [r.text for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0).orderBy("doc_id").collect()] == texts
+    assert [r.text for r in line_dedup.remove_repeated_lines(frame(spark, texts), edits=0, percent=0).orderBy("doc_id").collect()] == texts
     assert line_dedup.remove_repeated_lines(empty(spark), many=10).count() == 0
 
 
@@ -369,7 +412,7 @@ def test_pipeline(spark, tmp_path):
         if i < 4:
             assert out.columns == docs.columns and {r.doc_id for r in after} <= set(before)
         if name == "line dedup":
-            want = plain_line_dedup([(k, r.text) for k, r in before.items()], line_dedup.MIN_CHARS, line_dedup.EDITS)
+            want = plain_line_dedup([(k, r.text) for k, r in before.items()], line_dedup.MIN_CHARS, line_dedup.EDITS, line_dedup.PERCENT)
             assert all(r.text == want[r.doc_id] for r in after)
             long = lambda t: any(len(x) >= line_dedup.MIN_CHARS for x in (t or "").split("\n"))
             assert {r.doc_id for r in after} == {k for k, r in before.items() if want[k] == r.text or long(want[k]) or len(want[k]) >= 0.2 * len(r.text)}
