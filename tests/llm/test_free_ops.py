@@ -165,7 +165,23 @@ def test_banded_edit_distance(a, edits, limit):
     assert line_dedup.within(a, b, limit) == (edit_distance(a, b) <= limit)
 
 
+def segment_stays(a, b, bands):
+    """Whether a segment of one line is in the other near its place, counted from its own end."""
+    for x, y in ((a, b), (b, a)):
+        own, to = (int(bands.band(np.array(len(s)))) for s in (x, y))
+        if own not in (to, int(bands.band(np.array(len(y) - int(bands.limit(np.array(len(y)))))))):
+            continue
+        n, parts = int(bands.size[own]), int(bands.parts[own])
+        for i in range(parts):
+            j = i // 2
+            p, q = (x, y) if i % 2 == 0 else (x[::-1], y[::-1])
+            if any(at >= 0 and p[j * n:(j + 1) * n] == q[at:at + n] for at in range(j * n - j, j * n + j + 1)):
+                return True
+    return False
+
+
 def plain_line_dedup(docs, least, edits, percent=0):
+    bands = line_dedup.Bands(edits, percent, least)
     lines = {}
     for i, t in sorted(docs):
         for j, x in enumerate((t or "").split("\n")):
@@ -179,7 +195,9 @@ def plain_line_dedup(docs, least, edits, percent=0):
             reach = max(edits, percent * min(len(a), len(b)) // 100)
             if abs(len(a) - len(b)) <= reach and (chars[a] - chars[b]).total() <= reach and (chars[b] - chars[a]).total() <= reach:
                 if edit_distance(a, b) <= reach if reach < 4 else line_dedup.within(a, b, reach):
-                    links.join(a, b)
+                    # beyond ``SURE`` edits a pair is found only if a segment is left
+                    if line_dedup.within(a, b, max(edits, line_dedup.SURE)) or segment_stays(a, b, bands):
+                        links.join(a, b)
     first = {}
     for x in names:
         r = links.find(x)
