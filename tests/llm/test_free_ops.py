@@ -245,6 +245,34 @@ def test_replaced_words_in_long_lines():
     assert near > 1000 and found >= 0.95 * near
 
 
+def spread(rng, text, edits):
+    """The worst case: edits at equal distances, so that no segment is much longer than the others."""
+    x = list(text)
+    for i in range(edits, 0, -1):
+        at, kind = i * len(text) // (edits + 1), rng.randrange(3)
+        x[at:at + (kind > 0)] = ["#"] if kind < 2 else []
+    return "".join(x)
+
+
+def test_spread_edits_are_found_at_any_length(spark):
+    """No pair within the threshold is lost, be it beyond five edits: by the segments in one task and by the keys' blocks."""
+    rng = random.Random(14)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    pairs = []
+    for size in (60, 120, 139, 152, 250, 400, 620, 698, 699, 810, 1200, 5000, 20_000):
+        for _ in range(3):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(size))
+            b = spread(rng, a, max(2, len(a) * 5 // 100 * 19 // 20))
+            if line_dedup.within(a, b, max(2, min(len(a), len(b)) * 5 // 100)):
+                pairs.append((a, b))
+                assert line_dedup.edit_links([a, b], bands), size
+    assert len(pairs) > 30
+    texts = [t for p in pairs for t in p]
+    rng.shuffle(texts)
+    got = line_dedup.remove_repeated_lines(frame(spark, texts)).collect()
+    assert sum(r._gone for r in got) == len(pairs)
+
+
 @pytest.mark.parametrize("tile, percent", [(6000, 0), (3, 0), (6000, 10), (3, 10)])
 def test_line_dedup(spark, monkeypatch, tile, percent):
     monkeypatch.setattr(line_dedup, "TILE", tile)
