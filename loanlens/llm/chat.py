@@ -3,10 +3,11 @@ r"""Operator 11: chat formatting by prefix-target expansion.
 Every assistant turn becomes an example of its own: all turns before it are
 the context, and its text alone is trainable.  An example is a prefix of the
 formatted conversation, up to the end of its target, with one span under the
-loss mask; so the turns are formatted and stored once, and an example is a row
-that says where its text ends and where its target lies in it
-(``examples``).  Written out, the examples of a conversation grow with the square of
-its turns; ``example_texts`` does that, as a stream, for who wants the texts.
+loss mask.  ``example_texts`` writes every example out, as a stream, and
+``read_examples`` reads conversations back from these texts and spans: that is op11.
+Written out, the examples of a conversation grow with the square of
+its turns; ``examples`` has them as rows that say where an example's text ends and
+where its target lies in it, for who stores the formatted turns once (``read_back``).
 
 Template: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a
 line feed.  In texts and roles every ``<``, backslashes, ``|`` gets one more
@@ -32,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,6 +47,10 @@ TARGET = "assistant"
 #: Text that a template without escapes would take for turns.
 TRAP = f"{END}{START}{TARGET} ok"
 SEGMENT = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n", re.DOTALL)
+#: The same where turns follow each other: no text holds a mark.
+NEXT_SEGMENT = re.compile(SEGMENT.pattern.replace("(.*)", "(.*?)"), re.DOTALL)
+#: Examples are handed on once so many characters or rows are together.
+SEND_CHARS, SEND_ROWS = 1_000_000, 1000
 
 
 def escape(text: Column) -> Column:
@@ -109,11 +115,11 @@ def _in_order(turns: DataFrame, in_order: bool) -> DataFrame:
     return turns if in_order else turns.repartition("conv_id").sortWithinPartitions("conv_id", "position")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], few: int = 128) -> Iterator[tuple]:
     """Rows of Arrow batches, made into Python values a few at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            yield from zip(*[c.to_pylist() for c in batch.slice(at, 128).columns], strict=True)
+        for at in range(0, batch.num_rows, few):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, few).columns], strict=True)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -125,30 +131,101 @@ def _schema(turns: DataFrame, rest: str) -> StructType:
     return turns.sparkSession.createDataFrame([], f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {rest}").schema
 
 
-def example_texts(turns: DataFrame, in_order: bool = False) -> DataFrame:
+def example_texts(turns: DataFrame, in_order: bool = False, rest: bool = False) -> DataFrame:
     """Every example written out: ``conv_id, example, text, loss_start, loss_end``.
 
     The context of each example is repeated in full.  A task keeps the text of
-    the conversation at hand, one example's size.  ``in_order`` is for rows
-    that ``format_turns`` has just made; rows read back are sorted again.
+    the conversation at hand, one example's size, and what it is about to hand on.  ``in_order`` is for rows
+    that ``format_turns`` has just made; rows read back are sorted again.  With ``rest``, a conversation whose last
+    turn is no target has one more row: all its turns, without an example's number and span.
     """
     schema = _schema(turns, "example bigint, text string, loss_start bigint, loss_end bigint")
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         parts: list[str] = []
         now: object = ()
+        over = False                                # turns since the last target
         for conv, segment, example, begin, end in _rows(batches):
             if conv != now:
+                if rest and over:
+                    yield now, None, "".join(parts), None, None
                 now, parts = conv, []
             parts.append(segment)
-            if example is not None:
+            over = example is None
+            if not over:
                 parts = ["".join(parts)]
-                yield _batch([(conv, example, parts[0], begin, end)], arrow)
+                yield conv, example, parts[0], begin, end
+        if rest and over:
+            yield now, None, "".join(parts), None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        chars = 0
+        for row in written(batches):
+            held.append(row)
+            chars += len(row[2])
+            if chars >= SEND_CHARS or len(held) >= SEND_ROWS:
+                yield _batch(held, arrow)
+                held, chars = [], 0
+        if held:
+            yield _batch(held, arrow)
 
     return _in_order(turns, in_order).select("conv_id", "segment", "example", "loss_start", "loss_end").mapInArrow(run, schema)
 
 
+READ = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint, expanded_chars bigint"
+
+
+def _send(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, SEND_ROWS)):
+        yield _batch(held, schema)
+
+
+def read_examples(texts: DataFrame) -> DataFrame:
+    """What the written examples hold, a row a conversation: see ``read_back``.
+
+    ``texts`` are the rows that ``example_texts`` has just made with ``rest``: a conversation's come one after the other, the
+    shortest first.  Each must go on where the one before it ends; what it adds is taken apart into turns.
+    """
+    schema = _schema(texts, READ)
+    arrow = to_arrow_schema(schema)
+
+    def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now: object = ()
+        before = ""
+        n = loss_chars = n_examples = expanded = 0
+        for conv, example, text, begin, end in _rows(batches, 1):
+            if conv != now or not n:
+                if n:
+                    yield now, n, said.hexdigest(), loss_chars, loss.hexdigest(), len(before), n_examples, expanded
+                now, before, n, loss_chars, n_examples, expanded = conv, "", 0, 0, 0, 0
+                said, loss = sha256(), sha256()
+            if not text.startswith(before):
+                raise ValueError(f"example {example} of conversation {conv} doesn't begin with the one before")
+            at = len(before)
+            while at < len(text):
+                turn = NEXT_SEGMENT.match(text, at)
+                if turn is None:
+                    raise ValueError(f"example {example} of conversation {conv} has no turn at {at}")
+                said.update(f"{unescape_role(turn[1])}\n{unescape(turn[2])}\n".encode())
+                n, at = n + 1, turn.end()
+            if example is not None:
+                shown = unescape(text[begin:end])
+                loss.update(shown.encode())
+                loss_chars += len(shown)
+                n_examples += 1
+                expanded += len(text)
+            before = text
+        if n:
+            yield now, n, said.hexdigest(), loss_chars, loss.hexdigest(), len(before), n_examples, expanded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _send(conversations(batches), arrow)
+
+    return texts.select("conv_id", "example", "text", "loss_start", "loss_end").mapInArrow(run, schema)
+
+
 def read_back(turns: DataFrame, in_order: bool = False) -> DataFrame:
     """What the formatted turns and the masks hold, a row a conversation, read from ``segment`` and the spans.
 
@@ -156,8 +233,7 @@ def read_back(turns: DataFrame, in_order: bool = False) -> DataFrame:
     under the masks; ``formatted_chars``: code points of the conversation; ``n_examples`` and ``expanded_chars``: the
     examples, and what they would be written out.
     """
-    schema = _schema(turns, "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, "
-                            "n_examples bigint, expanded_chars bigint")
+    schema = _schema(turns, READ)
     arrow = to_arrow_schema(schema)
 
     def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -183,14 +259,7 @@ def read_back(turns: DataFrame, in_order: bool = False) -> DataFrame:
             yield now, n, said.hexdigest(), loss_chars, loss.hexdigest(), chars, n_examples, expanded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for row in conversations(batches):
-            rows.append(row)
-            if len(rows) == 1000:
-                yield _batch(rows, arrow)
-                rows = []
-        if rows:
-            yield _batch(rows, arrow)
+        return _send(conversations(batches), arrow)
 
     return _in_order(turns, in_order).select("conv_id", "segment", "start", "loss_start", "loss_end").mapInArrow(run, schema)
 
@@ -198,7 +267,7 @@ def read_back(turns: DataFrame, in_order: bool = False) -> DataFrame:
 def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, TARGET, TRAP)], "conv_id bigint, turn bigint, role string, text string")
-    return read_back(format_turns(given.unionByName(trap)), in_order=True)
+    return read_examples(example_texts(format_turns(given.unionByName(trap)), in_order=True, rest=True))
 
 
 ORACLE_OP11 = rf"""

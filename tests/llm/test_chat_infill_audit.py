@@ -87,6 +87,25 @@ def test_chat_examples_written_out(spark):
     turns.unpersist()
 
 
+def test_chat_query_reads_the_written_examples(spark, tmp_path, monkeypatch):
+    """op11 goes through every example written out; each conversation read back from these is as read from its turns."""
+    rows = turn_rows()
+    turns_frame(spark, rows).select("conv_id", "turn", "role", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = []
+    write = chat.example_texts
+    monkeypatch.setattr(chat, "example_texts", lambda *a, **k: made.append(write(*a, **k)) or made[-1])
+    monkeypatch.setattr(chat, "SEND_CHARS", 5000)
+    got = sorted(chat.op11_chat_formatting(spark, str(tmp_path)).collect(), key=str)
+    assert len(made) == 1
+    said = by_conversation(rows)
+    assert made[0].filter("example is not null and conv_id = 5").count() == 150
+    # turns after the last reply, and conversations without one, are in a row of their own
+    assert {(r.conv_id, r.text) for r in made[0].filter("example is null").collect()} == {
+        (c, "".join(plain_segment(*t) for t in x)) for c, x in said.items() if x[-1][0] != "assistant"}
+    trap = [(-1, 0, "user", chat.TRAP), (-1, 1, "assistant", chat.TRAP)]
+    assert got == sorted(chat.read_back(chat.format_turns(turns_frame(spark, rows + trap))).collect(), key=str)
+
+
 def test_chat_marks_cannot_be_forged(spark):
     """Whatever a text holds, its segment has the template's two marks and no more."""
     for r in chat.format_turns(turns_frame(spark, turn_rows())).select("segment").collect():
