@@ -247,6 +247,20 @@ class Grower:
             level = [c for i in level for c in self.nodes[i].children]
         return self.build({i for i, n in enumerate(self.nodes) if n.children})[0]
 
+    def ahead(self, queue: list[tuple[float, int]], left: int) -> list[int]:
+        """Nodes whose children aren't known that may be chosen before the tree is full, below nodes expanded earlier as well."""
+        queue, out = list(queue), []
+        while queue and left:
+            j = heapq.heappop(queue)[1]
+            left -= 1
+            if self.nodes[j].children is None:
+                out.append(j)
+                continue
+            for c in self.nodes[j].children:
+                if self.nodes[c].split:
+                    heapq.heappush(queue, (-self.nodes[c].split.gain, c))
+        return out
+
     def best_first(self) -> Tree:
         kept: set[int] = set()
         queue = [(-self.nodes[0].split.gain, 0)] if self.nodes[0].split else []
@@ -258,9 +272,7 @@ class Grower:
                 if not left:
                     self.divide([i])
                     break
-                # those that may be chosen before the tree is full
-                others = [j for _, j in heapq.nsmallest(left, queue) if self.nodes[j].children is None]
-                self.expand([i, *others])
+                self.expand([i, *self.ahead(queue, left)])
             for c in self.nodes[i].children:
                 if self.nodes[c].split:
                     heapq.heappush(queue, (-self.nodes[c].split.gain, c))
@@ -344,8 +356,11 @@ def fit(df: DataFrame, features: str, label: str, key: Column, params: Params =
     if not n or not 0 < bad < n:
         raise ValueError("boosting needs rows of both classes")
     base = float(np.log(bad / (n - bad)))
-    # a task for a few rows costs more than its work: passes are many
-    tasks = min(rows.rdd.getNumPartitions(), -(-n // TASK_ROWS))
+    # a task for a few rows costs more than its work: passes are many; stored files may be fewer than the tasks that are due
+    tasks = -(-n // TASK_ROWS)
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = materialize(rows.repartition(tasks))
+    tasks = min(rows.rdd.getNumPartitions(), tasks)
     rows = rows.coalesce(tasks)
     trees: list[Tree] = []
     pending: list[Tree] = []

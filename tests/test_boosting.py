@@ -148,3 +148,27 @@ def test_bad_input(spark):
         B.fit(df, "x", "y", F.col("id"))
     with pytest.raises(ValueError, match="depth or"):
         B.fit(df, "x", "y", F.col("id"), B.Params(leaves=31))
+
+
+def test_best_first_needs_few_passes():
+    """A pass over the rows for about every level of the tree, not for about every other leaf."""
+    x, y = population(6000)
+    p = B.with_params(B.LEAF_WISE, least_rows=5, bins=32)
+    edges = [np.unique(np.nanquantile(x[:, f], np.arange(1, p.bins) / p.bins)) for f in range(x.shape[1])]
+    bins = B.to_bins(x, edges)
+    g, h = B.derivatives(np.zeros(len(y)), y)
+    passes = []
+
+    def count(tree, slots):
+        passes.append(len(slots))
+        slot_of = np.full(len(tree.value), -1)
+        slot_of[list(slots)] = list(slots.values())
+        return B.add_up(bins, slot_of[tree.node_of(bins)], g, h, len(slots), p.bins + 1)
+
+    tree = B.Grower(count, np.arange(x.shape[1]), p).grow()
+    depth = [0] * len(tree.feature)
+    for i, f in enumerate(tree.feature):
+        if f >= 0:
+            depth[tree.left[i]] = depth[tree.right[i]] = depth[i] + 1
+    assert tree.feature.count(-1) == p.leaves
+    assert len(passes) <= max(depth) + 2, (len(passes), max(depth))
