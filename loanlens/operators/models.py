@@ -27,6 +27,10 @@ from loanlens.operators.split import LABEL, feature_groups
 from loanlens.session import materialize
 
 
+#: Rows that are worth a task of their own.
+TASK_ROWS = 20_000
+
+
 def apply_categorical(df: DataFrame, prep: Preparation, categorical: Sequence[str]) -> DataFrame:
     """``df`` with the slots of its categorical values (``Preparation.slots``)."""
     return prep.slots(df) if categorical else df
@@ -81,6 +85,16 @@ class FittedModel:
         return (self.boosted.gains() if self.boosted else self.pipeline.stages[-1].featureImportances.toArray()).tolist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (stored) in as many partitions as there are cores, if it has fewer and its rows are many enough.
+
+    Iterative solvers work in the partitions that they are given, and a stored table has as many as its files.
+    """
+    rows = -(-df.count() // TASK_ROWS)
+    tasks = min(rows, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 def fit(train: DataFrame, estimator_name: str, estimator, label: str = LABEL, numeric=None, categorical=None,
         min_frequency: int = 25, id_col: str = "loan_id") -> FittedModel:
     """``estimator``: a Spark ML classifier, or ``boosting.Params`` (whose rows are drawn by ``id_col``)."""
@@ -93,7 +107,7 @@ def fit(train: DataFrame, estimator_name: str, estimator, label: str = LABEL, nu
         features = PipelineModel(stages).transform(x).withColumn("_features", vector_to_array("features"))
         model = boosting.fit(features, "_features", "label", F.col(id_col), estimator)
         return FittedModel(estimator_name, PipelineModel(stages), prep, numeric, categorical, model)
-    fitted = estimator.fit(PipelineModel(stages).transform(x))
+    fitted = estimator.fit(spread(PipelineModel(stages).transform(x)))
     return FittedModel(estimator_name, PipelineModel([*stages, fitted]), prep, numeric, categorical)
 
 

@@ -56,3 +56,13 @@ def test_cohort_guards(spark):
     one = spark.createDataFrame([(i / 10, i % 2, "2024-02-01") for i in range(10)], "pd double, bad int, d string").withColumn("d", F.to_date("d"))
     with pytest.raises(Exception, match="two quarters"):
         S.monitoring_table(one, "pd", "bad", "d").collect()
+
+
+def test_fit_spreads_a_table_stored_in_one_file(spark, monkeypatch):
+    """Solvers work in the partitions that they get: many rows in one file are dealt to the cores, few rows stay."""
+    one = spark.range(5000).coalesce(1)
+    assert ML.spread(one).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(ML, "TASK_ROWS", 1000)
+    many = ML.spread(one)
+    assert many.rdd.getNumPartitions() == min(5, spark.sparkContext.defaultParallelism)
+    assert many.count() == 5000 and many.distinct().count() == 5000
