@@ -38,8 +38,8 @@ from loanlens.llm.common import documents
 from loanlens.llm.shingles import texts_of
 
 BLOCK_CHARS = 500_000
-WORDS = 300_000
-PAIRS = 400_000
+WORDS = 100_000
+PAIRS = 150_000
 
 # What the tokenizer file says about words, the end of a word, and white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -242,15 +242,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids: the tokens with a space between them, special tokens included."""
-    tables = df.sparkSession.sparkContext.broadcast(read_tables(path))
+    t = read_tables(path)
+    # the ids' tokens alone: decoding needs no merges
+    tokens = df.sparkSession.sparkContext.broadcast({i: s for s, i in [*t["vocab"].items(), *t["special"].items()]})
     keep = [c for c in df.columns if c != out_col]
     schema = df.select(*keep, F.lit("").alias(out_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        t = tables.value
-        token = {i: s for s, i in [*t["vocab"].items(), *t["special"].items()]}.__getitem__
+        token = tokens.value.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
