@@ -38,8 +38,8 @@ from loanlens.llm.common import documents
 from loanlens.llm.shingles import texts_of
 
 BLOCK_CHARS = 500_000
-WORDS = 100_000
-PAIRS = 150_000
+WORDS = 300_000
+PAIRS = 400_000
 
 # What the tokenizer file says about words, the end of a word, and white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
