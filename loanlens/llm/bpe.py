@@ -14,7 +14,7 @@ boundary breaks if the pair that faces each other at some time merges before
 either of them is used up.  Answers are remembered in a table of bounded size.
 
 Scale: one pass without a shuffle.  A task holds the words of about half a million
-characters, a word table of at most ``WORDS`` entries and the tokenizer's own
+characters, tables of about ``WORDS`` words and as many runs between white space, and the tokenizer's own
 tables, which are read on the driver from the path given and broadcast (their
 size is the vocabulary's).
 
@@ -26,6 +26,7 @@ all other columns pass through unchanged; an empty table stays empty.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -40,6 +41,7 @@ from loanlens.llm.shingles import texts_of
 BLOCK_CHARS = 500_000
 WORDS = 300_000
 PAIRS = 400_000
+TAIL = 4
 
 # What the tokenizer file says about words, the end of a word, and white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,6 +59,8 @@ NEWER = (
 LOWER_NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
                0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
 FIRST_NEWER = "[\u0558-\U0010FFFF]"
+#: White space to Python, but not to the pattern.
+INNER = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -88,13 +92,16 @@ class TrieEncoder:
         for r, (a, b) in enumerate(tables["merges"]):
             t, x, y = vocab[a + b], vocab[a], vocab[b]
             self.born[t], self.left[t], self.right[t], self.rank[x, y] = r, x, y, r
-        # the longest token that ends in two given letters, at the end of a word or not
+        # the longest token that ends in TAIL given letters, at the end of a word or not; shorter ones can be anywhere
         self.reach: dict[str, int] = {}
         for t in vocab:
             tail = END if t.endswith(END) else ""
             body = t.removesuffix(END)
-            self.reach[body[-2:] + tail] = max(len(body), self.reach.get(body[-2:] + tail, 1))
+            if len(body) >= TAIL:
+                self.reach[body[-TAIL:] + tail] = max(len(body), self.reach.get(body[-TAIL:] + tail, 1))
+        self.code = {i: i.to_bytes(4, "little") for i in [*vocab.values(), *self.special.values()]}
         self.split = regex.compile(PIECES)
+        self.runs_of = regex.compile(r"\S+")
         self.late = regex.compile(FIRST_NEWER)
         careful = (PIECES.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{NEWER}])")
                    .replace(r"[\p{L}]", rf"(?:(?![{NEWER}])\p{{L}})").replace(r"[\p{N}]", rf"(?:(?![{NEWER}])\p{{N}})"))
@@ -103,6 +110,7 @@ class TrieEncoder:
         self.letters = byte_letters()
         self.apart: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def stay_apart(self, u: int, t: int) -> bool:
         key = u << 32 | t
@@ -130,19 +138,25 @@ class TrieEncoder:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian, 4 bytes each) of words given in byte letters."""
-        vocab, reach, out = self.vocab, self.reach, {}
+        token, reach, apart, code, out = self.vocab.get, self.reach.get, self.apart.get, self.code, {}
         last, start, before = [0], [0], ""                # by depth: the prefix's last token and where it starts
 
-        def token_to(path: str, end: int, tail: str) -> tuple[int, int]:
-            for begin in range(max(0, end - reach.get(path[max(0, end - 2):end] + tail, 1)), end):
-                t = vocab.get(path[begin:end] + tail)
-                if t is not None and (begin == 0 or self.stay_apart(state(path, begin), t)):
-                    return t, begin
+        def token_to(path: str, end: int, tail: str = "") -> tuple[int, int]:
+            least = TAIL if end > TAIL else end
+            for begin in range(end - min(end, reach(path[end - least:end] + tail, TAIL - 1)), end):
+                t = token(path[begin:end] + tail)
+                if t is not None:
+                    if not begin:
+                        return t, begin
+                    u = last[begin] if begin < len(last) else state(path, begin)
+                    stays = apart(u << 32 | t)
+                    if stays or stays is None and self.stay_apart(u, t):
+                        return t, begin
             raise ValueError(f"no encoding of {path!r}")
 
         def state(path: str, depth: int) -> int:
             while len(last) <= depth:
-                t, begin = token_to(path, len(last), "")
+                t, begin = token_to(path, len(last))
                 last.append(t)
                 start.append(begin)
             return last[depth]
@@ -153,7 +167,8 @@ class TrieEncoder:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1:], start[shared + 1:]
+            if len(last) > shared + 1:
+                del last[shared + 1:], start[shared + 1:]
             before = word
             t, at = token_to(word, len(word), END)
             ids = [t]
@@ -161,48 +176,60 @@ class TrieEncoder:
                 state(word, at)
                 ids.append(last[at])
                 at = start[at]
-            out[word] = b"".join(i.to_bytes(4, "little") for i in reversed(ids))
+            out[word] = b"".join([code[i] for i in reversed(ids)])
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ").lower()       # no final sigma: letters are lowered one by one
-            if self.late.search(text):
-                return self.split_late.findall(text.translate(LOWER_NEWER))
-            return self.split.findall(text)
-        return self.split.findall(text.lower())
+    def lowered(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower()       # no final sigma: letters are lowered one by one
+        return text.translate(LOWER_NEWER) if self.late.search(text) else text
+
+    def pieces(self, run: str) -> list[str]:
+        """Words of a lowered run of a text."""
+        if not run.isascii() and self.late.search(run):
+            return self.split_late.findall(run)
+        return self.split.findall(run)
+
+    def encode_runs(self, texts: list[str]) -> list[bytes]:
+        """Ids of lowered texts. Words end at white space, so that a run without any is split into words and encoded once."""
+        split = [self.runs_of.findall(t) if INNER.search(t) else t.split() for t in texts]
+        runs, known = self.runs, self.words
+        if len(runs) >= WORDS:
+            runs.clear()
+        parts = {r: self.pieces(r) for r in set().union(*split) if r not in runs}
+        if len(known) >= WORDS:
+            known.clear()
+        new = [w for w in set().union(*parts.values()) if w not in known]
+        letters = self.letters
+        # printable ASCII stands for itself; all else has letters of its own
+        spelled = {w: w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode("utf-8", "replace")]) for w in new}
+        made = self.encode_words(list(set(spelled.values())))
+        for w, s in spelled.items():
+            known[w] = made[s]
+        get = known.__getitem__
+        for r, p in parts.items():
+            runs[r] = get(r) if len(p) == 1 else b"".join(map(get, p))
+        get = runs.__getitem__
+        return [b"".join(map(get, r)) for r in split]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the words that are new form the block's trie."""
-        parts: list[list] = []
+        cut: list[str] = []
+        parts: list[list] = []                            # of a text: numbers in ``cut``, or the ids of special tokens
         for text in texts:
             one: list = []
             at = 0
             for m in self.marks.finditer(text) if self.marks and "<|" in text else ():
-                one += [self.pieces(text[at:m.start()]), self.special[m.group()]]
+                one += [len(cut), self.code[self.special[m.group()]]]
+                cut.append(self.lowered(text[at:m.start()]))
                 at = m.end()
-            parts.append([*one, self.pieces(text[at:] if at else text)])
-        known = self.words
-        if len(known) >= WORDS:
-            known.clear()
-        fresh: set[str] = set()
-        for one in parts:
-            for p in one:
-                if isinstance(p, list):
-                    fresh.update(p)
-        fresh.difference_update(known)
-        letters = self.letters
-        spelled = {w: w if w.isascii() else "".join([letters[b] for b in w.encode("utf-8", "replace")]) for w in fresh}
-        # printable ASCII stands for itself; the rest of ASCII has letters of its own
-        for w in [w for w in fresh if w.isascii() and not w.isprintable()]:
-            spelled[w] = "".join([letters[b] for b in w.encode()])
-        made = self.encode_words(list(set(spelled.values())))
-        for w, s in spelled.items():
-            known[w] = made[s]
-        get = known.__getitem__
-        return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in one]) for one in parts]
+            parts.append([*one, len(cut)])
+            cut.append(self.lowered(text[at:] if at else text))
+        ids = self.encode_runs(cut)
+        return [ids[one[0]] if len(one) == 1 else b"".join([ids[p] if isinstance(p, int) else p for p in one]) for one in parts]
 
 
 def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:

@@ -346,6 +346,22 @@ def test_bpe_whole_vocabulary():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_block(words)] == [x.ids for x in want]
 
 
+def test_bpe_takes_a_run_apart_once(monkeypatch):
+    """Runs between white space are split and encoded the first time only; full tables are emptied, with the same ids."""
+    tables = bpe.read_tables(bpe.tokenizer_path())
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["it's", "12,5", "naïve\x1cso", "Σας", "a<|endoftext|>b", "the", "end."]) for _ in range(50)) for _ in range(40)]
+    encoder, calls = bpe.TrieEncoder(tables), []
+    split = encoder.pieces
+    monkeypatch.setattr(encoder, "pieces", lambda run: calls.append(run) or split(run))
+    ids = encoder.encode_block(texts)
+    assert encoder.encode_block(texts) == ids
+    assert len(calls) == len(set(calls)) == 8
+    monkeypatch.setattr(bpe, "WORDS", 3)
+    small = bpe.TrieEncoder(tables)
+    assert [x for t in texts for x in small.encode_block([t])] == ids
+
+
 # --- language model --------------------------------------------------------------------------------------------------
 
 def test_lm_base_score_and_gain(spark):
