@@ -299,6 +299,38 @@ def test_line_dedup(spark, monkeypatch, tile, percent):
     assert line_dedup.remove_repeated_lines(empty(spark)).count() == 0
 
 
+def test_keys_of_long_lines_grow_with_their_characters(spark):
+    """What is sent to let lines meet is in proportion to the text, however many edits a line is allowed (before: about 20 bytes a character)."""
+    rng = random.Random(15)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    for size in (60, 300, 900, 3000):
+        texts = ["".join(rng.choice("abcdefgh ") for _ in range(size)) for _ in range(30_000 // size)]
+        sent = line_dedup._packed_keys(frame(spark, texts), bands, 4, 0, len(bands.low)).collect()
+        assert 0 < sum(len(v) for r in sent for v in r if isinstance(v, (bytes, bytearray))) < 9 * size * len(texts)
+
+
+@pytest.mark.parametrize("alike", [0, 8])
+def test_line_dedup_in_rounds(spark, monkeypatch, alike):
+    """Rounds by length, blocks of few keys and lines that stand for others lose no pair of copies of common words."""
+    monkeypatch.setattr(line_dedup, "ALIKE", alike)
+    monkeypatch.setattr(line_dedup, "BLOCK_KEYS", 300)
+    monkeypatch.setattr(line_dedup, "MEET_PAIRS", 50)
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(25)]
+    texts = []
+    for size in (42, 45, 58, 66, 100, 101, 106, 150, 230, 420):
+        base = " ".join(rng.choice(words) for _ in range(size))[:size]
+        for _ in range(6):
+            texts.append(damaged(rng, base, rng.randint(0, max(2, size // 20) + 2), "abcd "))
+    rng.shuffle(texts)
+    bands = line_dedup.Bands(2, 5, 40)
+    assert len(bands.rounds([(len(t), len(t)) for t in texts], line_dedup.ROUNDS)) > 2
+    want = plain_line_dedup(list(enumerate(texts)), 40, 2, 5)
+    got = line_dedup.remove_repeated_lines(frame(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert 20 < sum(r._gone for r in got) < 55
+
+
 def test_line_dedup_of_short_lines(spark):
     verse = "\n".join(f"verse {i} ends" for i in range(6))
     long = "a line that is long enough " * 3
