@@ -309,6 +309,41 @@ def test_keys_of_long_lines_grow_with_their_characters(spark):
         assert 0 < sum(len(v) for r in sent for v in r if isinstance(v, (bytes, bytearray))) < 12 * size * len(texts)
 
 
+def test_keys_take_few_bytes_in_any_number_of_blocks(spark):
+    """A line's hash and sums aren't sent with each of its keys (before: 24 bytes a key, some 8 a character)."""
+    rng = random.Random(17)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(200)]
+    for n_blocks in (4, 40):
+        sent = line_dedup._packed_keys(frame(spark, texts), bands, n_blocks, 0, len(bands.low)).collect()
+        assert 0 < sum(len(v) for r in sent for v in r if isinstance(v, (bytes, bytearray))) < 5 * 300 * 200
+
+
+def test_pairs_of_many_near_copies_grow_with_their_number():
+    """Entries that meet nothing are left out without a loss of pairs, and a group of near copies makes about a pair a line (before: up to a pair of each two)."""
+    rng = random.Random(18)
+    bands = line_dedup.Bands(line_dedup.EDITS, line_dedup.PERCENT, line_dedup.MIN_CHARS)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = [damaged(rng, base, 5, "abcd") for _ in range(150)] + ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(50)]
+    lines = line_dedup.Lines()
+    lines.load(texts, 40)
+    every = np.arange(len(lines.size))
+    key, at, place, index = (np.concatenate(c) for c in zip(*lines.anchors(bands, every, 0, len(bands.low)), strict=True))
+    key = (key.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | index
+    ends = np.stack([place, lines.size[at] - place], 1).astype(np.uint16)
+    may = line_dedup.may_meet(bands, key, at, ends)
+    assert 0 < may.sum() < len(may)
+    groups = []
+    for some in (may, may | True):
+        pair, stands = line_dedup.met_at(bands, key[some], at[some], ends[some], lines.sums(every)[at[some]])
+        links = Sets()
+        for a, b in pair.tolist():
+            links.join(a, b)
+        groups.append([links.find(i) for i in range(len(texts))])
+        assert len(pair) < 3 * len(texts)
+    assert groups[0] == groups[1]
+
+
 @pytest.mark.parametrize("alike", [0, 8])
 def test_line_dedup_in_rounds(spark, monkeypatch, alike):
     """Rounds by length, blocks of few keys and lines that stand for others lose no pair of copies of common words."""
